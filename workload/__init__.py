@@ -1,4 +1,4 @@
 """The operators run over the driver's tables."""
 
-from . import text_queries  # noqa: F401
+from . import stats_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
