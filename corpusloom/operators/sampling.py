@@ -9,6 +9,7 @@ many rows one group holds.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -122,7 +123,7 @@ def stratified(
 
 def split_flag(id_col: str, test: float = 0.1, seed: int = SEED) -> Column:
     """stateless test flag from the first 32 bits of the hash; also fits a stream."""
-    bound = f"{int(test * (1 << 32)):08x}"
+    bound = f"{math.ceil(test * (1 << 32)):08x}"
     return F.substring(seeded_hash(id_col, seed), 1, 8) < bound
 
 

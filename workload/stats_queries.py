@@ -36,7 +36,7 @@ def f3(spark, sf):
 
 
 @query("f4_stratified", with_("reviews", "filled") + f"""
-    SELECT id, method, row_number() OVER (ORDER BY m, {HASH}, id) - 1 AS temp_id FROM (
+    SELECT id, method, CAST(row_number() OVER (ORDER BY m, {HASH}, id) - 1 AS INT) AS temp_id FROM (
         SELECT *, CASE method WHEN 'naive' THEN 1 WHEN 'engineered' THEN 2 ELSE 3 END AS m,
                row_number() OVER (PARTITION BY method ORDER BY {HASH}, id) AS rn FROM filled)
     WHERE rn <= 100""")
@@ -57,7 +57,7 @@ def f6(spark, sf):
     return sampling.sample_n(t.reviews(spark, sf).select("id"), 150, "id")
 
 
-@query("f7_split_flag", with_("reviews") + f"SELECT id, substr({HASH}, 1, 8) < '19999999' AS is_test FROM reviews")
+@query("f7_split_flag", with_("reviews") + f"SELECT id, substr({HASH}, 1, 8) < '1999999a' AS is_test FROM reviews")
 def f7(spark, sf):
     return t.reviews(spark, sf).select("id", sampling.split_flag("id").alias("is_test"))
 
