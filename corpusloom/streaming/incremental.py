@@ -25,16 +25,19 @@ def run_batch(spark: SparkSession, source: DataFrame, out: str, step: Step, id_c
 
 def run_incremental(
     spark: SparkSession, source: str, schema: str, out: str, checkpoint: str, step: Step,
-    files_per_batch: int | None = None, fmt: str = "parquet",
+    files_per_batch: int | None = None, fmt: str = "parquet", name_filter: str | None = None,
 ) -> None:
     """I3, stream: take what is new in a folder, append the result, stop.
 
     The checkpoint holds which files are done and the file sink commits a batch once, so a run
-    that was cut off neither repeats nor skips rows. ``files_per_batch`` is the flush interval.
+    that was cut off neither repeats nor skips rows. ``files_per_batch`` is the flush interval;
+    ``name_filter`` picks files of the folder by a glob.
     """
     reader = spark.readStream.schema(schema).format(fmt)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    if name_filter:
+        reader = reader.option("pathGlobFilter", name_filter)
     query = (
         step(reader.load(source))
         .writeStream.format("parquet")

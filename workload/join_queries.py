@@ -58,10 +58,10 @@ def d4(spark, sf):
 
 
 @query("d6_scatter_back", with_("reviews") + f"""
-    SELECT r.id, s.votes_up FROM reviews r
+    SELECT r.id, CAST(s.votes_up AS DOUBLE) AS votes_up FROM reviews r
     LEFT JOIN (SELECT id, votes_up FROM reviews ORDER BY {HASH}, id LIMIT 100) s ON r.id = s.id""")
 def d6(spark, sf):
-    rows = t.reviews(spark, sf).select("id", "votes_up")
+    rows = t.reviews(spark, sf).select("id", F.col("votes_up").cast("double").alias("votes_up"))
     return joins.scatter_back(rows.select("id"), sampling.sample_n(rows, 100, "id"), "id")
 
 

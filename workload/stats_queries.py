@@ -347,10 +347,10 @@ def e18(spark, sf):
 
 
 @query("e18_failed_ids", with_("reviews", "filled") + "," + VERDICT_SQL + """
-    SELECT 'structure' AS task, approach, game, CAST(NULL AS INT) AS target_rating, CAST(rn AS INT) AS id
+    SELECT 'structure' AS task, approach, game, CAST(rn AS INT) AS id
     FROM picked WHERE bad""")
 def e18_ids(spark, sf):
-    return audit.failed_ids(_verdicts(spark, sf))
+    return audit.failed_ids(_verdicts(spark, sf)).drop("target_rating")
 
 
 @query("e19_cleaning_report", with_("reviews", "titles", "dataset") + """
