@@ -94,7 +94,7 @@ SLOT = "CAST('0x' || substr(md5(w), 1, 6) AS INT) % 64"
 
 
 @query("h1_embed", f"""
-    SELECT id, slot, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 5) AS value FROM (
+    SELECT id, slot, round(CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS FLOAT) AS DOUBLE), 5) AS value FROM (
         SELECT doc_id AS id, {SLOT} AS slot, count(*) AS n FROM (
             SELECT doc_id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9]+(?:''[A-Za-z0-9]+)?')) AS w
             FROM documents)

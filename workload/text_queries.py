@@ -136,10 +136,10 @@ def c5(spark, sf):
 
 
 @query("c6_equality_selection", with_("reviews", "filled") + """
-    SELECT id, app_id FROM filled WHERE method = 'naive' AND app_id = 7 AND rating = 3""")
+    SELECT id, app_id FROM filled WHERE method = 'naive' AND app_id = 7 AND rating = 9""")
 def c6(spark, sf):
     rows = t.filled(spark, sf)
-    return rows.filter("method = 'naive' AND app_id = 7 AND rating = 3").select("id", "app_id")
+    return rows.filter("method = 'naive' AND app_id = 7 AND rating = 9").select("id", "app_id")
 
 
 @query("c7_drop_null", """
