@@ -15,10 +15,11 @@ WS_CODES = [
     0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
 ]
 WS_CHARS = "".join(map(chr, WS_CODES))
-WS_CLASS = "".join(rf"\x{{{c:x}}}" for c in WS_CODES)
+# The same set as a class body; the patterns below switch \s to Unicode with (?U).
+WS = r"\s\x1c-\x1f"
 # Token patterns.
 WORD_PATTERN = r"[A-Za-z0-9]+(?:'[A-Za-z0-9]+)?"
-TERM_PATTERN = r"[\p{L}\p{N}_]{2,}"
+TERM_PATTERN = r"[a-z0-9_\p{L}\p{N}]{2,}"
 
 
 def as_text(c: Column) -> Column:
@@ -37,7 +38,7 @@ def rstrip(c: Column) -> Column:
 
 def is_non_blank(c: Column) -> Column:
     """At least one visible character; NULL is blank."""
-    return F.coalesce(c.rlike(f"[^{WS_CLASS}]"), F.lit(False))
+    return F.coalesce(c.rlike(f"(?U)[^{WS}]"), F.lit(False))
 
 
 def char_length_between(c: Column, lo: int, hi: int | None = None) -> Column:
@@ -53,12 +54,12 @@ def word_tokens(c: Column, lower: bool = False) -> Column:
 
 def ws_tokens(c: Column) -> Column:
     """Tokens between white space."""
-    return F.regexp_extract_all(c, F.lit(f"[^{WS_CLASS}]+"), F.lit(0))
+    return F.regexp_extract_all(c, F.lit(f"(?U)[^{WS}]+"), F.lit(0))
 
 
 def ws_word_count(c: Column) -> Column:
     """Number of white-space tokens."""
-    return F.regexp_count(c, F.lit(f"[^{WS_CLASS}]+"))
+    return F.regexp_count(c, F.lit(f"(?U)[^{WS}]+"))
 
 
 def term_tokens(c: Column) -> Column:
@@ -72,12 +73,14 @@ def ngrams(tokens: Column, n: int) -> Column:
     Tokens hold no spaces, so the joined form is unique; and strings let
     ``array_distinct`` hash, where structs would be compared pair by pair.
     """
-    if n == 1:
-        return tokens
-    starts = F.slice(tokens, 1, F.greatest(F.size(tokens) - (n - 1), F.lit(0)))
-    return F.transform(
-        starts, lambda t, i: F.concat_ws(" ", t, *[F.get(tokens, i + j) for j in range(1, n)])
-    )
+    grams = tokens
+    for size in range(2, n + 1):
+        length = F.greatest(F.size(tokens) - (size - 1), F.lit(0))
+        grams = F.zip_with(
+            F.slice(grams, 1, length), F.slice(tokens, size, length),
+            lambda head, last: F.concat(head, F.lit(" "), last),
+        )
+    return grams
 
 
 def safe_ratio(num: Column, den: Column) -> Column:
@@ -103,7 +106,9 @@ def _unique_share(tokens: Column, n: int) -> Column:
 
 def clean_text(c: Column) -> Column:
     """Strip, collapse white space, double quotes to single."""
-    return F.translate(F.regexp_replace(strip(c), f"[{WS_CLASS}]+", " "), '"', "'")
+    # Single spaces, the common case, are left out of the match.
+    runs = f"(?U)[{WS}]{{2,}}|[{WS}&&[^ ]]"
+    return F.translate(F.regexp_replace(strip(c), runs, " "), '"', "'")
 
 
 def strip_tags(c: Column) -> Column:
@@ -113,7 +118,7 @@ def strip_tags(c: Column) -> Column:
 
 def clean_generated(c: Column) -> Column:
     """Drop a leading 'review :' in any case."""
-    return strip(F.regexp_replace(strip(c), f"(?i)^review[{WS_CLASS}]*:", ""))
+    return strip(F.regexp_replace(strip(c), f"(?iU)^review[{WS}]*:", ""))
 
 
 def after_review_colon(c: Column) -> Column:

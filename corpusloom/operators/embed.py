@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import WORD_PATTERN
+from ..sizing import spread
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -59,4 +60,4 @@ def embed(
             unit = np.divide(m, norms, out=np.zeros_like(m), where=norms > 0).astype(np.float32)
             yield pd.Series(list(unit), index=texts.index)
 
-    return df.withColumn(out, encode(F.col(text_col)))
+    return spread(df).withColumn(out, encode(F.col(text_col)))

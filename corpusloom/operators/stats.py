@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
 from ..functions.flags import range_flag
-from ..sizing import local_if_small
+from ..sizing import local_if_small, spread
 
 
 def _share(flag: str | Column) -> Column:
@@ -105,7 +105,7 @@ def mean_of(df: DataFrame, **columns: Column) -> DataFrame:
 
 def top_words(df: DataFrame, c: str, n: int = 20) -> DataFrame:
     """Most frequent lower-cased white-space tokens; ties by word."""
-    words = df.select(F.explode(tx.ws_tokens(F.lower(c))).alias("word"))
+    words = spread(df.select(c)).select(F.explode(tx.ws_tokens(F.lower(c))).alias("word"))
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("count"))
     return counts.orderBy(F.desc("count"), "word").limit(n)
 

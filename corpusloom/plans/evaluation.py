@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import flags, text as tx
 from ..operators import guards, judge, metrics, sampling, similarity, stats
 from ..operators.joins import scatter_back
+from ..sizing import spread
 
 
 def generation_rows(scored: DataFrame, text_col: str = "generated_text") -> DataFrame:
     """Target, compliance and length flags next to a prediction."""
-    return scored.withColumns({
+    return spread(scored).withColumns({
         "target_label": flags.target(F.col("rating"), "at_least_7"),
         "word_count": tx.ws_word_count(F.col(text_col)),
     }).withColumns({
@@ -39,7 +40,7 @@ def diversity_rows(
     )
     tokens = F.col("_tokens")
     return (
-        used.withColumn("_tokens", tx.word_tokens(F.col(text_col), lower))
+        spread(used).withColumn("_tokens", tx.word_tokens(F.col(text_col), lower))
         .filter(F.size(tokens) >= min_words)
         .withColumns({
             "word_count": F.size(tokens),

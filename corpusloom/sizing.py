@@ -45,3 +45,12 @@ def local_if_small(df: DataFrame, max_rows: int = MAX_DRIVER_ROWS) -> DataFrame:
     if len(rows) > max_rows:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores ahead of heavy per-row work, when the input has fewer files than that.
+
+    A table in many files is left as it is: its scan already gives enough tasks.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import fixed_texts as T, flags, prompts, text as tx
 from corpusloom.operators import dedup, guards, joins, sampling
+from corpusloom.sizing import spread
 from corpusloom.sources import readers
 
 from . import tables as t
@@ -277,7 +278,7 @@ def g2(spark, sf):
                       lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) AS gram
         FROM words) GROUP BY gram HAVING count(*) > 1""")
 def g3(spark, sf):
-    tokens = t.filled(spark, sf).select(tx.word_tokens(F.col("generated_text")).alias("_t"))
+    tokens = spread(t.filled(spark, sf)).select(tx.word_tokens(F.col("generated_text")).alias("_t"))
     grams = tokens.select(F.explode(tx.ngrams(F.col("_t"), 3)).alias("gram"))
     return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
