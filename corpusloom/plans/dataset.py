@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import flags, prompts, text as tx
 from ..operators import dedup, guards, joins, sampling, stats
+from ..session import cut_lineage
 from ..sources import readers
 
 
@@ -61,6 +62,7 @@ def training_pairs(
         tx.char_length_between(F.col("review_text"), lo, hi) & tx.is_non_blank(F.col("title"))
     )
     if exact:
+        rows = cut_lineage(rows)  # the split looks at the rows three times
         rows = sampling.split_exact(rows, id_col, test, seed)
     else:
         rows = rows.withColumn("is_test", sampling.split_flag(id_col, test, seed))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import flags, text as tx
 from ..operators import guards, judge, metrics, sampling, similarity, stats
 from ..operators.joins import scatter_back
+from ..session import cut_lineage
 from ..sizing import spread
 
 
@@ -97,7 +98,7 @@ def fit_eval(
 
     model = judge.train_judge(prepared(train), "y", text_col=text_col, **options)
     scored = judge.score(prepared(val), model).select(id_col, "y", "score", "pred_label")
-    return model, scored
+    return model, cut_lineage(scored)  # four narrow columns, read by every metric
 
 
 def fit_report(scored: DataFrame, model_name: str) -> DataFrame:
