@@ -132,13 +132,14 @@ class _Cells:
             self.radius[row["_cell"]] = row["r"]
             parts[row["_cell"]] = -(-row["n"] // block)
         table = F.array(*[F.lit(p) for p in parts])
-        part = F.pmod(F.xxhash64("_rep"), F.get(table, F.col("_cell")))
+        self._parts = F.get(table, F.col("_cell"))
+        part = F.pmod(F.xxhash64("_rep"), self._parts)
         self.homed = homed
         self.blocks = (
             homed.groupBy("_cell", part.alias("_part"))
             .agg(F.collect_list(F.struct("_rep", "_copies", "_vec")).alias("_rows"))
             .select(
-                "_cell", F.col("_rows._rep").alias("t_ids"), F.col("_rows._copies").alias("t_copies"),
+                "_cell", "_part", F.col("_rows._rep").alias("t_ids"), F.col("_rows._copies").alias("t_copies"),
                 F.flatten("_rows._vec").alias("t_flat"),
             )
         )
@@ -196,15 +197,20 @@ class _Cells:
     def meet(self, visits: DataFrame, n_queries: int) -> DataFrame:
         """Query blocks next to the target blocks of the cell they visit.
 
-        A cell is visited by at most all queries, so that many parts bound a query block.
+        A cell is visited by at most all queries, so that many parts bound a query block. Query
+        blocks are copied to every part of their cell and meet it by (cell, part), which spreads a
+        crowded cell over as many keys as it has blocks.
         """
         parts = -(-n_queries // self.block) or 1
         packs = (
             visits.groupBy("_cell", F.pmod(F.xxhash64("_rep"), F.lit(parts)).alias("_qpart"))
             .agg(F.collect_list(F.struct("_rep", "_vec")).alias("_rows"))
-            .select("_cell", F.col("_rows._rep").alias("q_ids"), F.flatten("_rows._vec").alias("q_flat"))
+            .select(
+                "_cell", F.explode(F.sequence(F.lit(0), self._parts - 1).cast("array<bigint>")).alias("_part"),
+                F.col("_rows._rep").alias("q_ids"), F.flatten("_rows._vec").alias("q_flat"),
+            )
         )
-        return packs.join(self.blocks, "_cell").select("q_ids", "q_flat", "t_ids", "t_copies", "t_flat")
+        return packs.join(self.blocks, ["_cell", "_part"]).select("q_ids", "q_flat", "t_ids", "t_copies", "t_flat")
 
 
 def _block_pairs(batches) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:

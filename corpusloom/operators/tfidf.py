@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as tx
-from ..sizing import broadcast_if_small
+from ..sizing import MAX_BROADCAST_ROWS, broadcast_if_small
 
 
 def grams(c: Column, n_max: int = 2) -> Column:
@@ -58,15 +58,20 @@ def tfidf(
     counts = term_counts(df, id_col, text_col, n_max)
     n_docs = df.agg(F.count(F.lit(1)).alias("n_docs"))
     vocab = vocabulary(counts, n_docs, min_df, max_features)
-    return weigh(counts, vocab, id_col)
+    return weigh(counts, vocab, id_col, max_features)
 
 
-def weigh(counts: DataFrame, vocab: DataFrame, id_col: str) -> DataFrame:
+def weigh(
+    counts: DataFrame, vocab: DataFrame, id_col: str, max_features: int = 50_000
+) -> DataFrame:
     """Weights of known terms, so a vocabulary can be applied to other documents.
 
-    The vocabulary is cut to max_features terms when it is made, hence the broadcast.
+    ``max_features`` is the length the vocabulary was cut to, which decides on the broadcast.
     """
-    raw = counts.join(F.broadcast(vocab.select("term", "idf")), "term").withColumn(
+    known = vocab.select("term", "idf")
+    if max_features <= MAX_BROADCAST_ROWS:
+        known = F.broadcast(known)
+    raw = counts.join(known, "term").withColumn(
         "_w", F.col("tf") * F.col("idf")
     )
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))

@@ -27,7 +27,7 @@ def judge_generated(filled: DataFrame, model: PipelineModel, text_col: str = "ge
     """Score the filled rows with a trained judge."""
     guards.require_columns(filled, ["rating", "method", text_col])
     used = guards.non_blank(guards.clean_text_col(filled, text_col), text_col)
-    return generation_rows(judge.score(used, model), text_col)
+    return generation_rows(judge.score(used, model, text_col), text_col)
 
 
 def diversity_rows(
@@ -59,7 +59,7 @@ def with_inter_similarity(
 ) -> DataFrame:
     """kNN similarity over all groups together, of a sample if asked; other rows keep NULL."""
     part = sampling.sample_n(vectors, max_samples, id_col, seed)
-    sims = similarity.knn_self_similarity(part, k, id_col)
+    sims = cut_lineage(similarity.knn_self_similarity(part, k, id_col))  # measured, then joined
     return scatter_back(rows, sims, id_col)
 
 
@@ -97,7 +97,7 @@ def fit_eval(
         )
 
     model = judge.train_judge(prepared(train), "y", text_col=text_col, **options)
-    scored = judge.score(prepared(val), model).select(id_col, "y", "score", "pred_label")
+    scored = judge.score(prepared(val), model, text_col).select(id_col, "y", "score", "pred_label")
     return model, cut_lineage(scored)  # four narrow columns, read by every metric
 
 

@@ -53,4 +53,5 @@ def spread(df: DataFrame) -> DataFrame:
     A table in many files is left as it is: its scan already gives enough tasks.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    files = len(df._jdf.inputFiles())  # counted in the JVM; the names stay there
+    return df.repartition(cores) if files < cores else df
