@@ -25,6 +25,9 @@ def build_session(app: str = "corpusloom", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+_own_folders: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
@@ -36,9 +39,9 @@ def shared_dir(spark: SparkSession) -> str:
         return folder
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="corpusloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if sc.applicationId not in _own_folders:
+        _own_folders[sc.applicationId] = tempfile.mkdtemp(prefix="corpusloom-")
+    return _own_folders[sc.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
