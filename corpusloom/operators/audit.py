@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import fixed_texts as T
 from ..functions.prompts import fill
 from ..functions.text import clean_text, percent_value, snippet
+from ..session import cut_lineage
 from .sampling import SEED, sample_order, sample_per_group, stratified
 
 TASKS = {
@@ -24,11 +25,17 @@ def _joined(position: str, line: str, glue: str):
     return F.array_join(F.transform(lines, lambda s: s[line]), glue)
 
 
+def _keys(known: DataFrame, by: Sequence[str], id_col: str) -> DataFrame:
+    """Group and id of the rows that have a text: the texts are read for this once."""
+    return cut_lineage(known.select(*by, id_col))
+
+
 def numbered_block(
     df: DataFrame, by: Sequence[str], text_col: str, id_col: str, n: int = 50, seed: int = SEED
 ) -> DataFrame:
     """Per group a sample of n texts as ``[ID: i] "text"`` lines, and their number."""
-    picked = sample_per_group(df.filter(F.col(text_col).isNotNull()), by, n, id_col, seed)
+    known = df.filter(F.col(text_col).isNotNull())
+    picked = sample_per_group(known, by, n, id_col, seed, _keys(known, by, id_col))
     numbered = picked.withColumn("_i", F.row_number().over(sample_order(by, id_col, seed)))
     lines = numbered.withColumn(
         "_line",
@@ -82,7 +89,9 @@ def judge_sample(
     methods: Sequence[str] = T.METHODS, n: int = 100, seed: int = SEED,
 ) -> DataFrame:
     """N rows per method, numbered from 0 as ``temp_id``."""
-    return stratified(df.filter(F.col(text_col).isNotNull()), "method", n, id_col, methods, seed)
+    known = df.filter(F.col(text_col).isNotNull())
+    keys = _keys(known, ["method"], id_col)
+    return stratified(known, "method", n, id_col, methods, seed, keys)
 
 
 def judge_block(sample: DataFrame, text_col: str = "generated_text") -> DataFrame:

@@ -35,7 +35,10 @@ def _same_group(left: DataFrame, right: DataFrame, by: Sequence[str]) -> Column:
 
 
 def _cut_points(df: DataFrame, by: Sequence[str], id_col: str, seed: int, quota) -> DataFrame:
-    """Per group: the hash and id of the last row inside the quota, and the group size."""
+    """Per group: the hash and id of the last row inside the quota.
+
+    One row per group; marked for broadcast when the groups were counted to be few.
+    """
     narrow = df.select(
         *[F.col(c).alias(f"_g_{c}") for c in by],
         F.col(id_col).alias("_id"),
@@ -52,8 +55,10 @@ def _cut_points(df: DataFrame, by: Sequence[str], id_col: str, seed: int, quota)
         .filter((F.col("_upto") >= F.col("_quota")) & (F.col("_upto") - F.col("_n") < F.col("_quota")))
         .select(*groups, "_prefix", (F.col("_quota") - F.col("_upto") + F.col("_n")).alias("_need"))
     )
+    few = not by
     if by:
-        cells = local_if_small(cells)
+        local = local_if_small(cells)
+        few, cells = local is not cells, local
         match = F.lit(True)
         for g in groups:
             match = match & F.col(f"n.{g}").eqNullSafe(F.col(f"c.{g}"))
@@ -67,24 +72,24 @@ def _cut_points(df: DataFrame, by: Sequence[str], id_col: str, seed: int, quota)
     ranked = last.withColumn(
         "_rank", F.row_number().over(Window.partitionBy(*groups).orderBy("_h", "_id"))
     )
-    return ranked.filter("_rank = _need").select(
+    cuts = ranked.filter("_rank = _need").select(
         *groups, F.col("_h").alias("_cut_h"), F.col("_id").alias("_cut_id")
     )
+    return F.broadcast(cuts) if few else cuts
 
 
 def _take_lowest(
     df: DataFrame, by: Sequence[str], id_col: str, seed: int, quota: Callable[[Column], Column],
-    inside: str | None = None,
+    inside: str | None = None, keys: DataFrame | None = None,
 ) -> DataFrame:
-    cuts = _cut_points(df, by, id_col, seed, quota)
+    cuts = _cut_points(df if keys is None else keys, by, id_col, seed, quota)
     h = seeded_hash(id_col, seed)
     if by:
-        cuts = local_if_small(cuts)
         joined = df.join(cuts, _same_group(df, cuts, by), "inner" if inside is None else "left")
     elif inside is None:
-        joined = df.crossJoin(F.broadcast(cuts))
+        joined = df.crossJoin(cuts)
     else:
-        joined = df.join(F.broadcast(cuts), F.lit(True), "left")
+        joined = df.join(cuts, F.lit(True), "left")
     fits = (h < F.col("_cut_h")) | ((h == F.col("_cut_h")) & (F.col(id_col) <= F.col("_cut_id")))
     extra = [f"_g_{c}" for c in by] + ["_cut_h", "_cut_id"]
     if inside is None:
@@ -93,10 +98,15 @@ def _take_lowest(
 
 
 def sample_per_group(
-    df: DataFrame, by: Sequence[str], n: int, id_col: str, seed: int = SEED
+    df: DataFrame, by: Sequence[str], n: int, id_col: str, seed: int = SEED,
+    keys: DataFrame | None = None,
 ) -> DataFrame:
-    """min(n, size) rows of every group; a NULL key is a group."""
-    return _take_lowest(df, list(by), id_col, seed, lambda total: F.lit(n))
+    """min(n, size) rows of every group; a NULL key is a group.
+
+    ``keys`` may hold the group and id columns of exactly the rows of ``df``, written before,
+    where finding them again would read wide columns.
+    """
+    return _take_lowest(df, list(by), id_col, seed, lambda total: F.lit(n), keys=keys)
 
 
 def sample_n(df: DataFrame, n: int, id_col: str, seed: int = SEED) -> DataFrame:
@@ -110,10 +120,13 @@ def sample_order(by: Sequence[str], id_col: str, seed: int = SEED):
 
 
 def stratified(
-    df: DataFrame, by: str, n: int, id_col: str, strata: Sequence[str], seed: int = SEED
+    df: DataFrame, by: str, n: int, id_col: str, strata: Sequence[str], seed: int = SEED,
+    keys: DataFrame | None = None,
 ) -> DataFrame:
     """up to n rows per stratum, stacked in the given order, with ``temp_id`` from 0."""
-    picked = sample_per_group(df.filter(F.col(by).isin(list(strata))), [by], n, id_col, seed)
+    wanted = F.col(by).isin(list(strata))
+    keys = None if keys is None else keys.filter(wanted)
+    picked = sample_per_group(df.filter(wanted), [by], n, id_col, seed, keys)
     place = F.array_position(F.array(*[F.lit(s) for s in strata]), F.col(by))
     return dense_id(
         picked, [place, seeded_hash(id_col, seed), F.col(id_col)], name="temp_id",

@@ -39,10 +39,12 @@ def diversity_rows(
     used = guards.non_blank(
         guards.clean_text_col(guards.ensure_column(df, by), text_col), text_col
     )
+    if min_words >= 1:
+        # Any word at all: found without making the tokens, so the rest can be spread first.
+        used = used.filter(F.col(text_col).rlike("[A-Za-z0-9]"))
     tokens = F.col("_tokens")
-    return (
+    rows = (
         spread(used).withColumn("_tokens", tx.word_tokens(F.col(text_col), lower))
-        .filter(F.size(tokens) >= min_words)
         .withColumns({
             "word_count": F.size(tokens),
             "distinct_1": tx.distinct_n(tokens, 1),
@@ -51,6 +53,7 @@ def diversity_rows(
         })
         .drop("_tokens")
     )
+    return rows.filter(F.col("word_count") >= min_words) if min_words > 1 else rows
 
 
 def with_inter_similarity(

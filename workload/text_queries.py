@@ -83,10 +83,11 @@ def a7(spark, sf):
     return sampling.cap_per_key(rows, "app_id", ["id"], 20)
 
 
-@query("a8_a9_required_and_default_columns",
+@query("a8_a10_guards",
        "SELECT 'unknown' AS method, lang, count(*) AS n FROM documents GROUP BY lang")
 def a9(spark, sf):
     docs = guards.require_columns(t.table(spark, sf, "documents"), ["doc_id", "text", "lang"])
+    docs = guards.require_nonempty(docs, "no documents")
     return guards.ensure_column(docs, "method").groupBy("method", "lang").agg(
         F.count(F.lit(1)).alias("n")
     )
