@@ -60,4 +60,5 @@ def embed(
             unit = np.divide(m, norms, out=np.zeros_like(m), where=norms > 0).astype(np.float32)
             yield pd.Series(list(unit), index=texts.index)
 
-    return spread(df).withColumn(out, encode(F.col(text_col)))
+    # Marked non-deterministic, a filter on the vectors does not run the encoder a second time.
+    return spread(df).withColumn(out, encode.asNondeterministic()(F.col(text_col)))
