@@ -10,36 +10,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as tx
-from ..sizing import MAX_BROADCAST_ROWS, broadcast_if_small
+from ..sizing import MAX_BROADCAST_ROWS, broadcast_if_small, spread
 
 
-def grams(c: Column, n_max: int = 2) -> Column:
-    """All 1..n_max-grams of the term tokens."""
-    tokens = tx.term_tokens(c)
-    return F.concat(*[tx.ngrams(tokens, n) for n in range(1, n_max + 1)])
+def gram_array(c: Column, n_max: int = 2) -> Column:
+    """All 1..n_max-grams of an array of term tokens."""
+    return F.concat(*[tx.ngrams(c, n) for n in range(1, n_max + 1)])
 
 
 def term_counts(df: DataFrame, id_col: str, text_col: str, n_max: int = 2) -> DataFrame:
     """(id, term, tf)."""
     placed = df.select(id_col, text_col).repartition(id_col)
     tokens = placed.select(id_col, tx.term_tokens(F.col(text_col)).alias("_t"))
-    lists = [tx.ngrams(F.col("_t"), n) for n in range(1, n_max + 1)]
     return (
-        tokens.select(id_col, F.explode(F.concat(*lists)).alias("term"))
+        tokens.select(id_col, F.explode(gram_array(F.col("_t"), n_max)).alias("term"))
         .groupBy(id_col, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
 
 
+def term_totals(df: DataFrame, text_col: str, n_max: int = 2) -> DataFrame:
+    """(term, df, total): documents holding the term and its occurrences.
+
+    Both come from one pass that adds up inside each task first; no document is shuffled.
+    """
+    tokens = spread(df.select(text_col)).select(tx.term_tokens(F.col(text_col)).alias("_t"))
+    lists = tokens.select(gram_array(F.col("_t"), n_max).alias("_g"))
+    marked = F.concat(
+        F.transform("_g", lambda g: F.struct(g.alias("term"), F.lit(0).alias("first"))),
+        F.transform(F.array_distinct("_g"), lambda g: F.struct(g.alias("term"), F.lit(1).alias("first"))),
+    )
+    return (
+        lists.select(F.inline(marked))
+        .groupBy("term")
+        .agg(F.sum("first").alias("df"), F.sum(1 - F.col("first")).alias("total"))
+    )
+
+
 def vocabulary(
-    counts: DataFrame, n_docs: DataFrame, min_df: int = 2, max_features: int = 50_000
+    totals: DataFrame, n_docs: DataFrame, min_df: int = 2, max_features: int = 50_000
 ) -> DataFrame:
     """(term, df, total, idf): terms in at least min_df documents, the most frequent first,
-    ties by term. ``n_docs`` is one row with the number of documents, empty ones included."""
+    ties by term. ``n_docs`` is one row with the number of documents, empty ones included.
+
+    The number of terms per total gives the total that is still needed; only terms from there
+    on, the vocabulary and the ties at its end, meet in the final sort.
+    """
+    terms = totals.filter(F.col("df") >= min_df)
+    per_total = terms.groupBy("total").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(
+        Window.orderBy(F.desc("total")).rowsBetween(Window.unboundedPreceding, 0)
+    )
+    cut = (
+        per_total.withColumn("_upto", upto)
+        .filter(F.col("_upto") - F.col("_n") < max_features)
+        .agg(F.min("total").alias("_cut"))
+    )
     return (
-        counts.groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-        .filter(F.col("df") >= min_df)
+        terms.crossJoin(F.broadcast(cut))
+        .filter(F.col("total") >= F.col("_cut"))
         .orderBy(F.desc("total"), "term")
         .limit(max_features)
         .crossJoin(F.broadcast(n_docs))
@@ -57,7 +86,7 @@ def tfidf(
     """H4: tf * (ln((1 + n) / (1 + df)) + 1), each document scaled to unit length."""
     counts = term_counts(df, id_col, text_col, n_max)
     n_docs = df.agg(F.count(F.lit(1)).alias("n_docs"))
-    vocab = vocabulary(counts, n_docs, min_df, max_features)
+    vocab = vocabulary(term_totals(df, text_col, n_max), n_docs, min_df, max_features)
     return weigh(counts, vocab, id_col, max_features)
 
 

@@ -205,9 +205,12 @@ def test_tfidf_against_plain_python(spark):
 
 def test_vocabulary_cut_and_score(spark):
     df = spark.createDataFrame(DOCS, "id INT, t STRING")
-    counts = tfidf.term_counts(df, "id", "t")
+    totals = tfidf.term_totals(df, "t")
     n = df.agg(F.count(F.lit(1)).alias("n_docs"))
-    assert [r["term"] for r in tfidf.vocabulary(counts, n, 2, 2).collect()] == ["fun", "good"]
+    assert [r["term"] for r in tfidf.vocabulary(totals, n, 2, 2).collect()] == ["fun", "good"]
+    known = {r["term"]: (r["df"], r["total"]) for r in tfidf.vocabulary(totals, n, 1).collect()}
+    assert known["good"] == (2, 3) and known["fun"] == (3, 3) and known["good fun"] == (2, 2)
+    assert tfidf.vocabulary(totals, n, 9).count() == 0
     weights = spark.createDataFrame([(1, "good", 0.5), (1, "fun", 0.5), (2, "bad", 1.0)], "id INT, term STRING, weight DOUBLE")
     coefs = spark.createDataFrame([("good", 2.0), ("fun", 1.0), ("bad", -3.0)], "term STRING, coef DOUBLE")
     got = rows(tfidf.linear_score(df.select("id"), weights, coefs, "id", 0.1), "id")
