@@ -1,4 +1,4 @@
 """All queries of the operators."""
 
-from . import q_decontamination, q_licenses, q_sharding  # noqa: F401
+from . import q_decontamination, q_licenses, q_near_dedup, q_sharding  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
