@@ -3,12 +3,11 @@
 Every benchmark item is cut into windows of 13 words (a shorter item is one window). The tokens of a
 window are ordered by how rare they are in the corpus; as a window must be contained whole, a prefix
 of one token is enough: a document with the window holds its rarest word. The words of documents
-meet that index in one pass. Each meeting lays item against document at one offset; the length and
-position bounds cut out the words both have there, and the words are compared one by one. Runs of
-equal words at least a window long are exact containments.
+meet that index in one pass. Each meeting lays the window against the document at one place; length
+and position bounds come first, then all its words are compared.
 
 The index is broadcast in blocks of measured size, one pass over the documents per block. No text
-is shuffled: only (document, item, offset) rows of found windows are.
+is shuffled: only rows of found windows are.
 
 Defined cases: a null or wordless text or item has no words and no windows; repeated items and words
 count once per document position; rows that share a document id share its hits; null ids are an id
@@ -21,59 +20,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut_lineage
-from .native_words import ascii_lower, broadcast_blocks, lookup_key, union_all, word_rows, words
+from .native_words import ascii_lower, broadcast_blocks, lookup_key, union_all, word_rows, words, words_at
 
 WINDOW = 13
 
 
 def item_index(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, window: int) -> list[DataFrame]:
-    """Blocks of (_key, _item, _at, _item_words): the rarest word of every window and where in the item it stands."""
+    """Blocks of (_key, _item, _before, _width, _window): every window under its rarest word, which
+    stands after ``_before`` others."""
     w = cut_lineage(
-        items.select(F.col(item_id).alias("_item"), words(ascii_lower(F.col(item_text))).alias("_item_words"))
-        .filter(F.size("_item_words") > 0).distinct().withColumn("_row", F.xxhash64("_item", "_item_words")),
-        "items",
+        items.select(F.col(item_id).alias("_item"), words(ascii_lower(F.col(item_text))).alias("_w"))
+        .filter(F.size("_w") > 0).distinct(), "items",
     )
-    placed = w.select("_row", F.posexplode("_item_words").alias("_at", "_w"), F.size("_item_words").alias("_m"))
-    placed = placed.withColumn("_key", lookup_key(F.col("_w")))
+    width = F.least(F.lit(window), F.size("_w"))
+    windows = w.select("_item", "_w", width.alias("_width"), F.explode(F.sequence(F.lit(1), F.size("_w") - width + 1)).alias("_s"))
+    windows = cut_lineage(
+        windows.select("_item", "_width", F.slice("_w", F.col("_s"), F.col("_width")).alias("_w")).distinct()
+        .withColumn("_window", F.array_join("_w", " ")), "item-windows",
+    )
+    placed = windows.select("_item", "_width", "_window", F.posexplode("_w").alias("_before", "_word"))
+    placed = placed.select("_item", "_width", "_window", "_before", lookup_key(F.col("_word")).alias("_key"))
     vocabulary = broadcast_blocks(placed.select("_key").distinct(), "_key", "item-words")
     corpus = word_rows(docs, doc_id, text).select("_key")
     counts = union_all([corpus.join(v, "_key").groupBy("_key").agg(F.count(F.lit(1)).alias("_n")) for v in vocabulary])
-    rare = placed.join(counts, "_key", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
-    # A word stands in the windows that start up to window - 1 words before it.
-    last_start = F.greatest(F.col("_m") - window, F.lit(0))
-    starts = rare.withColumn(
-        "_start", F.explode(F.sequence(F.greatest(F.col("_at") - window + 1, F.lit(0)), F.least("_at", last_start)))
-    )
-    rarest = Window.partitionBy("_row", "_start").orderBy("_n", "_key", "_at")
-    prefix = starts.withColumn("_r", F.row_number().over(rarest)).filter("_r = 1").select("_row", "_at", "_key").distinct()
-    return broadcast_blocks(prefix.join(w, "_row").select("_key", "_item", "_at", "_item_words"), "_key", "item-index")
+    rarest = Window.partitionBy("_item", "_window").orderBy(F.coalesce("_n", F.lit(0)), "_key", "_before")
+    prefix = placed.join(counts, "_key", "left").withColumn("_r", F.row_number().over(rarest)).filter("_r = 1")
+    return broadcast_blocks(prefix.select("_key", "_item", "_before", "_width", "_window"), "_window", "item-index")
 
 
-def find_windows(docs: DataFrame, doc_id: str, text: str, index: list[DataFrame], window: int) -> DataFrame:
+def find_windows(docs: DataFrame, doc_id: str, text: str, index: list[DataFrame]) -> DataFrame:
     """_doc, _item, _start, _end: every verified occurrence of a window, in words of the document."""
-    offset = F.col("_pos") - F.col("_at")  # of the item's first word; below 0 where the item overhangs
-    skipped = F.greatest(-offset, F.lit(0))
-    shared = F.least(F.size("_item_words") - skipped, F.size("_words") - offset - skipped)
-    width = F.least(F.lit(window), F.size("_item_words"))
+    start = F.col("_pos") - F.col("_before")
     found = []
     for block in index:
-        met = word_rows(docs, doc_id, text).join(block, "_key").filter(shared >= width)
-        laid = met.select(
-            "_doc", "_item", (offset + skipped).alias("_first"), width.alias("_width"), shared.alias("_n"),
-            F.slice("_words", offset + skipped + 1, shared).alias("_there"),
-            F.slice("_item_words", skipped + 1, shared).alias("_here"),
-        )
-        same = F.zip_with("_there", "_here", lambda a, b: F.when(ascii_lower(a) == b, "1").otherwise("0"))
-        marked = laid.select("_doc", "_item", "_first", "_width", "_n", F.array_join(same, "").alias("_same"))
-        ones = F.repeat(F.lit("1"), F.col("_width"))
-        runs = marked.filter(F.contains("_same", ones)).distinct()
-        at = F.filter(
-            F.sequence(F.lit(0), F.col("_n") - F.col("_width")),
-            lambda s: F.substring(F.col("_same"), s + 1, F.col("_width")) == F.repeat(F.lit("1"), F.col("_width")),
-        )
-        starts = runs.select("_doc", "_item", "_first", "_width", F.explode(at).alias("_s"))
-        start = F.col("_first") + F.col("_s")
-        found.append(starts.select("_doc", "_item", start.alias("_start"), (start + F.col("_width")).alias("_end")))
+        met = word_rows(docs, doc_id, text).join(block, "_key")
+        fits = (start >= 0) & (start + F.col("_width") <= F.size("_words"))
+        held = met.filter(fits & (words_at(start, F.col("_width")) == F.col("_window")))
+        found.append(held.select("_doc", "_item", start.alias("_start"), (start + F.col("_width")).alias("_end")).distinct())
     return union_all(found)
 
 
@@ -86,7 +69,7 @@ def contamination(
     A document is contaminated if it has a hit word and at least one hit in ``share`` words.
     """
     index = item_index(docs, doc_id, text, items, item_id, item_text, window)
-    hits = cut_lineage(find_windows(docs, doc_id, text, index, window), "windows")
+    hits = cut_lineage(find_windows(docs, doc_id, text, index), "windows")
     before = Window.partitionBy("_doc").orderBy("_start", "_end").rowsBetween(Window.unboundedPreceding, -1)
     spans = hits.select("_doc", "_start", "_end").distinct().withColumn(
         "_covered", F.coalesce(F.max("_end").over(before), F.lit(0))

@@ -1,10 +1,9 @@
 """Operator 10: licence scans by a positional rare-token index, in Spark expressions only.
 
-Every template is a fixed sequence of words with mandatory key phrases. Its words are ranked by
+Every template is a fixed sequence of words with a mandatory key phrase. Its words are ranked by
 inverse document frequency over the scanned corpus. The index holds the rarest word of each template
 with its position. A document word met there lays the template against the document; the next
-rarest words must stand at their relative positions, then the key phrases are compared word by
-word. The templates are a fixed list of the caller's, so the index is bounded by it.
+rarest words must stand at their relative positions, then the key phrase is compared word by word. The templates are a fixed list of the caller's, so the index is bounded by it.
 
 Defined cases: a null or wordless text has no places and no labels; a template whose words do not
 occur in the corpus is found nowhere; overlapping and repeated places all count; rows that share a
@@ -14,38 +13,34 @@ other columns are left out.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .native_words import ascii_lower, lookup_key, word_rows, words
+from .native_words import ascii_lower, lookup_key, word_rows, words, words_at
 
 RARE_WORDS = 3
 
 
 @dataclass(frozen=True)
 class Template:
-    """Words in lower case, separated by single spaces; ``phrases`` must all be found at their
-    place in ``text`` (default: the whole text)."""
+    """Words in lower case, separated by single spaces; ``phrase`` is the part that must be found
+    word by word (default: all)."""
 
     label: str
     text: str
-    phrases: tuple[str, ...] = field(default=())
+    phrase: str = ""
     base: bool = False
 
     def words(self) -> list[str]:
         return self.text.split(" ")
 
-    def phrase_places(self) -> list[tuple[int, list[str]]]:
-        every = self.words()
-        places = []
-        for phrase in self.phrases or (self.text,):
-            part = phrase.split(" ")
-            at = next((i for i in range(len(every)) if every[i : i + len(part)] == part), None)
-            if at is None:
-                raise ValueError(f"phrase {phrase!r} is not in template {self.text!r}")
-            places.append((at, part))
-        return places
+    def phrase_place(self) -> tuple[int, list[str]]:
+        every, part = self.words(), (self.phrase or self.text).split(" ")
+        for at in range(len(every)):
+            if every[at : at + len(part)] == part:
+                return at, part
+        raise ValueError(f"phrase {self.phrase!r} is not in template {self.text!r}")
 
 
 def document_frequency(docs: DataFrame, text: str, vocabulary: list[str]) -> dict[str, int]:
@@ -61,10 +56,19 @@ def rare_order(template: Template, frequency: dict[str, int]) -> list[int]:
     return sorted(range(len(every)), key=lambda i: (frequency.get(every[i], 0), i))
 
 
-def _word_at(at: Column) -> Column:
-    """The document's word at a 0-based place, '' outside of it."""
-    word = F.get(F.col("_words"), at)
-    return F.coalesce(ascii_lower(word), F.lit(""))
+def _index(spark: SparkSession, templates: list[Template], frequency: dict[str, int]) -> DataFrame:
+    """One row for each template under its rarest word."""
+    rows = []
+    for n, t in enumerate(templates):
+        every, order, (at, part) = t.words(), rare_order(t, frequency), t.phrase_place()
+        rare = [order[min(i, len(order) - 1)] for i in range(RARE_WORDS)]
+        rows.append((every[rare[0]], n, *rare, *[every[i] for i in rare], at, len(part), " ".join(part), every))
+    at = ", ".join(f"_at{i} INT" for i in range(RARE_WORDS))
+    word = ", ".join(f"_w{i} STRING" for i in range(RARE_WORDS))
+    index = spark.createDataFrame(
+        rows, f"_w STRING, _template INT, {at}, {word}, _phrase_at INT, _phrase_size INT, _phrase STRING, _every ARRAY<STRING>"
+    )
+    return index.withColumn("_key", lookup_key(F.col("_w"))).drop("_w")
 
 
 def find_places(docs: DataFrame, doc_id: str, text: str, templates: list[Template]) -> DataFrame:
@@ -73,27 +77,18 @@ def find_places(docs: DataFrame, doc_id: str, text: str, templates: list[Templat
     The score is the share of the template's words that stand at their place.
     """
     frequency = document_frequency(docs, text, [w for t in templates for w in t.words()])
-    orders = [rare_order(t, frequency) for t in templates]
-    index = docs.sparkSession.createDataFrame(
-        [(t.words()[o[0]], n, o[0]) for n, (t, o) in enumerate(zip(templates, orders))],
-        "_w STRING, _template INT, _at INT",
-    ).select(lookup_key(F.col("_w")).alias("_key"), "_template", "_at")
-    met = word_rows(docs, doc_id, text).join(F.broadcast(index), "_key")
-    start = F.col("_pos") - F.col("_at")
-    checks, score = F.lit(False), F.lit(0.0)
-    for n, (template, order) in enumerate(zip(templates, orders)):
-        every = template.words()
-        near = F.lit(True)
-        for i in order[:RARE_WORDS]:  # relative positions of the rarest words
-            near = near & (_word_at(start + i) == F.lit(every[i]))
-        for at, part in template.phrase_places():  # mandatory phrases
-            for i, word in enumerate(part, at):
-                near = near & (_word_at(start + i) == F.lit(word))
-        fits = sum(((_word_at(start + i) == F.lit(w)).cast("int") for i, w in enumerate(every)), F.lit(0))
-        mine = F.col("_template") == n
-        checks = F.when(mine, near).otherwise(checks)
-        score = F.when(mine, fits / F.lit(float(len(every)))).otherwise(score)
-    return met.filter((start >= 0) & checks).select("_doc", "_template", start.alias("_start"), score.alias("_score"))
+    met = word_rows(docs, doc_id, text).join(F.broadcast(_index(docs.sparkSession, templates, frequency)), "_key")
+    start = F.col("_pos") - F.col("_at0")
+    near = start >= 0
+    for i in range(RARE_WORDS):  # relative positions of the rarest words
+        near = near & (ascii_lower(F.get("_words", start + F.col(f"_at{i}"))) == F.col(f"_w{i}"))
+    said = words_at(start + F.col("_phrase_at"), F.col("_phrase_size")) == F.col("_phrase")
+    there = words_at(start, F.size("_every"))
+    held = met.filter(near & said).select("_doc", "_template", start.alias("_start"), there.alias("_there"), "_every").distinct()
+    # Past the shuffle rows hold the place only, not the document's words.
+    fits = F.zip_with(F.split("_there", " "), "_every", lambda a, b: F.coalesce(a == b, F.lit(False)))
+    score = F.size(F.filter(fits, lambda x: x)) / F.size("_every")
+    return held.select("_doc", "_template", "_start", score.alias("_score"))
 
 
 def scan_licenses(docs: DataFrame, doc_id: str, text: str, templates: list[Template]) -> DataFrame:

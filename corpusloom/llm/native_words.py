@@ -46,12 +46,21 @@ def broadcast_blocks(df: DataFrame, by: str, name: str, max_bytes: int = BLOCK_B
 
 
 def word_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """_doc, _words (the whole array, by reference), _pos from 0, _key."""
+    """_doc, _words (the whole array), _pos from 0, _key; a wordless text has one row with null _key.
+
+    Follow it with a broadcast join on _key whose conditions compile (no higher-order functions):
+    then the array is only referred to, and never copied for each of its words.
+    """
     held = docs.select(F.col(doc_id).alias("_doc"), words(F.col(text)).alias("_words"))
-    rows = held.select("_doc", "_words", F.posexplode("_words").alias("_pos", "_word"))
+    rows = held.select("_doc", "_words", F.posexplode_outer("_words").alias("_pos", "_word"))
     return rows.select("_doc", "_words", "_pos", lookup_key(F.col("_word")).alias("_key"))
 
 
+def words_at(first: Column, count: Column) -> Column:
+    """``count`` words of _words from a 0-based place, A-Z lowered, joined by one space."""
+    return ascii_lower(F.array_join(F.slice("_words", F.greatest(first, F.lit(0)) + 1, count), " "))
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:

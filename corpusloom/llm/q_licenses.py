@@ -14,17 +14,17 @@ TEMPLATES = [
     Template("apache-2", "apache license version 2", base=True),
     Template("cc-by-nc", "cc by nc", base=True),
     Template("agpl-3", "gnu affero general public license version 3"),
-    Template("apache-2", "licensed under the apache license version 2 0", ("apache license version 2",)),
+    Template("apache-2", "licensed under the apache license version 2 0", "apache license version 2"),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted",
-             ("redistribution and use in source and binary forms",)),
+             "redistribution and use in source and binary forms"),
     Template("cc-by", "creative commons attribution"),
-    Template("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
-    Template("cc-by-sa", "licensed under cc by sa", ("cc by sa",)),
+    Template("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
+    Template("cc-by-sa", "licensed under cc by sa", "cc by sa"),
     Template("gpl-2", "gnu general public license version 2"),
     Template("gpl-3", "this work is licensed under the gnu general public license version 3",
-             ("gnu general public license version 3",)),
+             "gnu general public license version 3"),
     Template("lgpl", "gnu lesser general public license"),
-    Template("mit", "released under the mit license", ("mit license",)),
+    Template("mit", "released under the mit license", "mit license"),
     Template("mpl-2", "mozilla public license version 2"),
 ]
 
@@ -35,16 +35,17 @@ def _sql() -> str:
 
     rows = []
     for n, t in enumerate(TEMPLATES):
-        phrases = " AND ".join(f"w[s + {at}:s + {at + len(part) - 1}] = {array(part)}" for at, part in t.phrase_places())
+        at, part = t.phrase_place()
+        phrase = f"w[s + {at}:s + {at + len(part) - 1}] = {array(part)}"
         fit = " + ".join(f"CAST(coalesce(w[s + {i}] = '{x}', false) AS INT)" for i, x in enumerate(t.words()))
-        last, (at, part) = len(t.words()), t.phrase_places()[0]
+        last = len(t.words())
         rows.append(
             f"SELECT doc_id, s - 1 AS start, '{t.label}' AS label, {str(t.base).lower()} AS base, ({fit}) / {last}.0 AS score "
-            f"FROM p WHERE anchor = {n} AND {phrases} AND {{rare{n}}}"
+            f"FROM p WHERE anchor = {n} AND {phrase} AND {{rare{n}}}"
         )
     anchors = " UNION ALL ".join(
         f"SELECT {n} AS anchor, {at} AS at, '{part[-1]}' AS word, {at + len(part) - 1} AS back"
-        for n, t in enumerate(TEMPLATES) for at, part in [t.phrase_places()[0]]
+        for n, t in enumerate(TEMPLATES) for at, part in [t.phrase_place()]
     )
     vocabulary = array(sorted({x for t in TEMPLATES for x in t.words()}))
     body = " UNION ALL ".join(rows)
