@@ -4,12 +4,14 @@ A text is cut into sentences and those into units: words, with spelled-out singl
 one. The kernel of two units compares their subsequences of three letters within a short span;
 every skipped character costs a factor, so inserted characters and gaps weaken a match and do not
 end it. Figures and signs that stand for letters are read as them, other signs are gaps. The kernel
-is made a cosine and raised to a power, and the kernel of two sentences is the sum over their units.
+is made a cosine and raised to a power; a sentence's value with a landmark is that of its most
+similar unit.
 
 Landmarks are units of labelled texts: the ones that tell the classes apart most and are not alike,
 and the harmless units most like them. The Nyström map turns a sentence's kernel values with the
 landmarks into features of a linear SVM. Labels are given for texts, so the SVM is trained in rounds:
-the highest sentence of each toxic text stands for it, against all sentences of the others. A text
+the sentences of a toxic text that score as toxic, and its highest one in any case, stand for it,
+against all sentences of the others. A text
 scores its highest sentence, as a probability calibrated at the labels' true proportions.
 
 Defined cases: a null, empty or wordless text scores like a sentence without any match; without
@@ -108,8 +110,9 @@ def triples(symbol: np.ndarray, unit: np.ndarray, span: int = SPAN) -> Iterator[
 class Landmarks:
     """Kernel values of units with fixed units."""
 
-    def __init__(self, names: list[bytes]):
+    def __init__(self, names: list[bytes], telling: int = 0):
         self.names = names
+        self.telling = telling  # the first so many tell toxic texts from others
         symbol = np.concatenate([_SYMBOL[np.frombuffer(x, np.uint8)] for x in names])
         unit = np.repeat(np.arange(len(names)), [len(x) for x in names])
         found: Counter = Counter()
@@ -150,10 +153,12 @@ class Landmarks:
         return u, l, np.minimum(total[on] / (np.sqrt(square[u]) * self.norm[l]), 1.0) ** POWER
 
     def sentences(self, units: Units) -> np.ndarray:
-        """Sums of kernel values over the units of each sentence."""
+        """Kernel value of each landmark with the unit of each sentence that is most like it."""
         m = len(self.names)
         u, l, k = self.values(units.symbol, units.unit)
-        return np.bincount(units.sentence[u] * m + l, k, minlength=len(units.text) * m).reshape(-1, m)
+        out = np.zeros(len(units.text) * m)
+        np.maximum.at(out, units.sentence[u] * m + l, k)
+        return out.reshape(-1, m)
 
 
 @dataclass
@@ -216,14 +221,15 @@ def choose_landmarks(toxic: list[str], other: list[str]) -> Landmarks | None:
             chosen.append(x)
     if not chosen:
         return None
+    telling = len(chosen)
     harmless = [x for x in counts[1] if counts[1][x] >= 3 and x not in counts[0] or counts[1][x] * a_total > 2 * counts[0][x] * b_total]
     near = kernel(chosen, harmless).max(0) if harmless else np.zeros(0)
     for i in sorted(range(len(harmless)), key=lambda i: (-near[i], harmless[i]))[: 20 * HARMLESS_LANDMARKS]:
-        if len(chosen) == TOXIC_LANDMARKS + HARMLESS_LANDMARKS:
+        if len(chosen) == telling + HARMLESS_LANDMARKS:
             break
         if kernel(chosen, [harmless[i]]).max() < 0.9:
             chosen.append(harmless[i])
-    return Landmarks(chosen)
+    return Landmarks(chosen, telling)
 
 
 def kernel(rows: list[bytes], columns: list[bytes]) -> np.ndarray:
@@ -273,11 +279,11 @@ def fit(rows: list[tuple], counts: dict, rounds: int = 3) -> Model | None:
     raw, text = np.concatenate(raw), np.concatenate(text)
     x = raw @ nystrom
     is_toxic = text < len(toxic)
-    z = raw[:, :TOXIC_LANDMARKS].sum(1)
+    z = raw[:, : marks.telling].max(1) - 0.8
     for _ in range(rounds):
         order = np.lexsort((-z, text))
         first = order[np.concatenate(([True], np.diff(text[order]) > 0))]
-        stands = np.zeros(len(z), bool)
+        stands = z > 0
         stands[first] = True
         use = ~is_toxic | stands
         y = np.where(is_toxic, 1.0, -1.0)[use]
