@@ -7,10 +7,13 @@ that share only one passage seldom share a run. Sets of up to ``SMALL`` shingles
 three, which two such sets at 0.85 always share.
 
 Candidates are met in two rounds, so that a group of n near copies costs about n pairs. First every
-document meets the one list leader it shares most lists with. Then only the lists that still span
-several components give their remaining pairs between different components. Every pair passes the
-sketch of its union (a margin of six standard deviations below the threshold) and is then confirmed
-on the full shingle sets of both texts. Equal sets are one node from the start.
+document meets the one list leader it shares most lists with. What is left are documents that stand
+in several lists spanning more than one component. Their pairs come from their full sets: shingles
+that no other of them has bound every overlap, and pairs of different components meet in a prefix of
+their rarest shared shingles, so neither a passage in many documents nor a large group of distant
+copies multiplies out. Every pair passes the sketch of its union (a margin of six standard deviations
+below the threshold) and is then confirmed on the full shingle sets of both texts. Equal sets are one
+node from the start.
 
 Defined cases: a null or wordless text has an empty set and is linked with nothing; a text of fewer
 words than a shingle has its whole sequence as its one shingle; a null id is never linked and always
@@ -36,6 +39,7 @@ SKETCH = 64
 RUN = 4
 SMALL = 24  # beyond it only runs of RUN values are listed
 SMALL_RUN = 3
+MANY, MANY_LISTS, FEW_LISTS = 14, 4, 2  # lists that two linked sets of at least MANY, or fewer, shingles share
 MARGIN = 6.0  # standard deviations of the sketch estimate
 
 
@@ -184,17 +188,54 @@ def _parts(docs: DataFrame, reps: DataFrame, percent: int, k: int) -> DataFrame:
     links = cut_lineage(confirm_links(docs, tested, percent), "links")
     parts = cut_lineage(connected_components(links, "a", "b"), "parts")
 
+    # Documents that stand often enough in lists spanning several components.
     placed = entries.select("key", "doc").join(parts, F.col("doc") == F.col("id"), "left").select(
         "key", "doc", F.coalesce("component", "doc").alias("part")
     )
-    open_lists = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
-    rest = placed.join(open_lists, "key").join(reps.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n")), "doc")
-    rest = cut_lineage(rest.select("key", "doc", "part", "n"), "rest")
-    other = rest.select("key", F.col("doc").alias("b"), F.col("part").alias("part_b"), F.col("n").alias("nb"))
-    pairs = rest.join(other, "key").filter(
-        (F.col("doc") < F.col("b")) & (F.col("part") != F.col("part_b"))
-        & (100 * F.least("n", "nb") >= percent * F.greatest("n", "nb"))
-    ).select(F.col("doc").alias("a"), "b").distinct().join(tested, ["a", "b"], "left_anti")
-    more = cut_lineage(sketch_filter(cut_lineage(pairs, "pairs"), reps, percent, k), "pairs")
+    spanning = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
+    often = placed.join(spanning, "key").groupBy("doc", "part").agg(F.count(F.lit(1)).alias("lists"))
+    sizes = reps.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"))
+    least = F.when(F.col("n") < MANY, FEW_LISTS).otherwise(MANY_LISTS)
+    still_open = cut_lineage(often.join(sizes, "doc").filter(F.col("lists") >= least).select("doc", "part", "n"), "open")
+
+    pairs = cut_lineage(prefix_pairs(docs, still_open, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
+    more = cut_lineage(sketch_filter(pairs, reps, percent, k), "pairs")
     all_links = links.unionByName(confirm_links(docs, more, percent))
     return cut_lineage(connected_components(all_links, "a", "b"), "parts")
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for t in A.text_chunks(batches, "text"):
+        sets = shingle_sets(t)
+        ids = np.repeat(t.rows.column("doc").to_numpy(zero_copy_only=False), [len(s) for s in sets])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(A.as_long(np.concatenate(sets)), pa.int64())], ["doc", "s"])
+
+
+def prefix_pairs(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (doc, part, n) of different parts that full sets do not rule out.
+
+    Over the members' full sets, shingles of one member only bound every overlap it can have; the
+    others are ordered by how many members have them, and as linked sets lack at most a small share
+    of each other's shingles, two of them meet in a prefix of their rarest ones.
+    """
+    texts = docs.join(broadcast_if_small(members.select(F.col("doc").alias("doc_id"))), "doc_id").select(
+        F.col("doc_id").alias("doc"), "text"
+    )
+    rows = cut_lineage(texts.mapInArrow(_shingle_rows, "doc BIGINT, s BIGINT").distinct(), "shingles")
+    common = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    held = rows.join(common, "s").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("shared"))
+    lacking = F.col("n") - F.ceil(F.col("n") * percent / 100)  # of its shingles, in a set it is linked with
+    lonely = F.col("n") - F.size("shared")
+    prefix = held.join(members, "doc").withColumn("lonely", lonely).filter(F.col("lonely") <= lacking).select(
+        "doc", "part", "n", (F.col("n") - F.col("lonely")).alias("most"),
+        F.explode(F.slice("shared", F.lit(1), (lacking + 1 - F.col("lonely")).cast("int"))).alias("x"),
+    ).select("doc", "part", "n", "most", F.col("x.s").alias("s"))
+    prefix = cut_lineage(prefix, "prefixes")
+    spanning = prefix.groupBy("s").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("s")
+    prefix = prefix.join(spanning, "s")
+    other = prefix.select("s", F.col("doc").alias("b"), F.col("part").alias("part_b"), F.col("n").alias("nb"), F.col("most").alias("most_b"))
+    most = F.least("most", "most_b")
+    return prefix.join(other, "s").filter(
+        (F.col("doc") < F.col("b")) & (F.col("part") != F.col("part_b"))
+        & (100 * most >= percent * (F.col("n") + F.col("nb") - most))
+    ).select(F.col("doc").alias("a"), "b").distinct()

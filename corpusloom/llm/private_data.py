@@ -120,18 +120,16 @@ def _pairs(reach: int):
     return run
 
 
-def disclosing_terms(docs: DataFrame, reach: int = REACH, support: int = SUPPORT) -> DataFrame:
-    """(term, disclosure): the largest share of any entity's information that each term discloses.
-
-    ``docs`` has tid, size (identity of the text) and text.
-    """
+def disclosing_terms(docs: DataFrame, text: str, reach: int = REACH, support: int = SUPPORT) -> DataFrame:
+    """(term, disclosure): the largest share of any entity's information that each term discloses."""
+    docs = docs.select(F.col(text).alias("text"))
     near = cut_lineage(docs.mapInArrow(_pairs(reach), PAIRS), "contexts")
     near = near.distinct()  # equal contexts count once
     pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together")).filter(F.col("together") >= support)
     entities = near.groupBy("entity").agg(F.count_distinct("context").alias("times"))
     pairs = cut_lineage(pairs.join(entities, "entity"), "pairs")
     blocks = broadcast_blocks(pairs.select(F.col("term").alias("_key")).distinct(), "_key", "terms")
-    corpus = word_rows(docs, "tid", "text").select("_key")
+    corpus = word_rows(docs.withColumn("_none", F.lit(0)), "_none", "text").select("_key")
     counts = union_all([corpus.join(b, "_key").groupBy("_key").agg(F.count(F.lit(1)).alias("places")) for b in blocks])
     total = docs.select(F.size(words(F.col("text"))).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     sure = F.least(F.col("together") / F.col("places"), F.lit(1.0))
@@ -165,16 +163,16 @@ def redact(text: str, spans: list[Span]) -> str:
     return "".join(out) + text[done:]
 
 
-FOUND = (
-    "row_id BIGINT, n_email BIGINT, n_ip BIGINT, n_card BIGINT, n_phone BIGINT, base_spans STRING, spans STRING, redacted STRING"
-)
+FOUND = "n_email BIGINT, n_ip BIGINT, n_card BIGINT, n_phone BIGINT, base_spans STRING, spans STRING, redacted STRING"
 
 
 def _find(with_text: bool):
+    """The other columns of the rows, and what is found in _text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in A.text_chunks(batches, "text"):
-            terms, gone = (t.rows.column(c).to_pylist() for c in ("terms", "gone"))
-            null = t.rows.column("text").is_null().to_pylist()
+        for t in A.text_chunks(batches, "_text"):
+            terms, gone = (t.rows.column(c).to_pylist() for c in ("_terms", "_gone"))
+            null = t.rows.column("_text").is_null().to_pylist()
             out: dict[str, list] = {k: [] for k in ("n_email", "n_ip", "n_card", "n_phone", "base_spans", "spans", "redacted")}
             for i in range(len(t)):
                 text = t.raw(i).decode()
@@ -186,33 +184,37 @@ def _find(with_text: bool):
                 out["spans"].append(",".join(f"{k}:{a}:{b}" for k, a, b in spans))
                 out["redacted"].append(None if null[i] or not with_text else redact(text, spans))
             kinds = {k: pa.int64() if k.startswith("n_") else pa.string() for k in out}
+            kept = t.rows.drop_columns(["_text", "_terms", "_gone"])
             yield pa.RecordBatch.from_arrays(
-                [t.rows.column("row_id"), *[pa.array(v, kinds[k]) for k, v in out.items()]], ["row_id", *out]
+                [*kept.columns, *[pa.array(v, kinds[k]) for k, v in out.items()]], [*kept.schema.names, *out]
             )
 
     return run
 
 
 def sanitise(
-    docs: DataFrame, doc_id: str, text: str, with_text: bool = True, reach: int = REACH, support: int = SUPPORT,
+    docs: DataFrame, text: str, carry: list[str], with_text: bool = True, reach: int = REACH, support: int = SUPPORT,
     generalise: float = GENERALISE, remove: float = REMOVE,
 ) -> DataFrame:
-    """doc_id, counts by kind, base_spans, spans ("kind:start:end" joined by commas) and, if asked,
-    redacted (the sanitised text; null stays null)."""
-    key = ["tid", "size"]
+    """The columns ``carry``, then counts by kind, base_spans, spans ("kind:start:end" joined by
+    commas) and, if asked, redacted (the sanitised text; null stays null)."""
+    key = ["_tid", "_size"]
     filled = F.coalesce(F.col(text), F.lit(""))
     docs = docs.select(
-        F.col(doc_id).cast("bigint").alias("row_id"), F.col(text).alias("text"), F.xxhash64(filled).alias("tid"),
-        F.octet_length(filled).alias("size"),
+        *carry, F.col(text).alias("_text"), F.xxhash64(filled).alias("_tid"), F.octet_length(filled).alias("_size")
     )
-    told = disclosing_terms(docs, reach, support).filter(F.col("disclosure") >= generalise)
-    told = told.select(F.col("term").alias("_key"), (F.col("disclosure") >= remove).alias("out"))
+    told = disclosing_terms(docs, "_text", reach, support).filter(F.col("disclosure") >= generalise)
+    told = told.select(F.col("term").alias("_key"), (F.col("disclosure") >= remove).alias("_out"))
     blocks = broadcast_blocks(told, "_key", "disclosing")
-    held = docs.select(F.struct("tid", "size").alias("_id"), "text")
-    met = union_all([word_rows(held, "_id", "text").join(b, "_key").select("_doc", "_pos", "out") for b in blocks])
-    places = met.distinct().groupBy(F.col("_doc.tid").alias("tid"), F.col("_doc.size").alias("size")).agg(
-        F.collect_list(F.when(~F.col("out"), F.col("_pos"))).alias("terms"),
-        F.collect_list(F.when(F.col("out"), F.col("_pos"))).alias("gone"),
+    held = docs.select(F.struct(*key).alias("_id"), "_text")
+    met = union_all([word_rows(held, "_id", "_text").join(b, "_key").select("_doc", "_pos", "_out") for b in blocks])
+    places = met.distinct().groupBy(*[F.col(f"_doc.{k}").alias(k) for k in key]).agg(
+        F.collect_list(F.when(~F.col("_out"), F.col("_pos"))).alias("_terms"),
+        F.collect_list(F.when(F.col("_out"), F.col("_pos"))).alias("_gone"),
     )
-    facts = docs.join(broadcast_if_small(cut_lineage(places, "places")), key, "left").select("row_id", "text", "terms", "gone")
-    return facts.mapInArrow(_find(with_text), FOUND).withColumnRenamed("row_id", doc_id)
+    facts = docs.join(broadcast_if_small(cut_lineage(places, "places")), key, "left").select(*carry, "_text", "_terms", "_gone")
+    schema = docs.select(*carry).schema
+    for part in FOUND.replace("BIGINT", "long").split(", "):
+        name, kind = part.split(" ")
+        schema = schema.add(name, kind.lower())
+    return facts.mapInArrow(_find(with_text), schema)

@@ -175,17 +175,22 @@ SCHEMA = (
 )
 
 
+def verdicts(model: Model | None, threshold: float, t: A.Texts) -> dict[str, pa.Array]:
+    w = A.split_words(t)
+    h = A.word_hashes(t, w)
+    base = base_counts(t, w, h)
+    failed = (base["n_words"] < 20) | (100 * base["n_repeat_words"] > 30 * base["n_words"])
+    p = model.probability(t, w, h) if model else np.ones(len(t))
+    return {
+        **{k: pa.array(v, pa.int64()) for k, v in base.items()}, "base_failed": pa.array(failed),
+        "kept": pa.array(~failed & (p >= threshold)), "probability": pa.array(p),
+    }
+
+
 def _judge(model: Model | None, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in A.text_chunks(batches, "text"):
-            w = A.split_words(t)
-            h = A.word_hashes(t, w)
-            base = base_counts(t, w, h)
-            failed = (base["n_words"] < 20) | (100 * base["n_repeat_words"] > 30 * base["n_words"])
-            p = model.probability(t, w, h) if model else np.ones(len(t))
-            out = {"doc_id": t.rows.column("doc_id"), **{k: pa.array(v, pa.int64()) for k, v in base.items()},
-                   "base_failed": pa.array(failed), "kept": pa.array(~failed & (p >= threshold)), "probability": pa.array(p)}
-            yield pa.RecordBatch.from_pydict(out)
+            yield pa.RecordBatch.from_pydict({"doc_id": t.rows.column("doc_id"), **verdicts(model, threshold, t)})
 
     return run
 
@@ -199,3 +204,19 @@ def judge_quality(
     labels = labels.select(labels[label_id].alias("doc_id"), labels[label].alias("label"))
     model = fit(*labelled_sample(docs, labels, per_class))
     return docs.mapInArrow(_judge(model, threshold), SCHEMA).withColumnRenamed("doc_id", doc_id)
+
+
+def keep_good(
+    docs: DataFrame, text: str, labels: DataFrame, label_id: str, label: str, doc_id: str,
+    per_class: int = PER_CLASS, threshold: float = THRESHOLD,
+) -> DataFrame:
+    """The rows, with all their columns, whose text passes the base rules and the model."""
+    rows = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].alias("text"))
+    labels = labels.select(labels[label_id].alias("doc_id"), labels[label].alias("label"))
+    model = fit(*labelled_sample(rows, labels, per_class))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in A.text_chunks(batches, text):
+            yield t.rows.filter(verdicts(model, threshold, t)["kept"])
+
+    return docs.mapInArrow(run, docs.schema)

@@ -37,7 +37,10 @@ PER_CLASS = 1_500
 TOXIC_LANDMARKS, HARMLESS_LANDMARKS = 40, 16
 SPAN = 7  # letters and gaps a subsequence may stretch over
 DECAY = 0.75
-POWER = 3
+POWER = 2
+RIDGE = 0.1  # on the landmarks' kernel matrix, so that none of its directions is blown up
+TELLING = 10.0  # least log-likelihood ratio of a landmark taken from toxic texts
+PURE = 10  # and how many times as often it must be in them as in others
 ALIKE = 0.5  # kernel value from which two landmarks are too alike
 CHUNK = 1 << 18
 
@@ -206,13 +209,13 @@ def choose_landmarks(toxic: list[str], other: list[str]) -> Landmarks | None:
         """How far the classes differ in a unit (log-likelihood ratio), for units of toxic texts."""
         a, b = counts[0][x], counts[1][x]
         p = (a + b) / (a_total + b_total)
-        if a / a_total <= p:
+        if a / a_total < PURE * b / b_total:
             return 0.0
         part = lambda k, n: k * np.log(max(k, 1e-9) / (n * p))
         return float(part(a, a_total) + part(b, b_total))
 
     ranked = sorted((x for x in counts[0] if counts[0][x] >= 3), key=lambda x: (-told(x), x))
-    ranked = [x for x in ranked if told(x) > 3.0][: 10 * TOXIC_LANDMARKS]
+    ranked = [x for x in ranked if told(x) > TELLING][: 10 * TOXIC_LANDMARKS]
     chosen: list[bytes] = []
     for x in ranked:
         if len(chosen) == TOXIC_LANDMARKS:
@@ -267,7 +270,7 @@ def fit(rows: list[tuple], counts: dict, rounds: int = 3) -> Model | None:
     if marks is None:
         return None
     between = kernel(marks.names, marks.names)
-    values, vectors = np.linalg.eigh((between + between.T) / 2 + 1e-6 * np.eye(len(between)))
+    values, vectors = np.linalg.eigh((between + between.T) / 2 + RIDGE * np.eye(len(between)))
     nystrom = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
     raw, text = [], []
     done = 0
@@ -279,7 +282,7 @@ def fit(rows: list[tuple], counts: dict, rounds: int = 3) -> Model | None:
     raw, text = np.concatenate(raw), np.concatenate(text)
     x = raw @ nystrom
     is_toxic = text < len(toxic)
-    z = raw[:, : marks.telling].max(1) - 0.8
+    z = raw[:, : marks.telling].max(1) ** (1 / POWER) - 0.9
     for _ in range(rounds):
         order = np.lexsort((-z, text))
         first = order[np.concatenate(([True], np.diff(text[order]) > 0))]
