@@ -274,14 +274,14 @@ def _decode(model: str, column: str):
 def encode(df: DataFrame, text: str, model: str, ids: str = "ids") -> DataFrame:
     """``df`` with the piece ids of a text column as an array column, in place of a column of that name."""
     kept = df.drop(ids)
-    schema = T.StructType(kept.schema.fields).add("_ids", T.ArrayType(T.IntegerType()))
+    schema = T.StructType([*kept.schema.fields, T.StructField("_ids", T.ArrayType(T.IntegerType()))])
     return kept.mapInArrow(_encode(model, text), schema).withColumnRenamed("_ids", ids)
 
 
 def decode(df: DataFrame, ids: str, model: str, text: str = "text") -> DataFrame:
     """``df`` with the text of an id array column, in place of a column of that name."""
     kept = df.drop(text)
-    schema = T.StructType(kept.schema.fields).add("_text", T.StringType())
+    schema = T.StructType([*kept.schema.fields, T.StructField("_text", T.StringType())])
     return kept.mapInArrow(_decode(model, ids), schema).withColumnRenamed("_text", text)
 
 
