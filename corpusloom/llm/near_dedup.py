@@ -214,9 +214,9 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def prefix_pairs(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of members (doc, part, n) of different parts that full sets do not rule out.
 
-    Over the members' full sets, shingles of one member only bound every overlap it can have; the
-    others are ordered by how many members have them, and as linked sets lack at most a small share
-    of each other's shingles, two of them meet in a prefix of their rarest ones.
+    Over the members' full sets, shingles are ordered by how many members have them. As linked sets
+    lack at most a small share of each other's shingles, two of them meet in a prefix of their
+    rarest ones, and the places of the first one they share bound what they can have in common.
     """
     texts = docs.join(broadcast_if_small(members.select(F.col("doc").alias("doc_id"))), "doc_id").select(
         F.col("doc_id").alias("doc"), "text"
@@ -227,9 +227,11 @@ def prefix_pairs(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame
     lacking = F.col("n") - F.ceil(F.col("n") * percent / 100)  # of its shingles, in a set it is linked with
     lonely = F.col("n") - F.size("shared")
     prefix = held.join(members, "doc").withColumn("lonely", lonely).filter(F.col("lonely") <= lacking).select(
-        "doc", "part", "n", (F.col("n") - F.col("lonely")).alias("most"),
-        F.explode(F.slice("shared", F.lit(1), (lacking + 1 - F.col("lonely")).cast("int"))).alias("x"),
-    ).select("doc", "part", "n", "most", F.col("x.s").alias("s"))
+        "doc", "part", "n", "lonely",
+        F.posexplode(F.slice("shared", F.lit(1), (lacking + 1 - F.col("lonely")).cast("int"))).alias("i", "x"),
+    )
+    # No rarer shingle of the set is in the other one when this is the first they share.
+    prefix = prefix.select("doc", "part", "n", (F.col("n") - F.col("lonely") - F.col("i")).alias("most"), F.col("x.s").alias("s"))
     prefix = cut_lineage(prefix, "prefixes")
     spanning = prefix.groupBy("s").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("s")
     prefix = prefix.join(spanning, "s")
