@@ -147,6 +147,24 @@ def merge(starts: np.ndarray, span: int) -> np.ndarray:
     return np.stack((starts[new], starts[stop] + span), 1).ravel()
 
 
+def _joined(span: int):
+    """Decided spans and verified window places of each text as one list of disjoint spans."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = []
+            for own, places in zip(batch.column("spans").to_pylist(), batch.column("places").to_pylist()):
+                starts = [np.arange(lo, hi - span + 1) for lo, hi in zip(own[::2], own[1::2])]
+                spans.append(merge(np.unique(np.concatenate([np.array(places or [], np.int64), *starts])), span))
+            sizes = np.array([len(x) for x in spans])
+            flat = np.concatenate([np.zeros(0, np.int64), *spans]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("tid"), batch.column("size"), A.list_array(flat, sizes, pa.int32())], ["tid", "size", "spans"]
+            )
+
+    return run
+
+
 REMOVED = "doc_id BIGINT, n_words BIGINT, n_removed BIGINT, kept_text STRING"
 
 
@@ -154,19 +172,17 @@ def _cut(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in A.text_chunks(iter([batch]), "text"):
-                spans, places, whole = (t.rows.column(c).to_pylist() for c in ("spans", "places", "whole"))
+                spans, whole = (t.rows.column(c).to_pylist() for c in ("spans", "whole"))
                 n, gone, kept = [], [], []
                 for i in range(len(t)):
                     words = t.raw(i).split()  # bytes split at the ASCII white space of the contract
                     keep = words
                     if whole[i] and len(words) >= span:
                         keep = []
-                    elif spans[i] or places[i]:
+                    elif spans[i]:
                         flags = np.ones(len(words), bool)
-                        more = merge(np.sort(places[i] or []).astype(np.int64), span).tolist()
-                        for each in (spans[i] or [], more):
-                            for lo, hi in zip(each[::2], each[1::2]):
-                                flags[lo:hi] = False
+                        for lo, hi in zip(spans[i][::2], spans[i][1::2]):
+                            flags[lo:hi] = False
                         keep = [x for x, f in zip(words, flags) if f]
                     n.append(len(words))
                     gone.append(len(words) - len(keep))
@@ -183,10 +199,7 @@ KEY = ["tid", "size"]
 
 
 def repeated_windows(docs: DataFrame, span: int, k: int) -> DataFrame:
-    """(tid, size, spans, places): what is repeated in each text that is not itself a copy's text.
-
-    ``docs`` has one row per text, or few: a text's repeated rows add occurrences of nothing new.
-    """
+    """(tid, size, spans) of each text with repeated windows; ``docs`` has one row per text."""
     scan = cut_lineage(docs.mapInArrow(_scan(span, k), SCAN), "edges")
     places = scan.filter(F.size("edges") > 0).select(*KEY, F.explode(F.arrays_zip("edges", "around")).alias("x"))
     places = places.select(*KEY, F.col("x.edges").alias("edge"), F.col("x.around").alias("around"))
@@ -207,7 +220,8 @@ def repeated_windows(docs: DataFrame, span: int, k: int) -> DataFrame:
     again = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
     verified = windows.join(again, ["h1", "h2"]).groupBy(*KEY).agg(F.collect_set("at").alias("places"))
     spans = decided.select(*KEY, "spans").dropDuplicates(KEY)
-    return spans.join(verified, KEY, "left").filter((F.size("spans") > 0) | F.col("places").isNotNull())
+    found = spans.join(verified, KEY, "left").filter((F.size("spans") > 0) | F.col("places").isNotNull())
+    return found.mapInArrow(_joined(span), "tid BIGINT, size INT, spans ARRAY<INT>")
 
 
 def remove_repeats(docs: DataFrame, doc_id: str, text: str, span: int = SPAN, k: int = KMER) -> DataFrame:
@@ -223,5 +237,5 @@ def remove_repeats(docs: DataFrame, doc_id: str, text: str, span: int = SPAN, k:
     one_each = marked.filter(F.col("first").isNull() | (any_id == F.col("first"))).drop("first")
     found = broadcast_if_small(cut_lineage(repeated_windows(one_each, span, k), "repeats"))
     facts = marked.withColumn("whole", F.col("first").isNotNull()).drop("first").join(found, KEY, "left")
-    cut = facts.select("doc_id", "text", "whole", "spans", "places").mapInArrow(_cut(span), REMOVED)
+    cut = facts.select("doc_id", "text", "whole", "spans").mapInArrow(_cut(span), REMOVED)
     return cut.withColumnRenamed("doc_id", doc_id)
