@@ -90,7 +90,8 @@ def safe_ratio(num: Column, den: Column) -> Column:
 
 def distinct_n(tokens: Column, n: int) -> Column:
     """Unique n-grams over all n-grams."""
-    return _unique_share(tokens, n)
+    total = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+    return safe_ratio(F.size(F.array_distinct(ngrams(tokens, n))), total)
 
 
 def repeat_rate(tokens: Column, n: int = 3) -> Column:
@@ -99,11 +100,6 @@ def repeat_rate(tokens: Column, n: int = 3) -> Column:
     return safe_ratio(total - F.size(F.array_distinct(ngrams(tokens, n))), total)
 
 
-def _unique_share(tokens: Column, n: int) -> Column:
-    total = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
-    return safe_ratio(F.size(F.array_distinct(ngrams(tokens, n))), total)
-
-
 def clean_text(c: Column) -> Column:
     """Strip, collapse white space, double quotes to single."""
     # Single spaces, the common case, are left out of the match.
@@ -146,13 +142,13 @@ def training_text(prompt: Column, completion: Column) -> Column:
 
 
 def percent_value(c: Column) -> Column:
-    """G18: '68.0%' as 0.68."""
-    return F.rtrim(c, F.lit("%")).cast("double") / 100
+    """G18: '68.0%' as 0.68; NULL where there is no number."""
+    return F.rtrim(c, F.lit("%")).try_cast("double") / 100
 
 
 def has_word(c: Column, word: str) -> Column:
     """The whole word in any case, with Unicode word borders."""
-    return c.rlike(rf"(?iuU)\b{word}\b")
+    return c.rlike(rf"(?iuU)\b\Q{word}\E\b")
 
 
 def first_keyword(text: Column, mapping: dict[str, str], default: Column) -> Column:

@@ -10,6 +10,7 @@ from ..functions import fixed_texts as T
 from ..functions.prompts import fill
 from ..functions.text import clean_text, percent_value, snippet
 from ..session import cut_lineage
+from ..sizing import broadcast_if_small
 from .sampling import SEED, sample_order, sample_per_group, stratified
 
 TASKS = {
@@ -68,7 +69,7 @@ def audit_prompts(
         rows = rows.filter(F.col("rating").isin(3, 9))
     blocks = numbered_block(rows, by, text_col, id_col, n, seed)
     known = meta.filter(F.col("app_id").isin(list(apps))).select("app_id", "title", "description")
-    joined = blocks.join(F.broadcast(known.dropDuplicates(["app_id"])), "app_id")
+    joined = blocks.join(broadcast_if_small(known.dropDuplicates(["app_id"])), "app_id")
     values = {"title": F.col("title"), "description": F.col("description"), "n": F.col("n"),
               "block": F.col("block")}
     seq = F.array_position(F.array(*[F.lit(a) for a in apps]), F.col("app_id")).cast("int")
@@ -111,7 +112,9 @@ def judge_block(sample: DataFrame, text_col: str = "generated_text") -> DataFram
 def normalise_verdicts(objects: DataFrame) -> DataFrame:
     """One row shape for all tasks from the parsed objects in ``v`` and the columns task, approach.
 
-    The failure count goes by several names; a sentiment verdict gives the successes instead.
+    The failure count goes by several names; a sentiment verdict gives the successes instead, in
+    number and in percent, and both are turned into failures: ``declared`` is always the stated
+    share of failures.
     """
     v = lambda name: F.col(f"v.{name}")
     failed = F.coalesce(
@@ -122,25 +125,31 @@ def normalise_verdicts(objects: DataFrame) -> DataFrame:
         v("hallucination_percentage"), v("structure_failure_percentage"),
         v("fake_spoiler_percentage"), v("spoiler_percentage"), v("accuracy_percentage"),
     )
+    declared = F.coalesce(
+        percent_value(v("hallucination_percentage")), percent_value(v("structure_failure_percentage")),
+        percent_value(v("fake_spoiler_percentage")), percent_value(v("spoiler_percentage")),
+        1 - percent_value(v("accuracy_percentage")),
+    )
     ids = F.coalesce(
         v("hallucinated_ids"), v("failed_ids"), v("fake_spoiler_ids"), v("spoiler_ids")
     )
     return objects.select(
         v("game").alias("game"), "task", "approach",
-        v("total_reviews_checked").alias("checked"), failed.alias("failed"), pct.alias("pct"),
+        v("total_reviews_checked").alias("checked"), failed.alias("failed"), pct.alias("pct"), declared.alias("declared"),
         ids.alias("ids"), v("analysis").alias("analysis"),
         v("target_rating").alias("target_rating"), v("expected_sentiment").alias("expected"),
     )
 
 
 def verdict_rates(verdicts: DataFrame) -> DataFrame:
-    """Per task, approach and game: checked, failed, rate, declared percentage and whether
-    every record lists as many ids as it declares; NULL game rows carry the mean over games."""
+    """Per task, approach and game: checked, failed, rate, declared share of failures and
+    whether every record lists as many ids as it declares. Rows without a game carry the means over
+    games; ``pooled`` is failed over checked of the row's own counts."""
     games = verdicts.groupBy("task", "approach", "game").agg(
         F.sum("checked").cast("bigint").alias("checked"),
         F.sum("failed").cast("bigint").alias("failed"),
         (F.sum("failed") / F.sum("checked")).alias("rate"),
-        F.avg(percent_value(F.col("pct"))).alias("declared"),
+        F.avg("declared").alias("declared"),
         F.bool_and(F.coalesce(F.size("ids"), F.lit(0)) == F.col("failed")).alias("ids_match"),
     )
     means = games.groupBy("task", "approach").agg(
@@ -151,7 +160,7 @@ def verdict_rates(verdicts: DataFrame) -> DataFrame:
         F.avg("declared").alias("declared"),
         F.bool_and("ids_match").alias("ids_match"),
     )
-    return games.unionByName(means)
+    return games.unionByName(means).withColumn("pooled", F.col("failed") / F.col("checked"))
 
 
 def failed_ids(verdicts: DataFrame) -> DataFrame:

@@ -129,8 +129,7 @@ def stratified(
     picked = sample_per_group(df.filter(wanted), [by], n, id_col, seed, keys)
     place = F.array_position(F.array(*[F.lit(s) for s in strata]), F.col(by))
     return dense_id(
-        picked, [place, seeded_hash(id_col, seed), F.col(id_col)], name="temp_id",
-        max_rows=n * len(strata),
+        picked, [place, seeded_hash(id_col, seed), F.col(id_col)], name="temp_id"
     )
 
 
@@ -177,18 +176,13 @@ def cap_per_key(
 
 
 def dense_id(
-    df: DataFrame, order: Sequence[str | Column], start: int = 0, name: str = "row_id",
-    max_rows: int | None = None,
+    df: DataFrame, order: Sequence[str | Column], start: int = 0, name: str = "row_id"
 ) -> DataFrame:
-    """C17: ids without gaps, in order.
+    """C17: BIGINT ids without gaps, in order.
 
-    ``max_rows`` is the caller's bound on a small sample, numbered in one task. Without it rows
-    are range-partitioned, written once to the checkpoint folder and numbered inside each range,
-    shifted by the sizes of the ranges before.
+    Rows are range-partitioned, written once to the checkpoint folder and numbered inside each
+    range, shifted by the sizes of the ranges before. It goes the same way at every size.
     """
-    if max_rows is not None and max_rows <= 100_000:
-        rank = F.row_number().over(Window.orderBy(*order))
-        return df.withColumn(name, (rank - 1 + start).cast("int"))
     keyed = df.select("*", *[
         (c if isinstance(c, Column) else F.col(c)).alias(f"_o{i}") for i, c in enumerate(order)
     ])
@@ -205,6 +199,6 @@ def dense_id(
     rank = F.row_number().over(Window.partitionBy("_range").orderBy(*keys))
     return (
         ranges.join(broadcast_if_small(offsets), "_range")
-        .withColumn(name, F.col("_before") + rank - 1 + start)
+        .withColumn(name, (F.col("_before") + rank - 1 + start).cast("bigint"))
         .drop("_range", "_before", *keys)
     )

@@ -106,10 +106,16 @@ def _knn_broadcast(
 
 # ---- cell plan -----------------------------------------------------------------------------
 
-def _distinct(df: DataFrame, id_col: str, vec: str, max_copies: int) -> DataFrame:
+def _distinct(df: DataFrame, id_col: str, vec: str, enough: int | None = None) -> DataFrame:
+    """Distinct vectors with their smallest id and number of copies.
+
+    The k nearest neighbours never need more than ``enough`` copies of one vector; without it
+    the number is the full one.
+    """
+    copies = F.count(F.lit(1))
     return df.groupBy(F.col(vec).alias("_vec")).agg(
         F.min(id_col).alias("_rep"),
-        F.least(F.count(F.lit(1)), F.lit(max_copies)).cast("int").alias("_copies"),
+        (copies if enough is None else F.least(copies, F.lit(enough))).cast("bigint").alias("_copies"),
     )
 
 
@@ -325,10 +331,9 @@ def overlap_pairs(
     Rows are (gen_id, real_id, similarity, gen_copies, real_copies): copies of one vector are one
     row with their number and smallest id, so a hot group of copies does not multiply out.
     """
-    many = (1 << 31) - 1
-    cells = _Cells(_distinct(real, real_id or id_col, vec, many), pivots, block)
+    cells = _Cells(_distinct(real, real_id or id_col, vec), pivots, block)
     asked = cut_lineage(
-        _distinct(gen, id_col, vec, many)
+        _distinct(gen, id_col, vec)
         .withColumn("_reach", F.lit(float(np.arccos(threshold))))
         .withColumn("_cell", F.lit(-1))
     )

@@ -1,8 +1,9 @@
 """TF-IDF as relations, contributions and top features.
 
-Rows are (doc_id, term, weight). A document's terms are counted where the document sits: the
-texts are spread by id once and counting, weighting and norms all use that placement. The
-vocabulary is at most ``max_features`` rows, which bounds what is broadcast.
+Rows are (doc_id, term, weight). Texts are cut into terms where they are read and are never
+shuffled: terms outside of the vocabulary are dropped in the same pass, the others are counted
+there first, and only (id, term, count) rows move. The vocabulary has at most ``max_features``
+rows and is broadcast if its bytes are few.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as tx
-from ..sizing import MAX_BROADCAST_ROWS, broadcast_if_small, spread
+from ..session import cut_lineage
+from ..sizing import broadcast_if_small, spread
 
 
 def gram_array(c: Column, n_max: int = 2) -> Column:
@@ -20,13 +22,12 @@ def gram_array(c: Column, n_max: int = 2) -> Column:
 
 def term_counts(df: DataFrame, id_col: str, text_col: str, n_max: int = 2) -> DataFrame:
     """(id, term, tf)."""
-    placed = df.select(id_col, text_col).repartition(id_col)
-    tokens = placed.select(id_col, tx.term_tokens(F.col(text_col)).alias("_t"))
-    return (
-        tokens.select(id_col, F.explode(gram_array(F.col("_t"), n_max)).alias("term"))
-        .groupBy(id_col, "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    return _grams(df, id_col, text_col, n_max).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _grams(df: DataFrame, id_col: str, text_col: str, n_max: int) -> DataFrame:
+    tokens = df.select(id_col, tx.term_tokens(F.col(text_col)).alias("_t"))
+    return tokens.select(id_col, F.explode(gram_array(F.col("_t"), n_max)).alias("term"))
 
 
 def term_totals(df: DataFrame, text_col: str, n_max: int = 2) -> DataFrame:
@@ -84,25 +85,29 @@ def tfidf(
     max_features: int = 50_000,
 ) -> DataFrame:
     """H4: tf * (ln((1 + n) / (1 + df)) + 1), each document scaled to unit length."""
-    counts = term_counts(df, id_col, text_col, n_max)
     n_docs = df.agg(F.count(F.lit(1)).alias("n_docs"))
-    vocab = vocabulary(term_totals(df, text_col, n_max), n_docs, min_df, max_features)
-    return weigh(counts, vocab, id_col, max_features)
+    totals = cut_lineage(term_totals(df, text_col, n_max).filter(F.col("df") >= min_df), "totals")
+    vocab = cut_lineage(vocabulary(totals, n_docs, min_df, max_features), "vocabulary")
+    return weigh_texts(df, vocab, id_col, text_col, n_max)
 
 
-def weigh(
-    counts: DataFrame, vocab: DataFrame, id_col: str, max_features: int = 50_000
+def weigh_texts(
+    df: DataFrame, vocab: DataFrame, id_col: str, text_col: str, n_max: int = 2
 ) -> DataFrame:
-    """Weights of known terms, so a vocabulary can be applied to other documents.
+    """Weights of the vocabulary's terms in each text, for any documents. ``vocab`` is a written
+    table: it is measured for the broadcast."""
+    known = broadcast_if_small(vocab.select("term", "idf"))
+    counts = _grams(spread(df), id_col, text_col, n_max).join(known, "term").groupBy(id_col, "term", "idf")
+    return _unit(counts.agg(F.count(F.lit(1)).alias("tf")), id_col)
 
-    ``max_features`` is the length the vocabulary was cut to, which decides on the broadcast.
-    """
-    known = vocab.select("term", "idf")
-    if max_features <= MAX_BROADCAST_ROWS:
-        known = F.broadcast(known)
-    raw = counts.join(known, "term").withColumn(
-        "_w", F.col("tf") * F.col("idf")
-    )
+
+def weigh(counts: DataFrame, vocab: DataFrame, id_col: str) -> DataFrame:
+    """Weights of known terms from ready counts, so a vocabulary can be applied to other documents."""
+    return _unit(counts.join(broadcast_if_small(vocab.select("term", "idf")), "term"), id_col)
+
+
+def _unit(counts: DataFrame, id_col: str) -> DataFrame:
+    raw = counts.withColumn("_w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
     return raw.select(id_col, "term", (F.col("_w") / norm).alias("weight"))
 

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .session import cut_lineage
+
 MAX_BROADCAST_ROWS = 500_000
 MAX_BROADCAST_BYTES = 64 << 20
 MAX_DRIVER_ROWS = 50_000
+MAX_DRIVER_BYTES = 16 << 20
+MAX_SPREAD_BYTES = 256 << 20
 
 
 def _value_bytes(field: T.StructField):
@@ -39,19 +43,27 @@ def broadcast_if_small(
 def local_if_small(df: DataFrame, max_rows: int = MAX_DRIVER_ROWS) -> DataFrame:
     """Small per-group figures computed once and reused as a local table.
 
-    ``take`` stops at ``max_rows + 1``; a longer result stays distributed and unhinted.
+    Rows and bytes are counted first; a larger result stays distributed and unhinted.
     """
-    rows = df.take(max_rows + 1)
-    if len(rows) > max_rows:
-        return df
+    stored = cut_lineage(df, "figures")
+    n, size = measure(stored)
+    if n > max_rows or size > MAX_DRIVER_BYTES:
+        return stored
+    rows = stored.collect()
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores ahead of heavy per-row work, when the input has fewer files than that.
+def spread(df: DataFrame, max_bytes: int = MAX_SPREAD_BYTES) -> DataFrame:
+    """Rows over all cores ahead of heavy per-row work, for a small table in few files.
 
-    A table in many files is left as it is: its scan already gives enough tasks.
+    A scan cuts files at ``spark.sql.files.maxPartitionBytes``, so a table that is larger than
+    that for each core has tasks enough however few its files are, and is left as it is, as is any
+    table above ``max_bytes``. Sizes are those of the files, read without their contents.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    files = len(df._jdf.inputFiles())  # counted in the JVM; the names stay there
-    return df.repartition(cores) if files < cores else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not 0 < len(files) < cores:
+        return df
+    found = spark.read.format("binaryFile").load(files).agg(F.sum("length").alias("n")).first()["n"] or 0
+    return df.repartition(cores) if found <= max_bytes else df

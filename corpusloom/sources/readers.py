@@ -54,7 +54,7 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 @udtf(returnType="pos INT, object STRING")
 class SplitObjects:
-    """The JSON objects written one after another in one text."""
+    """The JSON objects written one after another in one text, as they stand."""
 
     def eval(self, text: str) -> Iterator[tuple[int, str]]:
         decoder = json.JSONDecoder()
@@ -64,8 +64,12 @@ class SplitObjects:
                 at += 1
             if at >= len(text):
                 return
-            value, at = decoder.raw_decode(text, at)
-            yield pos, json.dumps(value, ensure_ascii=False)
+            start = at
+            try:
+                _, at = decoder.raw_decode(text, at)
+            except ValueError:  # what is left is one object that ``from_json`` reads as NULL
+                at = len(text)
+            yield pos, text[start:at]
             pos += 1
 
 

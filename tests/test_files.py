@@ -98,6 +98,7 @@ def test_verdict_files(spark, tmp_path):
     assert rates[("hallucinations", "finetuned", None)]["rate"] == pytest.approx(0.31)
     mixed = rates[("negative_positive", "naive", "Dota 2")]
     assert (mixed["checked"], mixed["failed"]) == (50, 5)
+    assert mixed["declared"] == pytest.approx(0.1) and mixed["pooled"] == pytest.approx(0.1)
     total = sum(n for *_, n in GOLDEN) + 5
     assert audit.failed_ids(verdicts).count() == total
 

@@ -120,8 +120,8 @@ def test_flags(spark):
 
 
 def test_recode(one):
-    assert one(lambda c: flags.recode(c, T.SHORT_TITLES), a="Team Fortress 2") == "TF2"
-    assert one(lambda c: flags.recode(c, T.SHORT_TITLES), a="Valheim") == "Valheim"
+    assert one(lambda c: flags.recode(c, {"Team Fortress 2": "TF2", "Counter-Strike 2": "CS2"}), a="Team Fortress 2") == "TF2"
+    assert one(lambda c: flags.recode(c, {"Team Fortress 2": "TF2", "Counter-Strike 2": "CS2"}), a="Valheim") == "Valheim"
 
 
 def test_prompts(spark):

@@ -101,13 +101,15 @@ def diversity_by_language(spark, sf):
             WHERE label < 5 AND len(regexp_extract_all(generated_text, '\S+')) >= 20),
     near AS (SELECT g.id, list_cosine_similarity(g.v, r.v) AS sim,
                     row_number() OVER (PARTITION BY g.id ORDER BY list_cosine_similarity(g.v, r.v) DESC) AS rn
-             FROM gen g, vectors r WHERE r.label >= 5)
+             FROM gen g, vectors r JOIN reviews w ON w.id = r.id
+             WHERE r.label >= 5 AND regexp_matches(w.review_text, '\S'))
     SELECT id, round(avg(sim), 6) AS realism_sbert_topk, round(max(sim), 6) AS nn_overlap,
            CAST(max(sim) >= 0.9 AS INT) AS nn_overlap_flag FROM near WHERE rn <= 5 GROUP BY id""")
 def realism_rows(spark, sf):
     texts = t.filled(spark, sf).select("id", "method", "generated_text")
     gen = t.generated_vectors(spark, sf).select("id", "embedding").join(texts, "id")
-    real = t.real_vectors(spark, sf).select("id", "embedding", F.lit("real").alias("review_text"))
+    own = t.reviews(spark, sf).select("id", "review_text")
+    real = t.real_vectors(spark, sf).select("id", "embedding").join(own, "id")
     rows = evaluation.realism_rows(gen, real)
     return rounded(
         rows.select("id", "realism_sbert_topk", "nn_overlap", "nn_overlap_flag"),
@@ -115,7 +117,8 @@ def realism_rows(spark, sf):
     )
 
 
-def _audit_sql(task: str, template: str) -> str:
+def _audit_sql(task: str, template: str, whole: bool = False) -> str:
+    """The prompts' checksums; with ``whole`` the prompts themselves."""
     by, limit, where = "method, app_id", 50, "true"
     if task == "sentiment":
         by, limit, where = "method, app_id, rating", 25, "method = 'naive'"
@@ -129,7 +132,7 @@ def _audit_sql(task: str, template: str) -> str:
     )
     return with_("reviews", "titles", "filled") + f"""
     SELECT method, b.app_id, {'CAST(rating AS INT)' if task == 'sentiment' else '0'} AS rating,
-           CAST(b.app_id + 1 AS INT) AS seq, md5({filled}) AS prompt
+           CAST(b.app_id + 1 AS INT) AS seq, {filled if whole else f"md5({filled})"} AS prompt
     FROM (SELECT {by.replace(', rating', '')}, {rating}, count(*) AS n, {block} AS block
           FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {HASH}, id) AS rn FROM filled WHERE {where})
           WHERE rn <= {limit} GROUP BY {by}) b
@@ -174,14 +177,20 @@ def pairs_round_trip(spark, sf):
     return readers.read_pairs(spark, paths)
 
 
-@query("b3_prompt_files", with_("reviews", "filled") + """
-    SELECT method, CAST(count(*) * 0 + 1 AS BIGINT) AS files FROM filled GROUP BY method""")
+def _after(text: str) -> str:
+    return "'" + text.replace("\n", "' || chr(10) || '") + "'"
+
+
+@query("b3_prompt_files", f"""
+    SELECT method, md5(string_agg(prompt || {_after(T.AFTER_PROMPT)} || chr(10), '' ORDER BY seq)) AS content
+    FROM ({_audit_sql("spoiler", audit.TASKS["spoiler"], whole=True)}) GROUP BY method""")
 def prompt_files(spark, sf):
+    """The whole text of each method's file."""
     path = scratch_path(spark, "prompts")
     prompts = audit.audit_prompts(t.filled(spark, sf), t.app_meta(spark, sf), "spoiler", apps=list(range(20)))
     sinks.write_prompt_batches(prompts, path, "spoiler")
     files = spark.read.text(path, wholetext=True)
-    return files.groupBy("method").agg(F.count(F.lit(1)).alias("files"))
+    return files.select("method", _md5("value").alias("content"))
 
 
 @query("b4_append_summary", with_("reviews") + """
@@ -220,11 +229,43 @@ def stream_steps(spark, sf):
     return spark.read.parquet(out)
 
 
-@query("judge_report")
+@query("judge_report", with_("reviews", "filled") + """
+    SELECT method, count(*) AS n, true AS same_after_load, true AS rates_in_range FROM filled
+    WHERE regexp_matches(generated_text, '\\S') GROUP BY method""")
 def judge_report(spark, sf):
-    """Train, save, load, score every document, summarise."""
+    """Train, save, load, score every document, summarise: the loaded judge scores as the saved one."""
     path = scratch_path(spark, "judge")
     rows = _labelled(spark, sf).withColumnRenamed("text", "generated_text")
-    judge.save_judge(judge.train_judge(rows, "y", text_col="generated_text", max_iter=10), path)
-    rows = evaluation.judge_generated(t.filled(spark, sf), judge.load_judge(path))
-    return judge_summary(rows)
+    model = judge.train_judge(rows, "y", text_col="generated_text")
+    judge.save_judge(model, path)
+    filled = t.filled(spark, sf)
+    before = evaluation.judge_generated(filled, model).select("id", F.col("pred_proba_recommended").alias("before"))
+    after = evaluation.judge_generated(filled, judge.load_judge(path))
+    same = after.join(before, "id").groupBy("method").agg(
+        F.bool_and(F.abs(F.col("before") - F.col("pred_proba_recommended")) < 1e-12).alias("same_after_load")
+    )
+    report = judge_summary(after)
+    rates = [c for c in report.columns if c.endswith("_rate") or c == "mean_pred_proba"]
+    within = F.forall(F.array(*[F.col(c).cast("double") for c in rates]), lambda x: x.between(0, 1))
+    return report.join(same, "method").select("method", "n", "same_after_load", within.alias("rates_in_range"))
+
+
+@query("a3_labels_and_accuracy", """
+    SELECT count(*) AS n, round(avg(CAST(quality = toxic AS INT)), 6) AS accuracy
+    FROM documents d JOIN labels l ON d.doc_id = l.doc_id""")
+def labels_and_accuracy(spark, sf):
+    """A label array written and read again, joined to a sample and compared with its predictions."""
+    path = scratch_path(spark, "label-array")
+    labels = t.table(spark, sf, "labels").select(
+        F.col("doc_id").cast("int").alias("id"), F.when(F.col("quality") == 1, "POSITIVE").otherwise("NEGATIVE").alias("sentiment")
+    )
+    array = labels.groupBy(F.lit(1)).agg(F.to_json(F.collect_list(F.struct("id", "sentiment"))).alias("value"))
+    array.select("value").write.text(path)
+    read = readers.read_labels(spark, path).select("id", "sentiment")
+    said = t.table(spark, sf, "labels").select(
+        F.col("doc_id").cast("int").alias("id"), F.when(F.col("toxic") == 1, "POSITIVE").otherwise("NEGATIVE").alias("predicted")
+    )
+    documents = t.table(spark, sf, "documents").select(F.col("doc_id").cast("int").alias("id"))
+    both = documents.join(read, "id").join(said, "id")
+    hit = (F.col("sentiment") == F.col("predicted")).cast("int")
+    return rounded(both.agg(F.count(F.lit(1)).alias("n"), F.avg(hit).alias("accuracy")), "accuracy")

@@ -25,6 +25,15 @@ def f2(spark, sf):
     return sampling.sample_per_group(rows, ["method", "app_id"], 5, "id")
 
 
+@query("f2_sample_of_fifty", with_("reviews", "filled") + f"""
+    SELECT id, method, app_id FROM (
+        SELECT *, row_number() OVER (PARTITION BY method, app_id ORDER BY {HASH}, id) AS rn FROM filled)
+    WHERE rn <= 50""")
+def f2_fifty(spark, sf):
+    rows = t.filled(spark, sf).select("id", "method", "app_id")
+    return sampling.sample_per_group(rows, ["method", "app_id"], 50, "id")
+
+
 @query("f3_sample_per_app_and_rating", with_("reviews", "filled") + f"""
     SELECT id, app_id, rating FROM (
         SELECT *, row_number() OVER (PARTITION BY app_id, rating ORDER BY {HASH}, id) AS rn
@@ -330,7 +339,7 @@ def _verdicts(spark, sf):
     ).select(
         F.lit("structure").alias("task"), F.col("method").alias("approach"),
         F.concat(F.lit("app "), F.col("app_id").cast("string")).alias("game"), "checked", "failed",
-        F.concat(F.round(100 * F.col("failed") / F.col("checked"), 1).cast("string"), F.lit("%")).alias("pct"),
+        (F.round(100 * F.col("failed") / F.col("checked"), 1) / 100).alias("declared"),
         "ids", F.lit(None).cast("int").alias("target_rating"),
     )
 
@@ -338,12 +347,52 @@ def _verdicts(spark, sf):
 @query("e18_verdict_rates", with_("reviews", "filled") + "," + VERDICT_SQL + """
     SELECT 'structure' AS task, approach, game, CAST(checked AS BIGINT) AS checked,
            CAST(failed AS BIGINT) AS failed, round(failed / checked, 6) AS rate,
-           round(declared, 6) AS declared, true AS ids_match FROM verdicts
+           round(declared, 6) AS declared, true AS ids_match, round(failed / checked, 6) AS pooled FROM verdicts
     UNION ALL SELECT 'structure', approach, NULL, CAST(sum(checked) AS BIGINT), CAST(sum(failed) AS BIGINT),
-                     round(avg(failed / checked), 6), round(avg(declared), 6), true
+                     round(avg(failed / checked), 6), round(avg(declared), 6), true,
+                     round(sum(failed) / sum(checked), 6)
               FROM verdicts GROUP BY approach""")
 def e18(spark, sf):
-    return rounded(audit.verdict_rates(_verdicts(spark, sf)), "rate", "declared")
+    return rounded(audit.verdict_rates(_verdicts(spark, sf)), "rate", "declared", "pooled")
+
+
+@query("e18_all_tasks", with_("reviews", "filled") + "," + VERDICT_SQL + """,
+    told AS (
+        SELECT task, approach, game, checked, failed, CASE WHEN task = 'spoilers' THEN 1 ELSE 0 END AS more,
+               CASE WHEN task = 'negative_positive'
+                    THEN 1 - round(100 * (checked - failed) / checked, 1) / 100 ELSE declared END AS declared
+        FROM verdicts, (VALUES ('hallucinations'), ('structure'), ('spoilers'), ('negative_positive')) v(task)),
+    rates AS (SELECT task, approach, game, checked, failed, failed / checked AS rate, declared, more = 0 AS ids_match FROM told)
+    SELECT task, approach, game, CAST(checked AS BIGINT) AS checked, CAST(failed AS BIGINT) AS failed, round(rate, 6) AS rate,
+           round(declared, 6) AS declared, ids_match, round(failed / checked, 6) AS pooled FROM rates
+    UNION ALL SELECT task, approach, NULL, CAST(sum(checked) AS BIGINT), CAST(sum(failed) AS BIGINT), round(avg(rate), 6),
+                     round(avg(declared), 6), bool_and(ids_match), round(sum(failed) / sum(checked), 6)
+              FROM rates GROUP BY task, approach""")
+def e18_all(spark, sf):
+    """Verdict texts of all four tasks, parsed, normalised and rolled up; spoilers list an id too many."""
+    from corpusloom.sources import readers
+
+    rows = _verdicts(spark, sf)
+    share = lambda n: F.concat(F.round(100 * n / F.col("checked"), 1).cast("string"), F.lit("%"))
+    right = F.col("checked") - F.col("failed")
+    names = {"hallucinations": ("hallucination_count", "hallucination_percentage", "hallucinated_ids"),
+             "structure": ("structure_failure_count", "structure_failure_percentage", "failed_ids"),
+             "spoilers": ("fake_spoiler_count", "fake_spoiler_percentage", "fake_spoiler_ids"),
+             "negative_positive": ("correct_sentiment_count", "accuracy_percentage", "failed_ids")}
+    texts = []
+    for task, (count, percent, ids) in names.items():
+        said = right if task == "negative_positive" else F.col("failed")
+        listed = F.concat("ids", F.array(F.lit(0))) if task == "spoilers" else F.col("ids")
+        text = F.to_json(F.struct(
+            "game", F.col("checked").alias("total_reviews_checked"), said.alias(count), share(said).alias(percent), listed.alias(ids)
+        ))
+        grouped = rows.groupBy("approach").agg(F.array_join(F.collect_list(text), "\n").alias("value"))
+        texts.append(grouped.withColumn("task", F.lit(task)))
+    every = texts[0]
+    for more in texts[1:]:
+        every = every.unionByName(more)
+    found = audit.normalise_verdicts(readers.parse_verdicts(every))
+    return rounded(audit.verdict_rates(found), "rate", "declared", "pooled")
 
 
 @query("e18_failed_ids", with_("reviews", "filled") + "," + VERDICT_SQL + """
@@ -384,6 +433,15 @@ def e22(spark, sf):
     return stats.prompt_counts(build_dataset(t.reviews(spark, sf), t.titles(spark, sf)), 20)
 
 
+@query("e22_prompt_counts_at_quota", with_("reviews", "titles", "dataset") + """
+    SELECT app_id, title, rating, CAST(unnest(range(1, least(1000, n) + 1)) AS INT) AS slot
+    FROM (SELECT app_id, title, rating, count(*) AS n FROM dataset GROUP BY app_id, title, rating)""")
+def e22_quota(spark, sf):
+    from corpusloom.plans.dataset import build_dataset
+
+    return stats.prompt_counts(build_dataset(t.reviews(spark, sf), t.titles(spark, sf)), 1000)
+
+
 # ---- errors --------------------------------------------------------------------------------
 
 @query("f12_confident_errors", with_("scored") + """

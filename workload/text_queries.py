@@ -83,6 +83,15 @@ def a7(spark, sf):
     return sampling.cap_per_key(rows, "app_id", ["id"], 20)
 
 
+@query("a7_cap_at_quota", with_("reviews") + """
+    SELECT app_id, id FROM (
+        SELECT app_id, id, row_number() OVER (PARTITION BY app_id ORDER BY id) AS rn FROM reviews)
+    WHERE rn <= 2000""")
+def a7_quota(spark, sf):
+    rows = t.reviews(spark, sf).select("app_id", "id")
+    return sampling.cap_per_key(rows, "app_id", ["id"], 2000)
+
+
 @query("a8_a10_guards",
        "SELECT 'unknown' AS method, lang, count(*) AS n FROM documents GROUP BY lang")
 def a9(spark, sf):
