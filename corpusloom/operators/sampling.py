@@ -154,24 +154,33 @@ def head(df: DataFrame, n: int, order: Sequence[str | Column]) -> DataFrame:
 def cap_per_key(
     df: DataFrame, key: str, order: Sequence[str], n: int, salts: int | None = None
 ) -> DataFrame:
-    """At most n rows per key, in order.
+    """At most n rows per key, in order; rows equal in ``order`` fill the quota in any order.
 
-    Ranked twice: first inside (key, salt), so a hot key is spread over many tasks, then over
-    the at most n x salts survivors of a key.
+    Only the narrow (key, order) columns are ranked, first inside (key, salt) so that a hot key is
+    spread over many tasks, then over the at most n x salts survivors of a key. That gives the last
+    place inside each full quota; wide rows beyond it are dropped where they are read, and only
+    those of the result, and ties at its end, are shuffled.
     """
     spark = df.sparkSession
     if salts is None:
         salts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1024)
-    salt = F.pmod(F.xxhash64(*order), F.lit(salts))
-    local = Window.partitionBy(key, "_salt").orderBy(*order)
-    overall = Window.partitionBy(key).orderBy(*order)
-    return (
-        df.withColumn("_salt", salt)
+    place = F.struct(*order)
+    local = Window.partitionBy("_key", "_salt").orderBy("_place")
+    overall = Window.partitionBy("_key").orderBy("_place")
+    last = (
+        df.select(F.col(key).alias("_key"), place.alias("_place"), F.pmod(F.xxhash64(*order), F.lit(salts)).alias("_salt"))
         .withColumn("_rank", F.row_number().over(local))
         .filter(F.col("_rank") <= n)
         .withColumn("_rank", F.row_number().over(overall))
+        .filter(F.col("_rank") == n)
+        .select("_key", F.col("_place").alias("_last"))
+    )
+    last = broadcast_if_small(cut_lineage(last, "quota"))
+    inside = df.join(last, F.col(key).eqNullSafe(F.col("_key")), "left").filter(F.col("_last").isNull() | (place <= F.col("_last")))
+    return (
+        inside.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
         .filter(F.col("_rank") <= n)
-        .drop("_salt", "_rank")
+        .drop("_key", "_last", "_rank")
     )
 
 
