@@ -31,9 +31,9 @@ from . import arrays as A
 
 SPACE = 0x20
 FALLBACK = -1e5  # for a byte without a piece: below any sum of scores worth having
-CACHE_STRETCHES = 300_000  # of an executor's Python process; beyond it the cache starts anew
+CACHE_STRETCHES = 150_000  # of an executor's Python process; beyond it the cache starts anew
 LONG = 256  # stretches above it are encoded in groups of their own
-CELLS = 1 << 21  # places of one Viterbi group
+CELLS = 1 << 20  # places of one Viterbi group
 
 
 class Automaton:
@@ -57,7 +57,7 @@ class Automaton:
             if node not in ends or ends[node][2] < score:
                 ends[node] = (number, len(piece), score)
         n = len(children)
-        self.next = np.zeros((n, width), np.int32)
+        self.next = np.zeros((n, width), np.uint16 if n < 1 << 16 else np.int32)
         self.piece = np.full(n, -1, np.int32)
         self.size = np.zeros(n, np.int32)
         self.score = np.zeros(n, np.float64)
