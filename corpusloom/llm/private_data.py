@@ -59,6 +59,11 @@ def _emails(text: str) -> Iterator[Span]:
         at = text.find("@", max(at + 1, done))
 
 
+def _byte(part: str) -> bool:
+    part = part.lstrip("0")
+    return len(part) <= 3 and int(part or 0) <= 255
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(map(int, reversed(digits))):
@@ -69,7 +74,7 @@ def luhn(digits: str) -> bool:
 def base_spans(text: str) -> list[Span]:
     """(kind, start, end) in code points, by kind and start."""
     spans = list(_emails(text))
-    spans += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(int(p) <= 255 for p in m[0].split(".") if len(p.lstrip("0")) <= 3) and all(len(p.lstrip("0")) <= 3 for p in m[0].split("."))]
+    spans += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(_byte(p) for p in m[0].split("."))]
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 16 <= len(digits) <= 19 and luhn(digits):
@@ -120,22 +125,37 @@ def _pairs(reach: int):
     return run
 
 
-def disclosing_terms(docs: DataFrame, text: str, reach: int = REACH, support: int = SUPPORT) -> DataFrame:
-    """(term, disclosure): the largest share of any entity's information that each term discloses."""
+def disclosing_terms(
+    docs: DataFrame, text: str, reach: int = REACH, support: int = SUPPORT, least: float = GENERALISE
+) -> DataFrame:
+    """(term, disclosure): the largest share, from ``least`` on, of any entity's information that
+    each term discloses.
+
+    A term's places next to any entity are at most all its places, which rules out most pairs
+    before the corpus is counted.
+    """
     docs = docs.select(F.col(text).alias("text"))
     near = cut_lineage(docs.mapInArrow(_pairs(reach), PAIRS), "contexts")
     near = near.distinct()  # equal contexts count once
+    total = cut_lineage(
+        docs.select(F.size(words(F.col("text"))).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")), "total"
+    )
+
+    def told(places: str):
+        """The disclosed share, or a bound of it where ``places`` is at most the term's places."""
+        sure = F.least(F.col("together") / F.col(places), F.lit(1.0))
+        return 1 - F.ln(sure) / F.ln(F.least(F.col("times") / F.greatest("total", F.lit(2)), F.lit(0.5)))
+
     pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together")).filter(F.col("together") >= support)
     entities = near.groupBy("entity").agg(F.count_distinct("context").alias("times"))
-    pairs = cut_lineage(pairs.join(entities, "entity"), "pairs")
+    terms = near.groupBy("term").agg(F.count(F.lit(1)).alias("seen"))  # next to any entity
+    pairs = pairs.join(entities, "entity").join(terms, "term").crossJoin(F.broadcast(total))
+    pairs = cut_lineage(pairs.filter(told("seen") >= least), "pairs")
     blocks = broadcast_blocks(pairs.select(F.col("term").alias("_key")).distinct(), "_key", "terms")
     corpus = word_rows(docs.withColumn("_none", F.lit(0)), "_none", "text").select("_key")
     counts = union_all([corpus.join(b, "_key").groupBy("_key").agg(F.count(F.lit(1)).alias("places")) for b in blocks])
-    total = docs.select(F.size(words(F.col("text"))).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    sure = F.least(F.col("together") / F.col("places"), F.lit(1.0))
-    alone = F.least(F.col("times") / F.greatest("total", F.lit(2)), F.lit(0.5))
-    told = pairs.join(counts, F.col("term") == F.col("_key")).crossJoin(F.broadcast(total))
-    return told.groupBy("term").agg(F.max(1 - F.ln(sure) / F.ln(alone)).alias("disclosure"))
+    counted = pairs.join(counts, F.col("term") == F.col("_key"))
+    return counted.groupBy("term").agg(F.max(told("places")).alias("disclosure")).filter(F.col("disclosure") >= least)
 
 
 def _spans_of(text: str, terms: list[int], gone: list[int]) -> list[Span]:
@@ -203,7 +223,7 @@ def sanitise(
     docs = docs.select(
         *carry, F.col(text).alias("_text"), F.xxhash64(filled).alias("_tid"), F.octet_length(filled).alias("_size")
     )
-    told = disclosing_terms(docs, "_text", reach, support).filter(F.col("disclosure") >= generalise)
+    told = disclosing_terms(docs, "_text", reach, support, generalise)
     told = told.select(F.col("term").alias("_key"), (F.col("disclosure") >= remove).alias("_out"))
     blocks = broadcast_blocks(told, "_key", "disclosing")
     held = docs.select(F.struct(*key).alias("_id"), "_text")
