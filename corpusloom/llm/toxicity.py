@@ -3,12 +3,12 @@
 A text is cut into sentences and those into units: words, with spelled-out single letters joined to
 one. The kernel of two units compares their subsequences of three letters within a short span;
 every skipped character costs a factor, so inserted characters and gaps weaken a match and do not
-end it. Figures and signs that stand for letters are read as them, other signs are gaps. The kernel
-is made a cosine and raised to a power; a sentence's value with a landmark is that of its most
-similar unit.
+end it. Figures and signs that stand for letters are read as them, other signs are gaps. A kernel
+value is taken as a share of the landmark's own, so a landmark that begins a longer word counts
+fully, and raised to a power; a sentence's value with a landmark is that of its most similar unit.
 
-Landmarks are units of labelled texts: the ones that tell the classes apart most and are not alike,
-and the harmless units most like them. The Nyström map turns a sentence's kernel values with the
+Landmarks are words of labelled texts and beginnings of words: the ones that tell the classes apart
+most and are not alike, and the harmless words most like them. The Nyström map turns a sentence's kernel values with the
 landmarks into features of a linear SVM. Labels are given for texts, so the SVM is trained in rounds:
 the sentences of a toxic text that score as toxic, and its highest one in any case, stand for it,
 against all sentences of the others. A text
@@ -36,10 +36,11 @@ from .learning import fit_platt, labelled_sample
 PER_CLASS = 1_500
 TOXIC_LANDMARKS, HARMLESS_LANDMARKS = 40, 16
 SPAN = 7  # letters and gaps a subsequence may stretch over
-DECAY = 0.75
-POWER = 2
+OWN_SPAN = 6  # and in a landmark itself, which leaves room for characters put in
+DECAY = 0.85
+POWER = 5
 RIDGE = 0.1  # on the landmarks' kernel matrix, so that none of its directions is blown up
-TELLING = 10.0  # least log-likelihood ratio of a landmark taken from toxic texts
+TELLING = 3.0  # least log-likelihood ratio, beyond chance, of a landmark taken from toxic texts
 PURE = 10  # and how many times as often it must be in them as in others
 ALIKE = 0.5  # kernel value from which two landmarks are too alike
 CHUNK = 1 << 18
@@ -51,7 +52,8 @@ _SYMBOL[65:91] = np.arange(1, 27)
 _SYMBOL[48:58] = 27 + np.arange(10)
 for _sign, _letter in zip(b"0134578@$!", b"oieastbasi"):  # figures and signs read as letters
     _SYMBOL[_sign] = _letter - 96
-_SYMBOL[128:192] = 37 + np.arange(64) % 27  # last byte of a letter beyond ASCII
+_SYMBOL[128:192] = 37 + np.arange(64) % 25  # last byte of a letter beyond ASCII
+_START, _END = 63, 62  # stand before (twice) and after every unit: where a match begins and ends counts
 _LEAD = np.zeros(256, bool)
 _LEAD[192:] = True
 _STOP = np.zeros(256, bool)
@@ -93,7 +95,31 @@ def units_of(t: A.Texts) -> Units:
     starts = stop[first_word]
     sentence = np.cumsum(starts) - 1
     text = np.concatenate((text_of_word[first_word[starts]], empty))
-    return Units(_SYMBOL[t.buf[at[kept]]], unit_of_word[word[kept]], sentence, text)
+    return Units(*_marked(_SYMBOL[t.buf[at[kept]]], unit_of_word[word[kept]]), sentence, text)
+
+
+def _marked(symbol: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols and units with the marks put in."""
+    if not len(unit):
+        return symbol, unit
+    first = np.flatnonzero(np.diff(unit, prepend=-1))
+    ends = np.append(first[1:], len(unit))
+    places = np.concatenate((ends, first, first))  # an end comes before the next unit's start
+    marks = np.repeat([_END, _START, _START], len(first))
+    owners = np.concatenate((unit[ends - 1], unit[first], unit[first]))
+    order = np.argsort(places, kind="stable")
+    return np.insert(symbol, places[order], marks[order]), np.insert(unit, places[order], owners[order])
+
+
+WHOLE = b"\x00"  # ends the name of a whole word; other names are beginnings of words
+
+
+def _named(names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    bare = [x.removesuffix(WHOLE) for x in names]
+    symbol = np.concatenate([_SYMBOL[np.frombuffer(x, np.uint8)] for x in bare])
+    symbol, unit = _marked(symbol, np.repeat(np.arange(len(bare)), [len(x) for x in bare]))
+    keep = (symbol != _END) | np.array([x.endswith(WHOLE) for x in names])[unit]
+    return symbol[keep], unit[keep]
 
 
 def triples(symbol: np.ndarray, unit: np.ndarray, span: int = SPAN) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
@@ -116,10 +142,9 @@ class Landmarks:
     def __init__(self, names: list[bytes], telling: int = 0):
         self.names = names
         self.telling = telling  # the first so many tell toxic texts from others
-        symbol = np.concatenate([_SYMBOL[np.frombuffer(x, np.uint8)] for x in names])
-        unit = np.repeat(np.arange(len(names)), [len(x) for x in names])
+        symbol, unit = _named(names)
         found: Counter = Counter()
-        for code, owner, weight in triples(symbol, unit):
+        for code, owner, weight in triples(symbol, unit, OWN_SPAN):
             for c, o in zip(code.tolist(), owner.tolist()):
                 found[c, o] += weight
         codes = sorted({c for c, _ in found})
@@ -131,16 +156,14 @@ class Landmarks:
         per_code = np.bincount(self.row[[c for c, _ in listed]], minlength=len(codes))
         self.first = np.cumsum(per_code) - per_code
         self.many = per_code
-        self.norm = np.sqrt(np.bincount(self.owner, self.weight**2, minlength=len(names)))
+        self.square = np.maximum(np.bincount(self.owner, self.weight**2, minlength=len(names)), 1e-9)
 
     def values(self, symbol: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(unit, landmark, kernel value) where it is not 0."""
         m = len(self.names)
         n = int(unit[-1]) + 1 if len(unit) else 0
-        square = np.zeros(n)
         cells, parts = [], []
         for code, owner, weight in triples(symbol, unit):
-            square += np.bincount(owner, minlength=n) * weight**2
             row = self.row[code]
             hit = np.flatnonzero(row >= 0)
             row = row[hit]
@@ -153,7 +176,7 @@ class Landmarks:
         total = np.bincount(np.concatenate(cells), np.concatenate(parts), minlength=n * m)
         on = np.flatnonzero(total)
         u, l = on // m, on % m
-        return u, l, np.minimum(total[on] / (np.sqrt(square[u]) * self.norm[l]), 1.0) ** POWER
+        return u, l, np.minimum(total[on] / self.square[l], 1.0) ** POWER
 
     def sentences(self, units: Units) -> np.ndarray:
         """Kernel value of each landmark with the unit of each sentence that is most like it."""
@@ -186,12 +209,17 @@ def _chunks(texts: list[str]) -> Iterator[A.Texts]:
     return A.text_chunks(iter([pa.record_batch({"text": pa.array(texts, pa.string())})]), "text", CHUNK)
 
 
+_LEAD_BYTES = bytes(range(192, 256))
+HEADS = (4, 5, 6, 7)  # letters of the beginnings of words that may be landmarks
+
+
 def _unit_names(t: A.Texts) -> list[set[bytes]]:
-    """Lower-case letter units of each text."""
+    """Lower-case words of each text and their beginnings."""
     names = []
     for i in range(len(t)):
-        words = t.raw(i).lower().split()
-        names.append({bytes(b for b in x.strip(b".,;:!?()\"'") if not _LEAD[b]) for x in words} - {b""})
+        words = {x.strip(b".,;:!?()\"'") for x in set(t.raw(i).lower().translate(None, _LEAD_BYTES).split())}
+        words = {x for x in words if 3 <= len(x) <= 24 and not x.isdigit()}
+        names.append({x + WHOLE for x in words} | {x[:n] for x in words for n in HEADS if len(x) > n})
     return names
 
 
@@ -201,7 +229,7 @@ def choose_landmarks(toxic: list[str], other: list[str]) -> Landmarks | None:
         found: Counter = Counter()
         for t in _chunks(texts):
             for names in _unit_names(t):
-                found.update(x for x in names if 3 <= len(x) <= 24 and not x.isdigit())
+                found.update(names)
         counts.append(found)
     a_total, b_total = len(toxic), len(other)
 
@@ -214,13 +242,14 @@ def choose_landmarks(toxic: list[str], other: list[str]) -> Landmarks | None:
         part = lambda k, n: k * np.log(max(k, 1e-9) / (n * p))
         return float(part(a, a_total) + part(b, b_total))
 
-    ranked = sorted((x for x in counts[0] if counts[0][x] >= 3), key=lambda x: (-told(x), x))
-    ranked = [x for x in ranked if told(x) > TELLING][: 10 * TOXIC_LANDMARKS]
+    ranked = sorted((x for x in counts[0] if counts[0][x] >= 3), key=lambda x: (-told(x), -len(x), x))
+    chance = np.log(max(len(counts[0]), 1))  # what the best of so many reaches by chance
+    ranked = [x for x in ranked if told(x) > chance + TELLING][: 10 * TOXIC_LANDMARKS]
     chosen: list[bytes] = []
     for x in ranked:
         if len(chosen) == TOXIC_LANDMARKS:
             break
-        if not chosen or kernel(chosen, [x]).max() < ALIKE:
+        if not chosen or max(kernel(chosen, [x]).max(), kernel([x], chosen).max()) < ALIKE:
             chosen.append(x)
     if not chosen:
         return None
@@ -230,19 +259,20 @@ def choose_landmarks(toxic: list[str], other: list[str]) -> Landmarks | None:
     for i in sorted(range(len(harmless)), key=lambda i: (-near[i], harmless[i]))[: 20 * HARMLESS_LANDMARKS]:
         if len(chosen) == telling + HARMLESS_LANDMARKS:
             break
-        if kernel(chosen, [harmless[i]]).max() < 0.9:
+        if kernel([harmless[i]], chosen[telling:]).max(initial=0) < ALIKE:
             chosen.append(harmless[i])
     return Landmarks(chosen, telling)
 
 
 def kernel(rows: list[bytes], columns: list[bytes]) -> np.ndarray:
     """Kernel values of two lists of units."""
-    marks = Landmarks(rows)
     out = np.zeros((len(rows), len(columns)))
+    if not rows or not columns:
+        return out
+    marks = Landmarks(rows)
     for lo in range(0, len(columns), 5_000):
         part = columns[lo : lo + 5_000]
-        symbol = np.concatenate([_SYMBOL[np.frombuffer(x, np.uint8)] for x in part])
-        u, l, k = marks.values(symbol, np.repeat(np.arange(len(part)), [len(x) for x in part]))
+        u, l, k = marks.values(*_named(part))
         out[l, lo + u] = k
     return out
 
