@@ -20,6 +20,7 @@ from corpusloom.session import cut_lineage
 from corpusloom.sizing import broadcast_if_small
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+NEAR_PERCENT = 80  # shared part of two documents' five-word shingles from which they are near duplicates
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near duplicates."""
-    return _without(docs, near_duplicates(docs, "doc_id", "text").filter("NOT kept"))
+    return _without(docs, near_duplicates(docs, "doc_id", "text", percent=NEAR_PERCENT).filter("NOT kept"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,14 +1,15 @@
 """Operator 3: near duplicates by bottom-k sketches of one hash function.
 
 The k smallest hashes of a document's shingle set are its sketch. Inverted lists are keyed by runs
-of consecutive retained values: two sets of Jaccard 0.85 agree on about 85 % of their union's
-smallest values, so some run of four is common to both but for a chance near 1e-9, while documents
-that share only one passage seldom share a run. Sets of up to ``SMALL`` shingles also use runs of
-three, which two such sets at 0.85 always share.
+of consecutive retained values: two sets at the threshold agree on that share of their union's
+smallest values, so they have some run in common, while documents that share only one passage seldom
+do. The length of runs follows from the threshold: the greatest at which two large sets share none
+with a chance of at most ``MISS`` (three from 0.80 to 0.85). Sets that a sketch holds whole are safe
+by counting: where differing values can cut a union into shorter pieces, shorter runs are listed too.
 
 Candidates are met in two rounds, so that a group of n near copies costs about n pairs. First every
 document meets the one list leader it shares most lists with. What is left are documents that stand
-in several lists spanning more than one component. Their pairs come from their full sets: shingles
+in a list spanning more than one component. Their pairs come from their full sets: shingles
 that no other of them has bound every overlap, and pairs of different components meet in a prefix of
 their rarest shared shingles, so neither a passage in many documents nor a large group of distant
 copies multiplies out. Every pair passes the sketch of its union (a margin of six standard deviations
@@ -36,10 +37,7 @@ from .components import connected_components
 
 SHINGLE = 5
 SKETCH = 64
-RUN = 4
-SMALL = 24  # beyond it only runs of RUN values are listed
-SMALL_RUN = 3
-MANY, MANY_LISTS, FEW_LISTS = 14, 4, 2  # lists that two linked sets of at least MANY, or fewer, shingles share
+MISS = 1e-9  # chance that two large sets at the threshold share no list
 MARGIN = 6.0  # standard deviations of the sketch estimate
 
 
@@ -82,26 +80,54 @@ def _sketches(k: int):
     return run
 
 
-def _run_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def no_run_chance(share: float, places: int, width: int) -> float:
+    """Chance that ``places`` independent hits of chance ``share`` hold no ``width`` in a row."""
+    ends = [1.0] + [0.0] * (width - 1)  # by the number of hits the row ends with
+    for _ in range(places):
+        ends = [(1 - share) * sum(ends)] + [share * x for x in ends[:-1]]
+    return sum(ends)
+
+
+def run_widths(percent: int, k: int) -> list[range]:
+    """The lengths of the runs that sets of 0, 1, ..., k and of more shingles are listed under."""
+    width = 1
+    while width < k and no_run_chance(percent / 100, k, width + 1) <= MISS:
+        width += 1
+
+    def shared(union: int) -> int:
+        """The longest run that two sets of this union share at least."""
+        both = -(-percent * union // 100)
+        return -(-both // (union - both + 1))
+
+    unions = [range(n, min(100 * n // percent, k) + 1) for n in range(k + 1)]
+    return [range(min([width, *map(shared, u)]) if n else width, width + 1) for n, u in enumerate(unions)] + [range(width, width + 1)]
+
+
+def _run_keys(percent: int, k: int):
     """(doc, key) of every run of a sketch's consecutive values."""
-    for batch in batches:
-        lists = batch.column(1)
-        values = lists.flatten().to_numpy(zero_copy_only=False).view(A.U64)
-        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        n = batch.column(2).to_numpy(zero_copy_only=False)
-        first = np.cumsum(sizes) - sizes
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for width in (RUN, SMALL_RUN):
-            many = np.maximum(sizes - width + 1, 0)
-            if width == SMALL_RUN:
-                many[n > SMALL] = 0
-            at = A.spread(first, many)
-            keys = A.run_hashes(values, width)[at] if len(at) else np.zeros(0, A.U64)
-            for lo in range(0, len(at), 100_000):
-                part = slice(lo, lo + 100_000)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids, many)[part], pa.int64()), pa.array(A.as_long(keys[part]), pa.int64())], ["doc", "key"]
-                )
+    widths = run_widths(percent, k)
+    shortest = np.array([w.start for w in widths])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            values = lists.flatten().to_numpy(zero_copy_only=False).view(A.U64)
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            n = batch.column(2).to_numpy(zero_copy_only=False)
+            least = shortest[np.minimum(n, k + 1)]
+            first = np.cumsum(sizes) - sizes
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for width in range(int(shortest.min()), widths[-1].stop):
+                many = np.where(least <= width, np.maximum(sizes - width + 1, 0), 0)
+                at = A.spread(first, many)
+                keys = A.run_hashes(values, width)[at] if len(at) else np.zeros(0, A.U64)
+                for lo in range(0, len(at), 100_000):
+                    part = slice(lo, lo + 100_000)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat(ids, many)[part], pa.int64()), pa.array(A.as_long(keys[part]), pa.int64())], ["doc", "key"]
+                    )
+
+    return run
 
 
 def _confirm(percent: int):
@@ -177,7 +203,7 @@ def near_duplicates(docs: DataFrame, doc_id: str, text: str, percent: int = 85,
 
 def _parts(docs: DataFrame, reps: DataFrame, percent: int, k: int) -> DataFrame:
     """(id, component) of the linked representatives of sets."""
-    entries = reps.select("doc_id", "sketch", "n_shingles").mapInArrow(_run_keys, "doc BIGINT, key BIGINT")
+    entries = reps.select("doc_id", "sketch", "n_shingles").mapInArrow(_run_keys(percent, k), "doc BIGINT, key BIGINT")
     lists = entries.groupBy("key").agg(F.min("doc").alias("leader"), F.max("doc").alias("last")).filter("leader < last")
     entries = cut_lineage(entries.join(lists.select("key", "leader"), "key"), "entries")
 
@@ -188,15 +214,14 @@ def _parts(docs: DataFrame, reps: DataFrame, percent: int, k: int) -> DataFrame:
     links = cut_lineage(confirm_links(docs, tested, percent), "links")
     parts = cut_lineage(connected_components(links, "a", "b"), "parts")
 
-    # Documents that stand often enough in lists spanning several components.
+    # Documents that stand in a list spanning several components: a link that is left has both ends there.
     placed = entries.select("key", "doc").join(parts, F.col("doc") == F.col("id"), "left").select(
         "key", "doc", F.coalesce("component", "doc").alias("part")
     )
     spanning = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
-    often = placed.join(spanning, "key").groupBy("doc", "part").agg(F.count(F.lit(1)).alias("lists"))
+    met = placed.join(spanning, "key").select("doc", "part").distinct()
     sizes = reps.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"))
-    least = F.when(F.col("n") < MANY, FEW_LISTS).otherwise(MANY_LISTS)
-    still_open = cut_lineage(often.join(sizes, "doc").filter(F.col("lists") >= least).select("doc", "part", "n"), "open")
+    still_open = cut_lineage(met.join(sizes, "doc").select("doc", "part", "n"), "open")
 
     pairs = cut_lineage(prefix_pairs(docs, still_open, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
     more = cut_lineage(sketch_filter(pairs, reps, percent, k), "pairs")

@@ -28,4 +28,4 @@ FROM d LEFT JOIN sh ON d.doc_id = sh.doc_id LEFT JOIN part ON d.doc_id = part.id
 
 @query("op3_minhash_near_dedup", SQL)
 def op3_minhash_near_dedup(spark, sf):
-    return near_duplicates(table(spark, sf, "documents"), "doc_id", "text")
+    return near_duplicates(table(spark, sf, "documents"), "doc_id", "text", percent=85)

@@ -194,3 +194,32 @@ def test_licences(make, odd_rows):
 def test_kept_text_checksums_follow_the_words(make):
     row = remove_repeats(make([(1, "a\tb  c")]), "doc_id", "text").select(F.sha2(F.col("kept_text").cast("binary"), 256)).first()[0]
     assert row == hashlib.sha256(b"a b c").hexdigest()
+
+
+def pairs_between_80_and_85(seed=21):
+    """Pairs of 120 to 400 words of which 0.80 to 0.85 of the shingles are shared, and pairs of few shingles."""
+    rng = random.Random(seed)
+    fresh = lambda n: [f"{rng.choice('abcdefgh')}{rng.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    while len(texts) < 400:
+        base = fresh(rng.randrange(120, 400))
+        copy = list(base)
+        for i in rng.sample(range(len(copy)), len(copy) // 50):
+            copy[i] = fresh(1)[0]
+        one, two = (shingles(" ".join(x)) for x in (base, copy))
+        if 80 <= 100 * len(one & two) / len(one | two) < 85:
+            texts += [base, copy]
+    for n in range(8, 30):
+        short = fresh(n)
+        texts += [short, short + fresh(1), fresh(1) + short[1:] + fresh(1)]
+    return [(i, " ".join(x)) for i, x in enumerate(texts)]
+
+
+def test_pipeline_stage_links_from_80_percent_on(spark):
+    import corpus_pipeline as cp
+
+    rows = pairs_between_80_and_85()
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT")
+    kept = {r["doc_id"] for r in cp.near_dedup(spark, docs, "").collect()}
+    assert kept == {i for i, (_, part) in brute_components(rows, 80).items() if i == part}
+    assert len(kept) < len(rows) - 200
