@@ -8,7 +8,8 @@ prove nothing. A term t discloses of an entity e the share
     1 - log p(e | t) / log p(e)
 
 of its information, where p(e | t) is the share of t's places in the corpus that are next to e and
-p(e) the share of all words that are e. Terms that disclose at least ``GENERALISE`` are replaced by a
+p(e) the share of all words that are e. Places of t are distinct contexts as well, and words are those
+of distinct texts, so copies of a text neither prove nor hide anything. Terms that disclose at least ``GENERALISE`` are replaced by a
 placeholder wherever they stand, and at least ``REMOVE`` are taken out.
 
 Defined cases: a null or empty text has no spans; overlapping spans of different kinds are all
@@ -125,21 +126,31 @@ def _pairs(reach: int):
     return run
 
 
+def _window(reach: int):
+    """Hash of a word's place: the word and those around it, A-Z and other letters lowered."""
+    first = F.greatest(F.col("_pos") - (reach - 1), F.lit(1))
+    return F.xxhash64(F.slice("_words", first, F.col("_pos") + 1 + reach - first + 1))
+
+
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """_tid, _size, n (its words) of every distinct text."""
+    filled = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.xxhash64(filled).alias("_tid"), F.octet_length(filled).alias("_size"), F.size(words(F.col("text"))).alias("n"))
+    return rows.groupBy("_tid", "_size").agg(F.max("n").alias("n"))
+
+
 def disclosing_terms(
     docs: DataFrame, text: str, reach: int = REACH, support: int = SUPPORT, least: float = GENERALISE
 ) -> DataFrame:
     """(term, disclosure): the largest share, from ``least`` on, of any entity's information that
     each term discloses.
 
-    A term's places next to any entity are at most all its places, which rules out most pairs
-    before the corpus is counted.
+    The places of a term are its distinct contexts in the corpus, so copies of a text hide no term.
     """
     docs = docs.select(F.col(text).alias("text"))
     near = cut_lineage(docs.mapInArrow(_pairs(reach), PAIRS), "contexts")
     near = near.distinct()  # equal contexts count once
-    total = cut_lineage(
-        docs.select(F.size(words(F.col("text"))).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")), "total"
-    )
+    total = cut_lineage(distinct_texts(docs).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")), "total")
 
     def told(places: str):
         """The disclosed share, or a bound of it where ``places`` is at most the term's places."""
@@ -152,8 +163,11 @@ def disclosing_terms(
     pairs = pairs.join(entities, "entity").join(terms, "term").crossJoin(F.broadcast(total))
     pairs = cut_lineage(pairs.filter(told("seen") >= least), "pairs")
     blocks = broadcast_blocks(pairs.select(F.col("term").alias("_key")).distinct(), "_key", "terms")
-    corpus = word_rows(docs.withColumn("_none", F.lit(0)), "_none", "text").select("_key")
-    counts = union_all([corpus.join(b, "_key").groupBy("_key").agg(F.count(F.lit(1)).alias("places")) for b in blocks])
+    corpus = word_rows(docs.select(F.lit(0).alias("_none"), F.lower("text").alias("text")), "_none", "text")
+    counts = union_all([
+        corpus.join(b, "_key").select("_key", _window(reach).alias("_window")).distinct()
+        .groupBy("_key").agg(F.count(F.lit(1)).alias("places")) for b in blocks
+    ])
     counted = pairs.join(counts, F.col("term") == F.col("_key"))
     return counted.groupBy("term").agg(F.max(told("places")).alias("disclosure")).filter(F.col("disclosure") >= least)
 

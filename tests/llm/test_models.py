@@ -118,6 +118,16 @@ def test_disclosing_terms_are_taken_out(make, odd_rows):
     assert private_data.sanitise(make([]), "text", ["doc_id"]).count() == 0
 
 
+def test_copies_do_not_hide_a_term(make):
+    rng = random.Random(10)
+    rows = [(i, f"{calm(rng, 6)} Zorblax owner@mail.example.com {calm(rng, 6)}") for i in range(12)]
+    rows += [(100 + i, calm(rng, 100)) for i in range(200)]
+    rows += [(1000 + i, rows[0][1]) for i in range(1000)] + [(3000 + i, f"v{i} {calm(random.Random(1), 9)} {rows[1][1]}") for i in range(1000)]
+    found = {r["doc_id"]: r for r in private_data.sanitise(make(rows), "text", ["doc_id"]).collect()}
+    assert not [i for i, t in rows if "Zorblax" in t and "Zorblax" in found[i]["redacted"]]
+    assert all("river" not in t or "river" in found[i]["redacted"] for i, t in rows), "common words stay"
+
+
 def test_redaction_merges_overlaps():
     assert private_data.redact("ab cd ef", [("card", 0, 5), ("phone", 3, 8)]) == "[CARD]"
     assert private_data.redact("ab cd", [("email", 3, 5), ("removed_term", 0, 2)]) == " [EMAIL]"
