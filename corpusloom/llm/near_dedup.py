@@ -12,9 +12,10 @@ document meets the one list leader it shares most lists with. What is left are d
 in a list spanning more than one component. Their pairs come from their full sets: shingles
 that no other of them has bound every overlap, and pairs of different components meet in a prefix of
 their rarest shared shingles, so neither a passage in many documents nor a large group of distant
-copies multiplies out. Every pair passes the sketch of its union (a margin of six standard deviations
-below the threshold) and is then confirmed on the full shingle sets of both texts. Equal sets are one
-node from the start.
+copies multiplies out. Every pair passes the sketch of its union (at least as many common values as a linked pair
+has but for a chance of ``MISS``) and is then confirmed on the full shingle sets of both texts. Equal
+sets are one node from the start. So a link of two sets right at the threshold, of more shingles than
+a sketch holds, is lost with a chance of at most twice ``MISS``; above the threshold with a smaller one.
 
 Defined cases: a null or wordless text has an empty set and is linked with nothing; a text of fewer
 words than a shingle has its whole sequence as its one shingle; a null id is never linked and always
@@ -25,6 +26,7 @@ empty table gives an empty result; other columns are left out.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,7 @@ from .components import connected_components
 
 SHINGLE = 5
 SKETCH = 64
-MISS = 1e-9  # chance that two large sets at the threshold share no list
-MARGIN = 6.0  # standard deviations of the sketch estimate
+MISS = 1e-9  # chance that two large sets at the threshold share no list, or fail the sketch filter
 
 
 def shingle_sets(t: A.Texts, width: int = SHINGLE) -> list[np.ndarray]:
@@ -88,6 +89,14 @@ def no_run_chance(share: float, places: int, width: int) -> float:
     return sum(ends)
 
 
+def least_hits(share: float, places: int) -> int:
+    """The greatest number below which ``places`` independent hits of chance ``share`` stay with at most ``MISS``."""
+    below, hits = 0.0, 0
+    while (below := below + comb(places, hits) * share**hits * (1 - share) ** (places - hits)) <= MISS:
+        hits += 1
+    return hits
+
+
 def run_widths(percent: int, k: int) -> list[range]:
     """The lengths of the runs that sets of 0, 1, ..., k and of more shingles are listed under."""
     width = 1
@@ -169,10 +178,9 @@ def sketch_filter(pairs: DataFrame, reps: DataFrame, percent: int, k: int) -> Da
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     both = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
     p = percent / 100
-    slack = MARGIN * (p * (1 - p) / k) ** 0.5
     whole = (F.col("na") <= k) & (F.col("nb") <= k) & (F.size(F.array_union("sa", "sb")) <= k)
-    least = F.when(whole, F.lit(p) - 1e-9).otherwise(F.lit(p - slack))
-    return met.filter(both >= least * F.size(union)).select("a", "b")
+    least = F.when(whole, (F.lit(p) - 1e-9) * F.size(union)).otherwise(F.lit(least_hits(p, k)))
+    return met.filter(both >= least).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str, text: str, percent: int = 85, k: int = SKETCH) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.components import connected_components
 from corpusloom.llm.decontamination import contamination
 from corpusloom.llm.licenses import Template, scan_licenses
-from corpusloom.llm.near_dedup import near_duplicates
+from corpusloom.llm.near_dedup import SKETCH, least_hits, near_duplicates, no_run_chance, run_widths
 from corpusloom.llm.sharding import assign_shards
 from corpusloom.llm.substring_dedup import remove_repeats
 
@@ -223,3 +223,30 @@ def test_pipeline_stage_links_from_80_percent_on(spark):
     kept = {r["doc_id"] for r in cp.near_dedup(spark, docs, "").collect()}
     assert kept == {i for i, (_, part) in brute_components(rows, 80).items() if i == part}
     assert len(kept) < len(rows) - 200
+
+
+def test_chance_of_a_lost_link_is_as_stated():
+    from math import comb
+
+    for percent in (80, 85, 90):
+        p, k = percent / 100, SKETCH
+        assert no_run_chance(p, k, run_widths(percent, k)[-1].start) <= 1e-9
+        assert sum(comb(k, i) * p**i * (1 - p) ** (k - i) for i in range(least_hits(p, k))) <= 1e-9
+
+
+def test_one_shared_list_is_enough(make):
+    """Pairs at the threshold whose other ends were met first by documents of other components."""
+    rng = random.Random(31)
+    fresh = lambda n: [f"{rng.choice('abcdefgh')}{rng.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for _ in range(150):
+        base = fresh(200)
+        near, far = list(base), list(base)
+        for i in rng.sample(range(len(base)), 3):
+            near[i] = fresh(1)[0]
+        for i in rng.sample(range(len(base)), 8):
+            far[i] = fresh(1)[0]
+        texts += [far, base, near]
+    rows = [(i, " ".join(x)) for i, x in enumerate(texts)]
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(make(rows), "doc_id", "text").collect()}
+    assert found == brute_components(rows)
