@@ -146,6 +146,8 @@ def disclosing_terms(
     each term discloses.
 
     The places of a term are its distinct contexts in the corpus, so copies of a text hide no term.
+    The number of different values of eight bits of them bounds them from below, which rules out the
+    pairs of frequent words before places are counted.
     """
     docs = docs.select(F.col(text).alias("text"))
     near = cut_lineage(docs.mapInArrow(_pairs(reach), PAIRS), "contexts")
@@ -159,15 +161,22 @@ def disclosing_terms(
 
     pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together")).filter(F.col("together") >= support)
     entities = near.groupBy("entity").agg(F.count_distinct("context").alias("times"))
-    terms = near.groupBy("term").agg(F.count(F.lit(1)).alias("seen"))  # next to any entity
-    pairs = pairs.join(entities, "entity").join(terms, "term").crossJoin(F.broadcast(total))
-    pairs = cut_lineage(pairs.filter(told("seen") >= least), "pairs")
-    blocks = broadcast_blocks(pairs.select(F.col("term").alias("_key")).distinct(), "_key", "terms")
+    pairs = cut_lineage(pairs.join(entities, "entity").crossJoin(F.broadcast(total)), "pairs")
     corpus = word_rows(docs.select(F.lit(0).alias("_none"), F.lower("text").alias("text")), "_none", "text")
-    counts = union_all([
-        corpus.join(b, "_key").select("_key", _window(reach).alias("_window")).distinct()
-        .groupBy("_key").agg(F.count(F.lit(1)).alias("places")) for b in blocks
-    ])
+
+    def met(pairs: DataFrame, name: str) -> list[DataFrame]:
+        """_key and _window of every place of a pair's term, a frame for each block of terms."""
+        blocks = broadcast_blocks(pairs.select(F.col("term").alias("_key")).distinct(), "_key", name)
+        return [corpus.join(b, "_key").select("_key", _window(reach).alias("_window")) for b in blocks]
+
+    bit = F.expr("shiftleft(1L, CAST(_window & 63 AS INT))")
+    which = F.shiftright("_window", 6).bitwiseAND(F.lit(3))
+    masks = [F.bit_or(F.when(which == i, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"_m{i}") for i in range(4)]
+    seen = union_all([m.groupBy("_key").agg(*masks) for m in met(pairs, "candidates")])
+    seen = seen.select("_key", sum((F.bit_count(f"_m{i}") for i in range(4)), F.lit(0)).alias("seen"))
+    pairs = pairs.join(seen, F.col("term") == F.col("_key")).drop("_key").filter(told("seen") >= least)
+    pairs = cut_lineage(pairs, "pairs")
+    counts = union_all([m.distinct().groupBy("_key").agg(F.count(F.lit(1)).alias("places")) for m in met(pairs, "terms")])
     counted = pairs.join(counts, F.col("term") == F.col("_key"))
     return counted.groupBy("term").agg(F.max(told("places")).alias("disclosure")).filter(F.col("disclosure") >= least)
 

@@ -128,6 +128,14 @@ def test_copies_do_not_hide_a_term(make):
     assert all("river" not in t or "river" in found[i]["redacted"] for i, t in rows), "common words stay"
 
 
+def test_term_above_long_lists_of_entities(make):
+    rng = random.Random(11)
+    entries = lambda k: " ".join(f"10.{k}.0.{i}" for i in range(200))
+    rows = [(k, f"{calm(rng, 30)}. Zorblist {entries(0)} {calm(rng, 30)}") for k in range(6)]
+    found = private_data.sanitise(make(rows + [(100 + i, calm(rng, 200)) for i in range(100)]), "text", ["doc_id"]).collect()
+    assert not [r for r in found if "Zorblist" in r["redacted"]]
+
+
 def test_redaction_merges_overlaps():
     assert private_data.redact("ab cd ef", [("card", 0, 5), ("phone", 3, 8)]) == "[CARD]"
     assert private_data.redact("ab cd", [("email", 3, 5), ("removed_term", 0, 2)]) == " [EMAIL]"
