@@ -47,8 +47,8 @@ def read_pairs(spark: SparkSession, splits: dict[str, str]) -> DataFrame:
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """A3: a JSON array of labels, with ``position`` in file order."""
-    df = spark.read.schema(schemas.LABELS).json(path, multiLine=True)
+    """A3: a file with a JSON array of labels, or a folder of such files; ``position`` is in file order."""
+    df = spark.read.schema(schemas.LABELS).json(path, multiLine=True, recursiveFileLookup=True)
     return df.withColumn("position", F.monotonically_increasing_id())
 
 

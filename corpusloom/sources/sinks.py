@@ -47,3 +47,15 @@ def append_summary(df: DataFrame, path: str, run: str) -> None:
 def write_metrics(table: DataFrame, path: str) -> None:
     """Metric rows of a judge."""
     table.write.mode("append").parquet(path)
+
+
+LABELS_PER_FILE = 1 << 15
+
+
+def write_labels(labels: DataFrame, path: str, mode: str = "error") -> None:
+    """Files of one JSON array each, of at most ``LABELS_PER_FILE`` (id, sentiment) rows, below ``path``."""
+    part = F.shiftright(F.monotonically_increasing_id(), LABELS_PER_FILE.bit_length() - 1)  # counts on within a task
+    arrays = labels.select(part.alias("part"), F.struct("id", "sentiment").alias("label")).groupBy("part").agg(
+        F.to_json(F.collect_list("label")).alias("value")
+    )
+    arrays.write.mode(mode).partitionBy("part").text(path)

@@ -43,6 +43,18 @@ def test_labels(spark, tmp_path):
     assert [(r["id"], r["sentiment"]) for r in got] == [(1, "POSITIVE"), (0, "NEGATIVE")]
 
 
+def test_labels_in_many_arrays(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "LABELS_PER_FILE", 64)
+    df = spark.range(1000).selectExpr("CAST(id AS INT) AS id", "IF(id % 3 = 0, 'POSITIVE', 'NEGATIVE') AS sentiment")
+    path = tmp_path / "labels"
+    sinks.write_labels(df, str(path))
+    arrays = [json.loads(f.read_text()) for f in path.rglob("part-*")]
+    assert len(arrays) >= 1000 / 64 and max(map(len, arrays)) <= 64
+    got = readers.read_labels(spark, str(path))
+    assert got.columns == ["id", "sentiment", "position"]
+    assert sorted(tuple(r)[:2] for r in got.collect()) == sorted(tuple(r) for r in df.collect())
+
+
 def test_page_payloads(spark):
     page = json.dumps({"reviews": [{"voted_up": True, "review": "a", "votes_up": 3}, {"voted_up": False, "votes_up": 0}],
                        "cursor": "c"})

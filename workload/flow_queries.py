@@ -254,13 +254,12 @@ def judge_report(spark, sf):
     SELECT count(*) AS n, round(avg(CAST(quality = toxic AS INT)), 6) AS accuracy
     FROM documents d JOIN labels l ON d.doc_id = l.doc_id""")
 def labels_and_accuracy(spark, sf):
-    """A label array written and read again, joined to a sample and compared with its predictions."""
+    """Label arrays written and read again, joined to a sample and compared with its predictions."""
     path = scratch_path(spark, "label-array")
     labels = t.table(spark, sf, "labels").select(
         F.col("doc_id").cast("int").alias("id"), F.when(F.col("quality") == 1, "POSITIVE").otherwise("NEGATIVE").alias("sentiment")
     )
-    array = labels.groupBy(F.lit(1)).agg(F.to_json(F.collect_list(F.struct("id", "sentiment"))).alias("value"))
-    array.select("value").write.text(path)
+    sinks.write_labels(labels, path)
     read = readers.read_labels(spark, path).select("id", "sentiment")
     said = t.table(spark, sf, "labels").select(
         F.col("doc_id").cast("int").alias("id"), F.when(F.col("toxic") == 1, "POSITIVE").otherwise("NEGATIVE").alias("predicted")
