@@ -40,9 +40,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by a benchmark item."""
+    """Documents that are not contaminated by a benchmark item; known by their text, so ids may be null or shared."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, contamination(docs, "doc_id", "text", items, "item_id", "text").filter("contaminated"))
+    filled = F.coalesce(F.col("text"), F.lit(""))
+    docs = docs.withColumn("_text_key", F.concat_ws("-", F.xxhash64(filled), F.octet_length(filled)))
+    gone = contamination(docs, "_text_key", "text", items, "item_id", "text").filter("contaminated").select("_text_key").distinct()
+    return docs.join(broadcast_if_small(cut_lineage(gone, "dropped")), "_text_key", "left_anti").select(COLUMNS)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -250,3 +250,15 @@ def test_one_shared_list_is_enough(make):
     rows = [(i, " ".join(x)) for i, x in enumerate(texts)]
     found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(make(rows), "doc_id", "text").collect()}
     assert found == brute_components(rows)
+
+
+def test_contaminated_rows_go_by_their_text(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    item = " ".join(f"q{i}" for i in range(20))
+    spark.createDataFrame([(1, item)], "item_id BIGINT, text STRING").write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts = [(None, f"x {item}"), (None, "clean without an id"), (7, f"y {item}"), (7, "clean of the same id"), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT")
+    kept = cp.decontaminate(spark, docs, str(tmp_path))
+    assert sorted(str(r["text"]) for r in kept.collect()) == ["None", "clean of the same id", "clean without an id"]
+    assert kept.columns == cp.COLUMNS
