@@ -8,14 +8,15 @@ value is taken as a share of the landmark's own, so a landmark that begins a lon
 fully, and raised to a power; a sentence's value with a landmark is that of its most similar unit.
 
 Landmarks are words of labelled texts and beginnings of words: the ones that tell the classes apart
-most and are not alike, and the harmless words most like them. The Nyström map turns a sentence's kernel values with the
+most and are not alike, by rank (those beyond chance first, weaker ones where these are few), and the harmless words most like them. The Nyström map turns a sentence's kernel values with the
 landmarks into features of a linear SVM. Labels are given for texts, so the SVM is trained in rounds:
 the sentences of a toxic text that score as toxic, and its highest one in any case, stand for it,
 against all sentences of the others. A text
 scores its highest sentence, as a probability calibrated at the labels' true proportions.
 
 Defined cases: a null, empty or wordless text scores like a sentence without any match; without
-labelled rows of both classes every score is 0; null labels are not learned from; very long texts
+labelled rows of both classes, or any word in them, every score is 0; few toxic labels give weak
+landmarks, which the SVM weighs; null labels are not learned from; very long texts
 are scored whole; repeated rows are scored each; an empty table gives an empty result; other columns
 are left out.
 """
@@ -40,8 +41,10 @@ OWN_SPAN = 6  # and in a landmark itself, which leaves room for characters put i
 DECAY = 0.85
 POWER = 5
 RIDGE = 0.1  # on the landmarks' kernel matrix, so that none of its directions is blown up
-TELLING = 3.0  # least log-likelihood ratio, beyond chance, of a landmark taken from toxic texts
-PURE = 10  # and how many times as often it must be in them as in others
+TELLING = 3.0  # log-likelihood ratio, beyond chance, from which a unit of toxic texts ranks first
+PURE = 10  # if it is so many times as often in them as in others
+OFTEN = 3  # and in so many of them
+EMPTY = 0.5  # weight of a sentence without any match beside all sentences of a class
 ALIKE = 0.5  # kernel value from which two landmarks are too alike
 CHUNK = 1 << 18
 
@@ -233,33 +236,43 @@ def choose_landmarks(toxic: list[str], other: list[str]) -> Landmarks | None:
         counts.append(found)
     a_total, b_total = len(toxic), len(other)
 
+    chance = np.log(max(len(counts[0]), 1))  # what the best of so many reaches by chance
+
     def told(x: bytes) -> float:
-        """How far the classes differ in a unit (log-likelihood ratio), for units of toxic texts."""
+        """How far the classes differ in a unit (log-likelihood ratio), below 0 if others have it more."""
         a, b = counts[0][x], counts[1][x]
         p = (a + b) / (a_total + b_total)
-        if a / a_total < PURE * b / b_total:
-            return 0.0
         part = lambda k, n: k * np.log(max(k, 1e-9) / (n * p))
-        return float(part(a, a_total) + part(b, b_total))
+        ratio = float(part(a, a_total) + part(b, b_total))
+        return ratio if a / a_total >= b / b_total else -ratio
 
-    ranked = sorted((x for x in counts[0] if counts[0][x] >= 3), key=lambda x: (-told(x), -len(x), x))
-    chance = np.log(max(len(counts[0]), 1))  # what the best of so many reaches by chance
-    ranked = [x for x in ranked if told(x) > chance + TELLING][: 10 * TOXIC_LANDMARKS]
+    def strong(x: bytes) -> bool:
+        a, b = counts[0][x], counts[1][x]
+        return a >= OFTEN and a / a_total >= PURE * b / b_total and told(x) > chance + TELLING
+
+    order = lambda x: (-told(x), -len(x), x)
+    beyond = sorted(filter(strong, counts[0]), key=order)
+    known = set(beyond)
+    weak = [x for x in counts[0] or counts[1] if x not in known]
+    weak = sorted([x for x in weak if told(x) > 0] or (weak if not beyond else []), key=order)
     chosen: list[bytes] = []
-    for x in ranked:
-        if len(chosen) == TOXIC_LANDMARKS:
-            break
-        if not chosen or max(kernel(chosen, [x]).max(), kernel([x], chosen).max()) < ALIKE:
-            chosen.append(x)
+    telling = 0
+    for ranked in (beyond, weak):
+        for x in ranked[: 10 * TOXIC_LANDMARKS]:
+            if len(chosen) == TOXIC_LANDMARKS:
+                break
+            if not chosen or max(kernel(chosen, [x]).max(), kernel([x], chosen).max()) < ALIKE:
+                chosen.append(x)
+        telling = telling or len(chosen)  # weak ones tell only where no strong one is
     if not chosen:
         return None
-    telling = len(chosen)
+    from_toxic = len(chosen)
     harmless = [x for x in counts[1] if counts[1][x] >= 3 and x not in counts[0] or counts[1][x] * a_total > 2 * counts[0][x] * b_total]
     near = kernel(chosen, harmless).max(0) if harmless else np.zeros(0)
     for i in sorted(range(len(harmless)), key=lambda i: (-near[i], harmless[i]))[: 20 * HARMLESS_LANDMARKS]:
-        if len(chosen) == telling + HARMLESS_LANDMARKS:
+        if len(chosen) == from_toxic + HARMLESS_LANDMARKS:
             break
-        if kernel([harmless[i]], chosen[telling:]).max(initial=0) < ALIKE:
+        if kernel([harmless[i]], chosen[from_toxic:]).max(initial=0) < ALIKE:
             chosen.append(harmless[i])
     return Landmarks(chosen, telling)
 
@@ -292,7 +305,7 @@ def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1
 
 
 def fit(rows: list[tuple], counts: dict, rounds: int = 3) -> Model | None:
-    """A model from (label 0 or 1, text) rows; None unless both labels occur and differ in some unit."""
+    """A model from (label 0 or 1, text) rows; None unless both labels occur with some unit."""
     toxic, other = ([text for label, text in rows if (label > 0) == flag] for flag in (True, False))
     if not toxic or not other:
         return None
@@ -320,7 +333,9 @@ def fit(rows: list[tuple], counts: dict, rounds: int = 3) -> Model | None:
         stands[first] = True
         use = ~is_toxic | stands
         y = np.where(is_toxic, 1.0, -1.0)[use]
-        w = fit_svm(x[use], y, np.where(y > 0, 1 / (y > 0).sum(), 1 / (y < 0).sum()))
+        weight = np.where(y > 0, 1 / (y > 0).sum(), 1 / (y < 0).sum())
+        # a sentence without any match is harmless, however often the landmarks match
+        w = fit_svm(np.vstack((x[use], np.zeros(x.shape[1]))), np.append(y, -1.0), np.append(weight, EMPTY))
         z = x @ w[:-1] + w[-1]
     best = np.full(len(toxic) + len(other), -np.inf)
     np.maximum.at(best, text, z)

@@ -47,6 +47,17 @@ def test_toxicity_learns_and_tolerates_gaps(spark, make, odd_rows):
     assert none.filter("score <> 0").count() == 0
 
 
+def test_toxicity_with_few_toxic_labels():
+    rng = random.Random(13)
+    rows = [(y, t) for _, t, y in toxic_rows(rng, 20)] + [(0, calm(rng, 60)) for _ in range(40)]
+    model = toxicity.fit(rows, {1: 10, 0: 50})
+    assert model is not None
+    one = next(A.text_chunks(iter([pa.record_batch({"text": pa.array([t for _, t, _ in toxic_rows(rng, 40)])})]), "text"))
+    score = model.score(one)
+    assert score[1::2].mean() > score[::2].mean() + 0.1
+    assert toxicity.fit([(1, f"{calm(rng, 9)} idiot"), (0, calm(rng, 10))], {1: 1, 0: 1}) is not None
+
+
 @pytest.fixture(scope="module")
 def model():
     return pieces.default_model()
@@ -136,6 +147,15 @@ def test_term_above_long_lists_of_entities(make):
     assert not [r for r in found if "Zorblist" in r["redacted"]]
 
 
+def test_rare_entities_are_examined(make):
+    rng = random.Random(12)
+    rows = [(k, f"{calm(rng, 8)} Name{'abcd'[k]} one{k}@mail.example.com {calm(rng, 8)}") for k in range(4)]
+    rows += [(10 + i, f"{calm(rng, 8)} Zorblon two@mail.example.com {calm(rng, 8)}") for i in range(2)] + [(20, "Zorblon was here")]
+    found = {r["doc_id"]: r for r in private_data.sanitise(make(rows + [(100 + i, calm(rng, 200)) for i in range(50)]), "text", ["doc_id"]).collect()}
+    assert not [i for i, t in rows if re.search("Name|Zorblon", found[i]["redacted"])]
+    assert all(found[i]["spans"] == "" for i in range(100, 150)), "common words stay"
+
+
 def test_redaction_merges_overlaps():
     assert private_data.redact("ab cd ef", [("card", 0, 5), ("phone", 3, 8)]) == "[CARD]"
     assert private_data.redact("ab cd", [("email", 3, 5), ("removed_term", 0, 2)]) == " [EMAIL]"
