@@ -33,7 +33,10 @@ def test_query_equals_sql(spark, name):
     assert canonical(df.columns, df.collect()) == canonical([d[0] for d in found.description], found.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
+OWN_ROWS = {"op12_packing", "op13_spelling_variants"}  # pieces and words, not documents; their tests compare whole tables
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES) - OWN_ROWS))
 def test_query_without_twin_covers_the_table(spark, name):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     assert queries.QUERIES[name](spark, str(SF)).count() == n
