@@ -2,6 +2,6 @@
 
 from . import (  # noqa: F401
     q_decontamination, q_hard_negatives, q_language, q_licenses, q_near_dedup, q_packing, q_pieces, q_private_data, q_quality, q_sharding,
-    q_substring_dedup, q_toxicity,
+    q_spelling, q_substring_dedup, q_toxicity,
 )
 from .registry import ORACLES, QUERIES  # noqa: F401
