@@ -1,21 +1,28 @@
 """Operator 5: information-theoretic sanitisation of personal data.
 
 Protected entities are e-mail addresses, IP addresses, card numbers and phone numbers, found by fixed
-rules. The corpus then says which other terms give them away: for every entity, the terms within
-``REACH`` words of it are counted over all documents, in distinct contexts only, so copies of a text
-prove nothing. A term t discloses of an entity e the share
+rules. The corpus then says which other terms give them away. A place of a term is a distinct context,
+the term with ``REACH`` words on either side, so copies of a text neither prove nor hide anything;
+p(e | t) is the share of a term's places that lie within ``REACH`` words of the entity e, and
 
-    1 - log p(e | t) / log p(e)
+    -log2 p(e | t)
 
-of its information, where p(e | t) is the share of t's places in the corpus that are next to e and
-p(e) the share of all words that are e. Places of t are distinct contexts as well, and words are those
-of distinct texts, so copies of a text neither prove nor hide anything. Terms that disclose at least ``GENERALISE`` are replaced by a
-placeholder wherever they stand, and at least ``REMOVE`` are taken out. p(e | t) is the lower end of
-Wilson's interval, so few places count for less, and no pair is left out for being rare.
+the bits of e that stay unknown where t is read. Terms that leave at most ``GENERALISE`` bits of some
+entity are replaced by a placeholder wherever they stand, and those that leave at most ``REMOVE`` bits
+are taken out. p(e | t) is the lower end of Wilson's interval, so a meeting or two, which any rare word
+has by chance, leave too much unknown: three distinct contexts, all next to the entity, are the least
+that disclose it. Text without the term changes no verdict on it, so verdicts do not depend on the
+size of the corpus.
+
+The corpus is read three times: for what stands next to entities, for the places of the terms that
+could disclose one (a term that alone in one task has too many is out, and sends one row), and for
+the places of the terms that do. Terms are looked up by a table of fixed size under their hash; rows
+that it lets through wrongly fall in the join behind it.
 
 Defined cases: a null or empty text has no spans; overlapping spans of different kinds are all
 reported and redacted once, under the kind listed first; rows are told apart by their text, so null
-and repeated ids change nothing; an empty table gives an empty result; other columns are left out.
+and repeated ids change nothing; words are compared with A-Z lowered; an empty table gives an empty
+result; carried columns may have any names, and those named like a result column are left out.
 """
 
 from __future__ import annotations
@@ -25,17 +32,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
 from ..sizing import broadcast_if_small
 from . import arrays as A
-from .native_words import broadcast_blocks, union_all, word_rows, words
 
 KINDS = ["email", "ip", "card", "phone", "term", "removed_term"]
 REACH = 5
-SURE = 1.645  # standard errors p(e | t) is lowered by: one-sided 95 % of Wilson's interval
-GENERALISE, REMOVE = 0.75, 0.95
+SURE = 1.645  # standard errors p(e | t) is lowered by for: one-sided 95 %
+GENERALISE, REMOVE = 1.0, 0.3219280948873623  # bits left: p(e | t) of a half and of four fifths
+SLOTS = 1 << 18  # of the table terms are looked up in
+HELD = 500_000  # places a task holds before it gives them on
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -88,101 +96,157 @@ def base_spans(text: str) -> list[Span]:
     return spans
 
 
-def contexts(text: str, reach: int = REACH) -> Iterator[tuple[str, list[str]]]:
-    """(kind:value, lower-case words next to it) of each base span; words inside spans do not count."""
+_TERM = np.ones(256, bool)  # bytes outside of words
+_TERM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+
+class Terms:
+    """The words of some texts: their hashes, and of any place the hash of its context."""
+
+    def __init__(self, t: A.Texts, reach: int):
+        self.t, self.reach = t, reach
+        self.words = A.split_words(t, _TERM)
+        self.hashes = A.word_hashes(t, self.words, A.LOWER)
+        self.text = self.words.text_of()
+
+    def windows(self, places: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(places), np.uint64)
+        first, last = self.words.first[:-1][self.text[places]], self.words.first[1:][self.text[places]]
+        for step, factor in zip(range(-self.reach, self.reach + 1), A.constants(2 * self.reach + 1)):
+            at = places + step
+            inside = (at >= first) & (at < last)
+            total[inside] += self.hashes[at[inside]] * factor
+        return A.mix(total)
+
+    def word(self, place: int) -> str:
+        raw = self.t.buf[self.words.start[place] : self.words.end[place]]
+        return A.LOWER[raw].tobytes().decode()
+
+
+def beside(terms: Terms, i: int, reach: int) -> Iterator[tuple[str, np.ndarray]]:
+    """(kind:value, places of the words next to it) of each base span of text i; words inside spans do not count."""
+    raw = terms.t.raw(i)
+    text = raw.decode()
     spans = sorted({(lo, hi, kind) for kind, lo, hi in base_spans(text)})
     if not spans:
         return
-    free, cut = [], 0
-    for m in _WORD.finditer(text):
-        while cut < len(spans) and spans[cut][1] <= m.start():
-            cut += 1
-        if not any(lo < m.end() and m.start() < hi for lo, hi, _ in spans[cut : cut + 4]):
-            free.append((m.start(), m[0].lower()))
-    starts = [at for at, _ in free]
-    for lo, hi, kind in spans:
-        i = int(np.searchsorted(starts, lo))
-        yield f"{kind}:{text[lo:hi].lower()}", [w for _, w in free[max(i - reach, 0) : i + reach]]
+    place = np.arange(len(text) + 1) if len(text) == len(raw) else np.append(np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80), len(raw))
+    lo, hi = terms.words.first[i], terms.words.first[i + 1]
+    start, end = (x[lo:hi] - terms.t.bounds[i] for x in (terms.words.start, terms.words.end))
+    free = np.ones(hi - lo, bool)
+    for first, last, _ in spans:
+        free[np.searchsorted(end, place[first], "right") : np.searchsorted(start, place[last])] = False
+    free = np.flatnonzero(free)
+    for first, last, kind in spans:
+        k = int(np.searchsorted(start[free], place[first]))
+        yield f"{kind}:{text[first:last].lower()}", lo + free[max(k - reach, 0) : k + reach]
 
 
-PAIRS = "entity STRING, term STRING, context BIGINT"
+PAIRS = "entity STRING, key BIGINT, term STRING, place BIGINT"
+_PAIRS = pa.schema([("entity", pa.string()), ("key", pa.int64()), ("term", pa.string()), ("place", pa.int64())])
 
 
 def _pairs(reach: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         for t in A.text_chunks(batches, "text"):
-            out: tuple[list, list, list] = ([], [], [])
+            terms = Terms(t, reach)
+            entity, places = [], []
             for i in range(len(t)):
-                for entity, near in contexts(t.raw(i).decode(), reach):
-                    context = int.from_bytes(hashlib.blake2b(" ".join(near).encode(), digest_size=8).digest(), "big", signed=True)
-                    for term in sorted(set(near)):
-                        for column, value in zip(out, (entity, term, context)):
-                            column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64())], ["entity", "term", "context"]
-            )
+                for name, near in beside(terms, i, reach):
+                    entity += [name] * len(near)
+                    places.append(near)
+            at = np.concatenate(places) if places else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(entity, pa.string()), pa.array(A.as_long(terms.hashes[at])),
+                pa.array([terms.word(k) for k in at.tolist()], pa.string()), pa.array(A.as_long(terms.windows(at))),
+            ], schema=_PAIRS)
 
     return run
 
 
-def _window(reach: int):
-    """Hash of a word's place: the word and those around it, A-Z and other letters lowered."""
-    first = F.greatest(F.col("_pos") - (reach - 1), F.lit(1))
-    return F.xxhash64(F.slice("_words", first, F.col("_pos") + 1 + reach - first + 1))
+def _places(reach: int, most: np.ndarray):
+    """(key, place) of the terms in the table; of a term with more places than ``most`` says, one row without a place."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, set] = {}
+        out: set[int] = set()
 
-def distinct_texts(docs: DataFrame) -> DataFrame:
-    """_tid, _size, n (its words) of every distinct text."""
-    filled = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.xxhash64(filled).alias("_tid"), F.octet_length(filled).alias("_size"), F.size(words(F.col("text"))).alias("n"))
-    return rows.groupBy("_tid", "_size").agg(F.max("n").alias("n"))
+        def flush() -> pa.RecordBatch:
+            key = np.repeat(np.array(list(held), np.int64), [len(x) for x in held.values()])
+            place = np.array([p for x in held.values() for p in x], np.int64)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(place)], ["key", "place"])
 
+        n = 0
+        for t in A.text_chunks(batches, "text"):
+            terms = Terms(t, reach)
+            at = np.flatnonzero(most[terms.hashes & np.uint64(SLOTS - 1)])
+            keys, windows = A.as_long(terms.hashes[at]), A.as_long(terms.windows(at))
+            both = np.unique(np.stack((keys, windows), 1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
+            for key, window in both.tolist():
+                if key not in out:
+                    found = held.setdefault(key, set())
+                    found.add(window)
+                    if len(found) > most[key & (SLOTS - 1)]:
+                        out.add(key)
+                        del held[key]
+            n += len(both)
+            if n > HELD:
+                yield flush()
+                n = 0
+        yield flush()
+        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.nulls(len(out), pa.int64())], ["key", "place"])
 
-def disclosing_terms(
-    docs: DataFrame, text: str, reach: int = REACH, least: float = GENERALISE
-) -> DataFrame:
-    """(term, disclosure): the largest share, from ``least`` on, of any entity's information that
-    each term discloses.
+    return run
+
+
+def table_of(terms: DataFrame, most: Column) -> np.ndarray:
+    """Largest value of ``most`` under each slot of the terms' keys; 0 where there is none. At most SLOTS figures come to the driver."""
+    rows = terms.groupBy(F.col("key").bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")).agg(F.max(most.cast("int")).alias("most")).toPandas()
+    out = np.zeros(SLOTS, np.int32)
+    out[rows["slot"].to_numpy(np.int64)] = rows["most"].to_numpy(np.int64)
+    return out
+
+
+def sure_share(together: Column, places: Column) -> Column:
+    """Lower end of Wilson's interval of together / places."""
+    n = places.cast("double")
+    share, z2 = together / n, SURE**2
+    return (share + z2 / (2 * n) - F.sqrt(z2 * (share * (1 - share) / n + z2 / (4 * n * n)))) / (1 + z2 / n)
 
-    The places of a term are its distinct contexts in the corpus, so copies of a text hide no term.
-    The number of different values of eight bits of them bounds them from below, which rules out the
-    pairs of frequent words before places are counted.
-    """
+
+def disclosing_terms(docs: DataFrame, text: str, reach: int = REACH, most_bits: float = GENERALISE) -> DataFrame:
+    """(key, term, bits): terms that leave at most ``most_bits`` of some entity, and what they leave of the entity they disclose most."""
     docs = docs.select(F.col(text).alias("text"))
     near = cut_lineage(docs.mapInArrow(_pairs(reach), PAIRS), "contexts")
-    near = near.distinct()  # equal contexts count once
-    total = cut_lineage(distinct_texts(docs).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")), "total")
-
-    def told(places: str):
-        """The disclosed share, or a bound of it where ``places`` is at most the term's places."""
-        n = F.greatest(F.col(places), F.col("together"))
-        share = F.col("together") / n
-        spread = SURE * F.sqrt(share * (1 - share) / n + SURE**2 / (4 * n * n))
-        sure = (share + SURE**2 / (2 * n) - spread) / (1 + SURE**2 / n)
-        return 1 - F.ln(sure) / F.ln(F.least(F.col("times") / F.greatest("total", F.lit(2)), F.lit(0.5)))
-
-    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together"))
-    entities = near.groupBy("entity").agg(F.count_distinct("context").alias("times"))
-    pairs = cut_lineage(pairs.join(entities, "entity").crossJoin(F.broadcast(total)), "pairs")
-    corpus = word_rows(docs.select(F.lit(0).alias("_none"), F.lower("text").alias("text")), "_none", "text")
-
-    def met(pairs: DataFrame, name: str) -> list[DataFrame]:
-        """_key and _window of every place of a pair's term, a frame for each block of terms."""
-        blocks = broadcast_blocks(pairs.select(F.col("term").alias("_key")).distinct(), "_key", name)
-        return [corpus.join(b, "_key").select("_key", _window(reach).alias("_window")) for b in blocks]
-
-    bit = F.expr("shiftleft(1L, CAST(_window & 63 AS INT))")
-    which = F.shiftright("_window", 6).bitwiseAND(F.lit(3))
-    masks = [F.bit_or(F.when(which == i, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"_m{i}") for i in range(4)]
-    seen = union_all([m.groupBy("_key").agg(*masks) for m in met(pairs, "candidates")])
-    seen = seen.select("_key", sum((F.bit_count(f"_m{i}") for i in range(4)), F.lit(0)).alias("seen"))
-    pairs = pairs.join(seen, F.col("term") == F.col("_key")).drop("_key").filter(told("seen") >= least)
-    pairs = cut_lineage(pairs, "pairs")
-    counts = union_all([m.distinct().groupBy("_key").agg(F.count(F.lit(1)).alias("places")) for m in met(pairs, "terms")])
-    counted = pairs.join(counts, F.col("term") == F.col("_key"))
-    return counted.groupBy("term").agg(F.max(told("places")).alias("disclosure")).filter(F.col("disclosure") >= least)
+    pairs = near.groupBy("entity", "key", "term").agg(F.count_distinct("place").alias("together"))
+    terms = pairs.groupBy("key", "term").agg(F.max("together").alias("together"))
+    bits = lambda places: -F.log2(sure_share(F.col("together"), F.greatest(places, F.col("together"))))
+    # All of a term's places next to the entity is the most it can disclose; at least a share of 2**-bits must be.
+    terms = cut_lineage(terms.filter(bits(F.col("together")) <= most_bits), "candidates")
+    most = table_of(terms, F.ceil(F.col("together") * 2.0**most_bits) + 1)
+    if not most.any():
+        return terms.select("key", "term", F.lit(0.0).alias("bits")).limit(0)
+    met = docs.mapInArrow(_places(reach, most), "key BIGINT, place BIGINT")
+    places = met.groupBy("key").agg(F.count_distinct("place").alias("places"), F.count_if(F.col("place").isNull()).alias("over"))
+    told = terms.join(places.filter("over = 0"), "key").select("key", "term", bits(F.col("places")).alias("bits"))
+    return told.filter(F.col("bits") <= most_bits)
+
+
+def _marks(slots: np.ndarray):
+    """Every place of the words whose key's slot is taken."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in A.text_chunks(batches, "_text"):
+            terms = Terms(t, 0)
+            at = np.flatnonzero(slots[terms.hashes & np.uint64(SLOTS - 1)])
+            row = pa.array(terms.text[at])
+            yield pa.RecordBatch.from_arrays([
+                t.rows.column("_tid").take(row), t.rows.column("_size").take(row), pa.array((at - terms.words.first[terms.text[at]]).astype(np.int32)),
+                pa.array(A.as_long(terms.hashes[at])), pa.array([terms.word(k) for k in at.tolist()], pa.string()),
+            ], ["_tid", "_size", "_pos", "key", "term"])
+
+    return run
 
 
 def _spans_of(text: str, terms: list[int], gone: list[int]) -> list[Span]:
@@ -244,24 +308,27 @@ def sanitise(
     generalise: float = GENERALISE, remove: float = REMOVE,
 ) -> DataFrame:
     """The columns ``carry``, then counts by kind, base_spans, spans ("kind:start:end" joined by
-    commas) and, if asked, redacted (the sanitised text; null stays null)."""
-    key = ["_tid", "_size"]
+    commas) and, if asked, redacted (the sanitised text; null stays null). ``generalise`` and
+    ``remove`` are the most bits of an entity that a term may leave unknown."""
+    found = [part.split(" ") for part in FOUND.split(", ")]
+    carry = [c for c in carry if c not in {name for name, _ in found}]
     filled = F.coalesce(F.col(text), F.lit(""))
-    docs = docs.select(
-        *carry, F.col(text).alias("_text"), F.xxhash64(filled).alias("_tid"), F.octet_length(filled).alias("_size")
-    )
-    told = disclosing_terms(docs, "_text", reach, generalise)
-    told = told.select(F.col("term").alias("_key"), (F.col("disclosure") >= remove).alias("_out"))
-    blocks = broadcast_blocks(told, "_key", "disclosing")
-    held = docs.select(F.struct(*key).alias("_id"), "_text")
-    met = union_all([word_rows(held, "_id", "_text").join(b, "_key").select("_doc", "_pos", "_out") for b in blocks])
-    places = met.distinct().groupBy(*[F.col(f"_doc.{k}").alias(k) for k in key]).agg(
-        F.collect_list(F.when(~F.col("_out"), F.col("_pos"))).alias("_terms"),
-        F.collect_list(F.when(F.col("_out"), F.col("_pos"))).alias("_gone"),
-    )
-    facts = docs.join(broadcast_if_small(cut_lineage(places, "places")), key, "left").select(*carry, "_text", "_terms", "_gone")
-    schema = docs.select(*carry).schema
-    for part in FOUND.replace("BIGINT", "long").split(", "):
-        name, kind = part.split(" ")
-        schema = schema.add(name, kind.lower())
-    return facts.mapInArrow(_find(with_text), schema)
+    held = F.struct(*carry) if carry else F.struct(F.lit(0).alias("_none"))
+    docs = docs.select(held.alias("_carry"), F.col(text).alias("_text"), F.xxhash64(filled).alias("_tid"), F.octet_length(filled).alias("_size"))
+    told = cut_lineage(disclosing_terms(docs, "_text", reach, generalise), "disclosing")
+    told = told.select("key", "term", (F.col("bits") <= remove).alias("_out"))
+    slots = table_of(told, F.lit(1)) > 0
+    if slots.any():
+        met = docs.select("_tid", "_size", "_text").mapInArrow(_marks(slots), "_tid BIGINT, _size INT, _pos INT, key BIGINT, term STRING")
+        met = met.join(broadcast_if_small(told), ["key", "term"]).select("_tid", "_size", "_pos", "_out").distinct()
+        places = met.groupBy("_tid", "_size").agg(
+            F.collect_list(F.when(~F.col("_out"), F.col("_pos"))).alias("_terms"), F.collect_list(F.when(F.col("_out"), F.col("_pos"))).alias("_gone")
+        )
+        docs = docs.join(broadcast_if_small(cut_lineage(places, "places")), ["_tid", "_size"], "left")
+    else:
+        docs = docs.withColumns({c: F.lit(None).cast("array<int>") for c in ("_terms", "_gone")})
+    facts = docs.select("_carry", "_text", "_terms", "_gone")
+    schema = facts.select("_carry").schema
+    for name, kind in found:
+        schema = schema.add(name, kind.lower().replace("bigint", "long"))
+    return facts.mapInArrow(_find(with_text), schema).select(*[F.col("_carry").getField(c).alias(c) for c in carry], *[name for name, _ in found])

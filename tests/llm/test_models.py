@@ -1,5 +1,6 @@
 """Operators 1, 2, 5, 8 and 9: held-out accuracy, exact round trips and brute-force counts."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -117,7 +118,7 @@ def test_base_spans_equal_the_patterns():
 
 def test_disclosing_terms_are_taken_out(make, odd_rows):
     rng = random.Random(9)
-    rows = [(i, f"{calm(rng, 6)} Zorblax owner@mail.example.com {calm(rng, 6)}") for i in range(12)]
+    rows = [(i, f"{calm(rng, 6)} Zorblax owner@mail.example.com {calm(rng, 6)}") for i in range(30)]
     rows += [(100 + i, f"{calm(rng, 30)} other{i}@mail.example.com {calm(rng, 9)}") for i in range(40)]
     rows += [(200, "Zorblax was here"), (201, f"copy {calm(rng, 5)} x@y.zz")] + [(300 + i, rows[0][1]) for i in range(5)]
     docs = make(rows + [(i and 900 + i, t) for i, t in odd_rows])
@@ -147,15 +148,78 @@ def test_term_above_long_lists_of_entities(make):
     assert not [r for r in found if "Zorblist" in r["redacted"]]
 
 
-def test_rare_entities_are_examined(make):
+def test_few_contexts_disclose_from_three_on(make):
+    """A meeting or two are what any rare word has by chance; three distinct contexts, and no other place, disclose."""
     rng = random.Random(12)
     rows = [(k, f"{calm(rng, 8)} Name{'abcd'[k]} one{k}@mail.example.com {calm(rng, 8)}") for k in range(4)]
-    rows += [(10 + i, f"{calm(rng, 8)} Zorblon two@mail.example.com {calm(rng, 8)}") for i in range(2)] + [(20, "Zorblon was here")]
-    found = {r["doc_id"]: r for r in private_data.sanitise(make(rows + [(100 + i, calm(rng, 200)) for i in range(50)]), "text", ["doc_id"]).collect()}
-    assert not [i for i, t in rows if re.search("Name|Zorblon", found[i]["redacted"])]
+    rows += [(10 + i, f"{calm(rng, 8)} Zorblon two@mail.example.com {calm(rng, 8)}") for i in range(2)]
+    rows += [(15 + i, rows[4][1]) for i in range(9)]
+    rows += [(30 + i, f"{calm(rng, 8)} Zorblin three@mail.example.com {calm(rng, 8)}") for i in range(3)]
+    rest = [(100 + i, calm(rng, 200)) for i in range(50)]
+    found = {r["doc_id"]: r for r in private_data.sanitise(make(rows + rest), "text", ["doc_id"]).collect()}
+    assert [i for i, _ in rows if re.search("Name|Zorblon", found[i]["redacted"])] == [0, 1, 2, 3, 10, 11, *range(15, 24)]
+    assert not [i for i, _ in rows if "Zorblin" in found[i]["redacted"]] and "[TERM]" in found[30]["redacted"]
     assert all(found[i]["spans"] == "" for i in range(100, 150)), "common words stay"
 
 
+def brute_terms(texts, reach=5):
+    """term -> bits, from the definition: distinct contexts of every word, and those next to an entity."""
+    places, beside = {}, {}
+    for text in set(texts):
+        words = [(m.start(), m.end(), m[0].lower()) for m in re.finditer("[A-Za-z0-9]+", text)]
+        spans = private_data.base_spans(text)
+        free = [k for k, (lo, hi, _) in enumerate(words) if not any(a < hi and lo < b for _, a, b in spans)]
+        context = lambda k: (min(k, reach), tuple(w for _, _, w in words[max(k - reach, 0) : k + reach + 1]))
+        for k, (_, _, w) in enumerate(words):
+            places.setdefault(w, set()).add(context(k))
+        for kind, a, b in spans:
+            left = [k for k in free if words[k][0] < a][-reach:]
+            right = [k for k in free if words[k][0] >= a][:reach]
+            for k in left + right:
+                beside.setdefault((words[k][2], kind, text[a:b].lower()), set()).add(context(k))
+    out = {}
+    for (w, *_), met in beside.items():
+        n, share, z2 = len(places[w]), len(met) / len(places[w]), 1.645**2
+        low = (share + z2 / (2 * n) - math.sqrt(z2 * (share * (1 - share) / n + z2 / (4 * n * n)))) / (1 + z2 / n)
+        if low >= 0.5 - 1e-12:
+            out[w] = min(out.get(w, 9), -math.log2(low))
+    return out
+
+
+def disclosing_texts(rng, n=150):
+    """Names that mostly, half the time or hardly ever stand next to one of few addresses."""
+    names = [f"Name{'abcdefgh'[k]}" for k in range(8)]
+    rows = []
+    for i in range(n):
+        k = rng.randrange(8)
+        address = f"owner{k}@mail.example.com" if rng.random() > k / 8 else f"+49 30 {rng.randrange(10**6, 10**7)}"
+        rows.append(f"{calm(rng, rng.randrange(3, 9))} {names[k]} {address if rng.random() > 0.1 else ''} {calm(rng, 7)}")
+    return rows
+
+
+def test_disclosure_equals_its_definition_and_ignores_unrelated_text(spark, make):
+    texts = disclosing_texts(random.Random(21))
+    told = lambda rows: {r["term"]: round(r["bits"], 9) for r in private_data.disclosing_terms(make(list(enumerate(rows))), "text").collect()}
+    want = {w: round(b, 9) for w, b in brute_terms(texts).items()}
+    assert told(texts) == want and 1 < len(want) < 8
+    other = [f"unrelated{i % 7} words{i} of no name {i} x{i % 5}@else.example.org further" for i in range(400)]
+    assert {w: b for w, b in told(texts + other).items() if w.startswith("name")} == want
+
+
+def test_a_frequent_term_is_ruled_out_in_its_task(spark, make, monkeypatch):
+    monkeypatch.setattr(private_data, "HELD", 10)
+    rng = random.Random(22)
+    rows = [f"{calm(rng, 6)} contact desk@mail.example.com {calm(rng, 6)}" for _ in range(5)] + [f"{calm(rng, 5)} contact {calm(rng, 5)}" for _ in range(300)]
+    assert "contact" not in {r["term"] for r in private_data.disclosing_terms(make(list(enumerate(rows))), "text").collect()}
+
+
+def test_carried_columns_of_any_name(make):
+    names = ["_tid", "_size", "_text", "_terms", "_pos", "key", "term", "_carry", "spans"]
+    found = private_data.sanitise(make([(1, "mail a@b.cc now"), (2, None)], names), "text", ["doc_id", *names])
+    assert found.columns.count("spans") == 1 and set(names) < set(found.columns)
+    assert {r["doc_id"]: (r["spans"], r["_tid"]) for r in found.collect()} == {1: ("email:5:11", "x"), 2: ("", "x")}
+
+
 def test_redaction_merges_overlaps():
     assert private_data.redact("ab cd ef", [("card", 0, 5), ("phone", 3, 8)]) == "[CARD]"
     assert private_data.redact("ab cd", [("email", 3, 5), ("removed_term", 0, 2)]) == " [EMAIL]"
