@@ -7,7 +7,10 @@ space is the pieces' own: a text gets one space in front, and a space stands for
 no piece goes on past a space that follows another character, a text falls apart there into
 stretches whose best segmentations are independent; equal stretches are encoded once.
 
-The pass runs over all new stretches of a chunk at once, one byte place at a time. Encoding
+The pass runs over all new stretches of a chunk at once, one byte place at a time; a very long stretch
+has a pass of its own that keeps only the scores a piece can reach back to. Stretches are known by a
+hash; as their ids decode to the very bytes, each chunk is decoded and compared, and encoded anew
+without that knowledge should it differ. Encoding
 maximises the sum of the model's scores, whatever algorithm the model was trained for; the model is
 read, never trained. Decoding returns the text exactly, the piece sign itself and control
 characters included.
@@ -20,8 +23,10 @@ repeated rows and other columns stay as they are.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +37,7 @@ from . import arrays as A
 SPACE = 0x20
 FALLBACK = -1e5  # for a byte without a piece: below any sum of scores worth having
 CACHE_STRETCHES = 150_000  # of an executor's Python process; beyond it the cache starts anew
-LONG = 256  # stretches above it are encoded in groups of their own
+LONG = 4_096  # bytes from which a stretch has a pass of its own
 CELLS = 1 << 20  # places of one Viterbi group
 
 
@@ -43,79 +48,102 @@ class Automaton:
         used = sorted({b for piece, _, _ in pieces for b in piece})
         self.symbol = np.zeros(256, np.int32)  # 0: in no piece
         self.symbol[used] = np.arange(1, len(used) + 1)
-        width = len(used) + 1
-        children: list[dict[int, int]] = [{}]
+        child: dict[int, int] = {}  # (state, byte) as one number
+        parent, byte, depth = [0], [0], [0]
         ends: dict[int, tuple[int, int, float]] = {}
         for piece, number, score in pieces:
             node = 0
             for b in piece:
-                nxt = children[node].get(b)
+                nxt = child.get(node << 8 | b)
                 if nxt is None:
-                    nxt = children[node][b] = len(children)
-                    children.append({})
+                    nxt = child[node << 8 | b] = len(parent)
+                    parent.append(node)
+                    byte.append(b)
+                    depth.append(depth[node] + 1)
                 node = nxt
             if node not in ends or ends[node][2] < score:
                 ends[node] = (number, len(piece), score)
-        n = len(children)
-        self.next = np.zeros((n, width), np.uint16 if n < 1 << 16 else np.int32)
+        n = len(parent)
+        parent, depth = np.array(parent, np.int32), np.array(depth, np.int32)
+        symbol = self.symbol[np.array(byte, np.uint8)]
+        self.next = np.zeros((n, len(used) + 1), np.uint16 if n < 1 << 16 else np.int32)
         self.piece = np.full(n, -1, np.int32)
         self.size = np.zeros(n, np.int32)
         self.score = np.zeros(n, np.float64)
         for node, (number, size, score) in ends.items():
             self.piece[node], self.size[node], self.score[node] = number, size, score
+        self.longest = int(self.size.max())
         self.link = np.zeros(n, np.int32)  # next shorter piece that ends where this state does
         fail = np.zeros(n, np.int32)
-        level = []
-        for b, child in children[0].items():
-            self.next[0, self.symbol[b]] = child
-            level.append(child)
-        while level:  # breadth first: a state's fail state is complete before it
-            below = []
-            for node in level:
-                row = self.next[fail[node]].copy()
-                f = fail[node]
-                self.link[node] = f if self.piece[f] >= 0 else self.link[f]
-                for b, child in children[node].items():
-                    s = self.symbol[b]
-                    fail[child] = row[s]
-                    row[s] = child
-                    below.append(child)
-                self.next[node] = row
-            level = below
+        for level in range(depth.max() + 1):  # a state's fail state is of a level before, so complete
+            here = np.flatnonzero(depth == level)
+            if level:
+                f = fail[here]
+                self.link[here] = np.where(self.piece[f] >= 0, f, self.link[f])
+                self.next[here] = self.next[f]
+            below = np.flatnonzero(depth == level + 1)
+            fail[below] = self.next[parent[below], symbol[below]]
+            self.next[parent[below], symbol[below]] = below
         #: the first state with a piece on the way from each state, 0 if there is none
         self.first = np.where(self.piece >= 0, np.arange(n, dtype=np.int32), self.link)
 
 
-class Coder:
-    """Encoder and decoder of one model file."""
+class Decoder:
+    """The bytes of a model's pieces."""
 
     def __init__(self, model: str):
         import sentencepiece
 
         processor = sentencepiece.SentencePieceProcessor(model_file=model)
         self.byte_ids = np.full(256, -1, np.int32)
-        self.text: list[bytes] = []
-        pieces = []
+        text: list[bytes] = []
+        self.pieces = []
         for i in range(processor.get_piece_size()):
             name = processor.id_to_piece(i)
             if processor.is_byte(i):
                 value = int(name[3:5], 16)
                 self.byte_ids[value] = i
-                self.text.append(bytes([value]))
+                text.append(bytes([value]))
             elif processor.is_control(i) or processor.is_unknown(i) or processor.is_unused(i):
-                self.text.append(b"")
+                text.append(b"")
             else:
                 raw = name.replace("▁", " ").encode()
-                self.text.append(raw)
+                text.append(raw)
                 if re.fullmatch(r" *[^ ]+| +", name.replace("▁", " ")) is None:
                     raise ValueError(f"piece {name!r} goes on past a space")
-                pieces.append((raw, i, processor.get_score(i)))
+                self.pieces.append((raw, i, processor.get_score(i)))
         if (self.byte_ids < 0).any():
             raise ValueError("the model has no byte pieces to fall back on")
-        self.automaton = Automaton(pieces)
-        self.flat = np.frombuffer(b"".join(self.text), np.uint8)
-        self.sizes = np.array([len(x) for x in self.text], np.int64)
+        self.flat = np.frombuffer(b"".join(text), np.uint8)
+        self.sizes = np.array([len(x) for x in text], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def raw(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all pieces, one after the other, and their sizes."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.sizes)):
+            raise ValueError("an id is outside of the model")
+        sizes = self.sizes[ids]
+        return self.flat[A.spread(self.starts[ids], sizes)], sizes
+
+    def decode(self, ids: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all texts, one after the other, and their sizes."""
+        data, sizes = self.raw(ids)
+        total = np.concatenate(([0], np.cumsum(sizes)))
+        ends = np.concatenate(([0], np.cumsum(count)))
+        per_text = total[ends[1:]] - total[ends[:-1]]
+        filled = per_text > 0  # the space in front goes
+        keep = np.ones(len(data), bool)
+        keep[total[ends[:-1]][filled]] = False
+        return data[keep], per_text - filled
+
+
+class Coder(Decoder):
+    """Encoder and decoder of one model file."""
+
+    def __init__(self, model: str):
+        super().__init__(model)
+        self.automaton = Automaton(self.pieces)
+        self.pieces = []
         self.known: dict[int, int] = {}
         self._reset()
 
@@ -166,6 +194,31 @@ class Coder:
         order = np.argsort(owner, kind="stable")
         return np.concatenate(ends)[::-1][order], np.bincount(owner, minlength=n)
 
+    def _long(self, data: bytes) -> np.ndarray:
+        """Ids of one stretch."""
+        auto = self.automaton
+        width, window = auto.next.shape[1], auto.longest + 1
+        nxt, symbol = memoryview(auto.next.ravel()), auto.symbol.tolist()
+        first, link, size, score, piece = (memoryview(x) for x in (auto.first, auto.link, auto.size, auto.score, auto.piece))
+        best = [0.0] * window  # of the last places
+        back = array("i", bytes(4 * (len(data) + 1)))
+        state = 0
+        for at, byte in enumerate(data, 1):
+            state = nxt[state * width + symbol[byte]]
+            top, who, out = best[(at - 1) % window] + FALLBACK, -1, first[state]
+            while out:
+                found = best[(at - size[out]) % window] + score[out]
+                if found > top:
+                    top, who = found, piece[out]
+                out = link[out]
+            best[at % window], back[at] = top, who
+        ids, at, sizes, single = array("i"), len(data), self.sizes.tolist(), self.byte_ids.tolist()
+        while at:
+            who = back[at]
+            ids.append(who if who >= 0 else single[data[at - 1]])
+            at -= sizes[who] if who >= 0 else 1
+        return np.array(ids, np.int32)[::-1]
+
     def _learn(self, buf: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray) -> None:
         order = np.argsort(size, kind="stable")
         lo = 0
@@ -174,8 +227,14 @@ class Coder:
             limit = max(1, CELLS // (int(size[order[lo]]) * 2 + 8))
             while hi < len(order) and hi - lo < limit and size[order[hi]] <= max(2 * size[order[lo]], 8):
                 hi = min(len(order), lo + limit, int(np.searchsorted(size[order], max(2 * size[order[lo]], 8), "right")))
+            if size[order[lo]] > LONG:
+                hi = lo + 1
             part = order[lo:hi]
-            ids, count = self._viterbi(buf, start[part], size[part])
+            if hi == lo + 1 and size[part[0]] > LONG:
+                ids = self._long(buf[start[part[0]] : start[part[0]] + size[part[0]]].tobytes())
+                count = np.array([len(ids)])
+            else:
+                ids, count = self._viterbi(buf, start[part], size[part])
             need = self.used + len(ids)
             if need > len(self.ids):
                 self.ids = np.concatenate((self.ids, np.zeros(max(need, len(self.ids)), np.int32)))
@@ -192,6 +251,14 @@ class Coder:
 
     def encode(self, t: A.Texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and their counts."""
+        ids, count = self._encode(t)
+        if not np.array_equal(self.decode(ids, count)[0], t.buf):  # two stretches of one hash
+            self._reset()
+            ids, count = self._encode(t, known=False)
+            self._reset()
+        return ids, count
+
+    def _encode(self, t: A.Texts, known: bool = True) -> tuple[np.ndarray, np.ndarray]:
         n = len(t)
         sizes = np.diff(t.bounds)
         filled = sizes > 0
@@ -208,7 +275,7 @@ class Coder:
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(n, np.int64)
         stretches = A.Words(start, start + size, np.searchsorted(start, ends))
-        hashes = A.word_hashes(A.Texts(t.rows, buf, ends), stretches)
+        hashes = A.word_hashes(A.Texts(t.rows, buf, ends), stretches) if known else np.arange(len(start), dtype=np.uint64)
         keys, where, slot = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) + len(keys) > CACHE_STRETCHES:
             self._reset()
@@ -222,39 +289,50 @@ class Coder:
         total = np.concatenate(([0], np.cumsum(count)))
         return ids, total[stretches.first[1:]] - total[stretches.first[:-1]]
 
-    def decode(self, ids: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes of all texts, one after the other, and their sizes."""
-        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.sizes)):
-            raise ValueError("an id is outside of the model")
-        sizes = self.sizes[ids]
-        data = self.flat[A.spread(self.starts[ids], sizes)]
-        total = np.concatenate(([0], np.cumsum(sizes)))
-        ends = np.concatenate(([0], np.cumsum(count)))
-        per_text = total[ends[1:]] - total[ends[:-1]]
-        filled = per_text > 0  # the space in front goes
-        keep = np.ones(len(data), bool)
-        keep[total[ends[:-1]][filled]] = False
-        return data[keep], per_text - filled
-
 
 @lru_cache(maxsize=2)
 def coder(model: str) -> Coder:
     return Coder(model)
 
 
-def _encode(model: str, column: str):
+@lru_cache(maxsize=2)
+def decoder(model: str) -> Decoder:
+    return Decoder(model)
+
+
+def _lists(null: np.ndarray, ids: np.ndarray, count: np.ndarray) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets, mask=np.concatenate((null, [False]))), pa.array(ids, pa.int32()))
+
+
+def _encode(model: str, column: str, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in A.text_chunks(batches, column):
             ids, count = coder(model).encode(t)
             null = t.rows.column(column).is_null().to_numpy(zero_copy_only=False)
-            offsets = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets, mask=np.concatenate((null, [False]))), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*t.rows.columns, lists], [*t.rows.schema.names, "_ids"])
+            yield pa.RecordBatch.from_arrays([*t.rows.columns, _lists(null, ids, count)], [*t.rows.schema.names, name])
 
     return run
 
 
-def _decode(model: str, column: str):
+def _checked(model: str, column: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in A.text_chunks(batches, column):
+            ids, count = coder(model).encode(t)
+            data, sizes = coder(model).decode(ids, count)
+            ends, raw = np.concatenate(([0], np.cumsum(sizes))).tolist(), data.tobytes()
+            null = t.rows.column(column).is_null().to_numpy(zero_copy_only=False)
+            sums = [None if null[i] else sha256(raw[ends[i] : ends[i + 1]]).hexdigest() for i in range(len(sizes))]
+            kept = t.rows.drop_columns([column])
+            yield pa.RecordBatch.from_arrays(
+                [*kept.columns, _lists(null, ids, count), pa.array(count, pa.int64()), pa.array(sums, pa.string())],
+                [*kept.schema.names, "ids", "n_tokens", "text_sha256"],
+            )
+
+    return run
+
+
+def _decode(model: str, column: str, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
@@ -262,11 +340,11 @@ def _decode(model: str, column: str):
                 lists = rows.column(column)
                 null = lists.is_null().to_numpy(zero_copy_only=False)
                 count = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                data, sizes = coder(model).decode(lists.flatten().to_numpy(zero_copy_only=False), count)
+                data, sizes = decoder(model).decode(lists.flatten().to_numpy(zero_copy_only=False), count)
                 ends = np.concatenate(([0], np.cumsum(sizes)))
                 raw = data.tobytes()
                 texts = [None if null[i] else raw[ends[i] : ends[i + 1]].decode() for i in range(len(sizes))]
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.string())], [*rows.schema.names, "_text"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.string())], [*rows.schema.names, name])
 
     return run
 
@@ -274,15 +352,26 @@ def _decode(model: str, column: str):
 def encode(df: DataFrame, text: str, model: str, ids: str = "ids") -> DataFrame:
     """``df`` with the piece ids of a text column as an array column, in place of a column of that name."""
     kept = df.drop(ids)
-    schema = T.StructType([*kept.schema.fields, T.StructField("_ids", T.ArrayType(T.IntegerType()))])
-    return kept.mapInArrow(_encode(model, text), schema).withColumnRenamed("_ids", ids)
+    schema = T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    return kept.mapInArrow(_encode(model, text, ids), schema)
+
+
+def encode_checked(df: DataFrame, text: str, model: str) -> DataFrame:
+    """The other columns with ids, n_tokens (0 for a null text) and text_sha256 of what the ids decode to, in one
+    pass; columns of these names give way."""
+    kept = df.drop(*{"ids", "n_tokens", "text_sha256"} - {text})
+    fields = [f for f in kept.schema.fields if f.name != text]
+    schema = T.StructType([
+        *fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("text_sha256", T.StringType()),
+    ])
+    return kept.mapInArrow(_checked(model, text), schema)
 
 
 def decode(df: DataFrame, ids: str, model: str, text: str = "text") -> DataFrame:
     """``df`` with the text of an id array column, in place of a column of that name."""
     kept = df.drop(text)
-    schema = T.StructType([*kept.schema.fields, T.StructField("_text", T.StringType())])
-    return kept.mapInArrow(_decode(model, ids), schema).withColumnRenamed("_text", text)
+    schema = T.StructType([*kept.schema.fields, T.StructField(text, T.StringType())])
+    return kept.mapInArrow(_decode(model, ids, text), schema)
 
 
 def default_model() -> str:

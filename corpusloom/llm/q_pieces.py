@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from .pieces import decode, default_model, encode
+from .pieces import default_model, encode_checked
 from .registry import query, table
 
 
 @query("op2_sentencepiece")
 def op2_sentencepiece(spark, sf):
     """Piece ids of every whole text, and the checksum of what they decode to."""
-    model = default_model()
-    coded = decode(encode(table(spark, sf, "documents").select("doc_id", "text"), "text", model).drop("text"), "ids", model)
-    n = F.when(F.col("ids").isNull(), 0).otherwise(F.size("ids")).cast("bigint")
-    return coded.select("doc_id", n.alias("n_tokens"), "ids", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    coded = encode_checked(table(spark, sf, "documents").select("doc_id", "text"), "text", default_model())
+    return coded.select("doc_id", "n_tokens", "ids", "text_sha256").withColumnRenamed("text_sha256", "decoded_sha256")

@@ -1,11 +1,13 @@
 """Operators 1, 2, 5, 8 and 9: held-out accuracy, exact round trips and brute-force counts."""
 
+import hashlib
 import math
 import random
 import re
 from collections import Counter
 
 import pyarrow as pa
+import numpy as np
 import pytest
 
 from corpusloom.llm import arrays as A
@@ -93,6 +95,23 @@ def test_pieces_round_trip_and_best_path(spark, make, odd_rows, model):
             best.append(top)
         assert sum(of.get(x, pieces.FALLBACK) for x in back[i]["ids"]) == pytest.approx(best[-1])
     assert pieces.encode(make([]), "text", model).count() == 0
+    clash = make(list(enumerate(texts)), ("_ids", "_text", "ids", "n_tokens", "text_sha256"))
+    assert pieces.encode(clash, "text", model).select("_ids").first()[0] == "x"
+    checked = {r["doc_id"]: r for r in pieces.encode_checked(clash, "text", model).collect()}
+    for i, text in enumerate(texts):
+        assert checked[i]["ids"] == back[i]["ids"] and checked[i]["n_tokens"] == len(back[i]["ids"] or [])
+        assert checked[i]["text_sha256"] == (None if text is None else hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_long_stretches_and_equal_hashes_are_encoded_alike(model, monkeypatch):
+    one = lambda texts: next(A.text_chunks(iter([pa.record_batch({"text": pa.array(texts)})]), "text"))
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("aeiou étzß你", k=n)) for n in (5, 60, 900, 3_000)] + ["x" * 2_000, "ab" * 700]
+    want = [x.tolist() for x in pieces.Coder(model).encode(one(texts))]
+    monkeypatch.setattr(pieces, "LONG", 4)
+    assert [x.tolist() for x in pieces.Coder(model).encode(one(texts))] == want
+    monkeypatch.setattr(pieces.A, "word_hashes", lambda t, w, fold=None: np.zeros(len(w), np.uint64))
+    assert [x.tolist() for x in pieces.Coder(model).encode(one(texts))] == want
 
 
 def brute_spans(text):
