@@ -36,8 +36,8 @@ class Texts:
         return self.buf[self.bounds[i] : self.bounds[i + 1]].tobytes()
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], column: str, chunk: int = CHUNK) -> Iterator[Texts]:
-    """Consecutive rows whose texts together have at most ``chunk`` bytes, one row at least."""
+def text_chunks(batches: Iterator[pa.RecordBatch], column: str, chunk: int = CHUNK, rows: int = 1 << 20) -> Iterator[Texts]:
+    """Consecutive rows, at most ``rows``, whose texts together have at most ``chunk`` bytes, one row at least."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -47,7 +47,7 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str, chunk: int = CHU
         data = np.frombuffer(col.buffers()[2], np.uint8) if col.buffers()[2] is not None else np.zeros(0, np.uint8)
         lo = 0
         while lo < len(col):
-            hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + chunk, "right")) - 1)
+            hi = min(lo + rows, max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + chunk, "right")) - 1))
             yield Texts(batch.slice(lo, hi - lo), data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
             lo = hi
 

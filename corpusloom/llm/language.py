@@ -23,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import arrays as A
-from .learning import labelled_sample
+from .learning import SAMPLE_CHARS, labelled_sample
 
 BITS = 12
 PER_LANGUAGE = 400
 CENTROIDS = 4
+ROWS = 256  # texts whose counts, 2^BITS figures each, are held at a time
 REJECT = 0.005  # share of a language's sample rows that lie beyond its distance bound
 
 _CLEAN = np.full(256, 0x20, np.uint8)
@@ -66,7 +67,7 @@ def has_letter(t: A.Texts) -> np.ndarray:
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per partition: rows and document frequencies."""
     rows, df = 0, np.zeros(1 << BITS, np.int64)
-    for t in A.text_chunks(batches, "text"):
+    for t in A.text_chunks(batches, "text", rows=ROWS):
         rows += len(t)
         df += (counts(t) > 0).sum(0)
     yield pa.RecordBatch.from_arrays(
@@ -128,7 +129,7 @@ def fit(rows: list[tuple], idf: np.ndarray, k: int = CENTROIDS) -> Model | None:
     centroids, language = [], []
     for i, name in enumerate(names):
         texts = pa.record_batch({"text": pa.array([text for own, text in rows if own == name], pa.string())})
-        x = np.concatenate([model.vectors(t) for t in A.text_chunks(iter([texts]), "text")])
+        x = np.concatenate([model.vectors(t) for t in A.text_chunks(iter([texts]), "text", rows=ROWS)])
         own = cluster(x, k)
         model.bound[i] = np.quantile((x @ own.T).max(1), REJECT)
         centroids.append(own)
@@ -142,7 +143,7 @@ SCHEMA = "doc_id BIGINT, lang_pred STRING, score DOUBLE, rejected BOOLEAN"
 
 def _label(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in A.text_chunks(batches, "text"):
+        for t in A.text_chunks(batches, "text", rows=ROWS):
             known = has_letter(t) if model else np.zeros(len(t), bool)
             which, score = model.nearest(t) if model else (np.zeros(len(t), np.int64), np.zeros(len(t)))
             names = [model.names[i] if ok else "und" for i, ok in zip(which, known)]
@@ -157,13 +158,14 @@ def _label(model: Model | None):
 
 def identify(
     docs: DataFrame, doc_id: str, text: str, lang: str, learn: Column | None = None,
-    per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS,
+    per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS, max_chars: int = SAMPLE_CHARS,
 ) -> DataFrame:
-    """doc_id, lang_pred, score (cosine) and rejected; learned from the rows that ``learn`` selects."""
+    """doc_id, lang_pred, score (cosine) and rejected; learned from the rows that ``learn`` selects, centroids from
+    at most ``per_language`` of each language, of at most ``max_chars`` characters."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("label"))
     taught = rows.filter("label IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
     if learn is not None:
         taught = taught.filter(learn)
-    sample, _ = labelled_sample(taught, taught, per_language)
+    sample, _ = labelled_sample(taught, taught, per_language, max_chars)
     model = fit(sample, inverse_frequencies(taught), centroids) if sample else None
     return rows.select("doc_id", "text").mapInArrow(_label(model), SCHEMA).withColumnRenamed("doc_id", doc_id)

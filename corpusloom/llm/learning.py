@@ -14,8 +14,10 @@ def labelled_sample(
 ) -> tuple[list[tuple], dict]:
     """((label, text) rows, rows per label) of docs(doc_id, text) and labels(doc_id, label).
 
-    At most about ``per_class`` rows of each label, those with the smallest hash of their id, and of
-    them the texts of at most ``max_chars`` characters. Rows without id, label or text are left out.
+    At most about ``per_class`` labels of each value, those with the smallest hash of their id, and of
+    their rows the texts of at most ``max_chars`` characters, at most ``2 * per_class`` for each value.
+    Where repeated ids give more labels or rows, those with the smallest hashes are taken, so the sample
+    is the same in every run. Rows without id, label or text are left out.
     """
     known = labels.filter("doc_id IS NOT NULL AND label IS NOT NULL").select("doc_id", "label")
     if where is not None:
@@ -29,8 +31,10 @@ def labelled_sample(
         share = F.when(F.col("label") == F.lit(label), F.lit(min(_HASHES - 1, int(_HASHES * min(1.0, per_class / n))))).otherwise(share)
     chosen = known.filter(place <= share)
     bound = 2 * per_class * len(counts)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.limit(bound)), "doc_id")
-    rows = rows.filter(F.col("text").isNotNull() & (F.length("text") <= max_chars)).select("doc_id", "label", "text").limit(bound).collect()
+    chosen = chosen.orderBy(place, "doc_id", "label").limit(bound)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = rows.filter(F.col("text").isNotNull() & (F.length("text") <= max_chars)).select("doc_id", "label", "text")
+    rows = rows.orderBy(place, "doc_id", "label", F.xxhash64("text"), "text").limit(bound).collect()
     return [(r["label"], r["text"]) for r in sorted(rows, key=lambda r: (r["doc_id"], str(r["label"]), r["text"]))], counts
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import arrays as A
-from .learning import fit_logistic, fit_platt, labelled_sample
+from .learning import SAMPLE_CHARS, fit_logistic, fit_platt, labelled_sample
 
 PER_CLASS = 1_500
 THRESHOLD = 0.5
@@ -197,23 +197,23 @@ def _judge(model: Model | None, threshold: float):
 
 def judge_quality(
     docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id: str, label: str,
-    per_class: int = PER_CLASS, threshold: float = THRESHOLD,
+    per_class: int = PER_CLASS, threshold: float = THRESHOLD, max_chars: int = SAMPLE_CHARS,
 ) -> DataFrame:
     """doc_id, the base counts, base_failed, kept and probability of every text."""
     docs = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].alias("text"))
     labels = labels.select(labels[label_id].alias("doc_id"), labels[label].alias("label"))
-    model = fit(*labelled_sample(docs, labels, per_class))
+    model = fit(*labelled_sample(docs, labels, per_class, max_chars))
     return docs.mapInArrow(_judge(model, threshold), SCHEMA).withColumnRenamed("doc_id", doc_id)
 
 
 def keep_good(
     docs: DataFrame, text: str, labels: DataFrame, label_id: str, label: str, doc_id: str,
-    per_class: int = PER_CLASS, threshold: float = THRESHOLD,
+    per_class: int = PER_CLASS, threshold: float = THRESHOLD, max_chars: int = SAMPLE_CHARS,
 ) -> DataFrame:
     """The rows, with all their columns, whose text passes the base rules and the model."""
     rows = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].alias("text"))
     labels = labels.select(labels[label_id].alias("doc_id"), labels[label].alias("label"))
-    model = fit(*labelled_sample(rows, labels, per_class))
+    model = fit(*labelled_sample(rows, labels, per_class, max_chars))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in A.text_chunks(batches, text):

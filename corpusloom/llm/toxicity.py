@@ -3,16 +3,18 @@
 A text is cut into sentences and those into units: words, with spelled-out single letters joined to
 one. The kernel of two units compares their subsequences of three letters within a short span;
 every skipped character costs a factor, so inserted characters and gaps weaken a match and do not
-end it. Figures and signs that stand for letters are read as them, other signs are gaps. A kernel
-value is taken as a share of the landmark's own, so a landmark that begins a longer word counts
-fully, and raised to a power; a sentence's value with a landmark is that of its most similar unit.
+end it. Figures and signs that stand for letters are read as them, other signs are gaps. Equal units
+of a chunk of texts are compared once. A kernel value is taken as a share of the landmark's own, so a
+landmark that begins a longer word counts fully, and raised to a power; a sentence's value with a
+landmark is that of its most similar unit.
 
 Landmarks are words of labelled texts and beginnings of words: the ones that tell the classes apart
-most and are not alike, by rank (those beyond chance first, weaker ones where these are few), and the harmless words most like them. The Nyström map turns a sentence's kernel values with the
-landmarks into features of a linear SVM. Labels are given for texts, so the SVM is trained in rounds:
-the sentences of a toxic text that score as toxic, and its highest one in any case, stand for it,
-against all sentences of the others. A text
-scores its highest sentence, as a probability calibrated at the labels' true proportions.
+most and are not alike, by rank (those beyond chance first, weaker ones where these are few), and the
+harmless words most like them. The Nyström map turns a sentence's kernel values with the landmarks
+into features of a linear SVM. Labels are given for texts, so the SVM is trained in rounds: the
+sentences of a toxic text that score as toxic, and its highest one in any case, stand for it, against
+all sentences of the others. A text scores its highest sentence, as a probability calibrated at the
+labels' true proportions.
 
 Defined cases: a null, empty or wordless text scores like a sentence without any match; without
 labelled rows of both classes, or any word in them, every score is 0; few toxic labels give weak
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import arrays as A
-from .learning import fit_platt, labelled_sample
+from .learning import SAMPLE_CHARS, fit_platt, labelled_sample
 
 PER_CLASS = 1_500
 TOXIC_LANDMARKS, HARMLESS_LANDMARKS = 40, 16
@@ -46,7 +48,9 @@ PURE = 10  # if it is so many times as often in them as in others
 OFTEN = 3  # and in so many of them
 EMPTY = 0.5  # weight of a sentence without any match beside all sentences of a class
 ALIKE = 0.5  # kernel value from which two landmarks are too alike
-CHUNK = 1 << 18
+CHUNK = 1 << 19
+UNITS = 512  # whose subsequences are weighed together
+BLOCK = 400  # candidates for landmarks that are compared at a time
 
 _LETTERS = 64
 _SYMBOL = np.zeros(256, np.int32)  # 0: a gap
@@ -153,41 +157,53 @@ class Landmarks:
         codes = sorted({c for c, _ in found})
         self.row = np.full(_LETTERS**3, -1, np.int32)
         self.row[codes] = np.arange(len(codes))
-        listed = sorted(found)
-        self.owner = np.array([o for _, o in listed], np.int64)
-        self.weight = np.array([found[x] for x in listed])
-        per_code = np.bincount(self.row[[c for c, _ in listed]], minlength=len(codes))
-        self.first = np.cumsum(per_code) - per_code
-        self.many = per_code
-        self.square = np.maximum(np.bincount(self.owner, self.weight**2, minlength=len(names)), 1e-9)
-
-    def values(self, symbol: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(unit, landmark, kernel value) where it is not 0."""
-        m = len(self.names)
-        n = int(unit[-1]) + 1 if len(unit) else 0
-        cells, parts = [], []
-        for code, owner, weight in triples(symbol, unit):
-            row = self.row[code]
-            hit = np.flatnonzero(row >= 0)
-            row = row[hit]
-            many = self.many[row]
-            at = A.spread(self.first[row], many)
-            cells.append(np.repeat(owner[hit], many) * m + self.owner[at])
-            parts.append(weight * self.weight[at])
-        if not cells:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        total = np.bincount(np.concatenate(cells), np.concatenate(parts), minlength=n * m)
-        on = np.flatnonzero(total)
-        u, l = on // m, on % m
-        return u, l, np.minimum(total[on] / self.square[l], 1.0) ** POWER
+        self.own = np.zeros((len(codes), len(names)), np.float32)  # weight of each code in each landmark
+        for (c, o), weight in found.items():
+            self.own[self.row[c], o] = weight
+        self.square = np.maximum((self.own**2).sum(0), 1e-9)
+
+    def values(self, symbol: np.ndarray, unit: np.ndarray) -> np.ndarray:
+        """Kernel values of units 0, 1, ... (rows) with the landmarks."""
+        n, many = int(unit[-1]) + 1 if len(unit) else 0, len(self.own)
+        total = np.zeros((n, len(self.names)), np.float32)
+        ends = np.searchsorted(unit, np.arange(0, n + UNITS, UNITS))
+        for lo, a, b in zip(range(0, n, UNITS), ends, ends[1:]):
+            cells, parts = [np.zeros(0, np.int64)], [np.zeros(0)]
+            for code, owner, weight in triples(symbol[a:b], unit[a:b] - lo):
+                row = self.row[code]
+                hit = np.flatnonzero(row >= 0)
+                cells.append(owner[hit] * many + row[hit])
+                parts.append(np.full(len(hit), weight))
+            size = min(UNITS, n - lo)
+            met = np.bincount(np.concatenate(cells), np.concatenate(parts), minlength=size * many)
+            total[lo : lo + size] = met.reshape(size, many).astype(np.float32) @ self.own
+        return np.minimum(total / self.square, 1) ** POWER
+
+    def rows(self, symbol: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The kernel values of the distinct units, a row each, and every unit's row.
+
+        Equal units are found by a hash, and their symbols are compared.
+        """
+        if not len(unit):
+            return np.zeros((0, len(self.names)), np.float32), np.zeros(0, np.int64)
+        start = np.flatnonzero(np.diff(unit, prepend=-1))
+        size = np.diff(np.append(start, len(unit)))
+        spans = A.Words(start, start + size, np.array([0, len(start)]))
+        data = symbol.astype(np.uint8)
+        _, place, row = np.unique(A.word_hashes(A.Texts(None, data, np.array([0, len(data)])), spans), return_index=True, return_inverse=True)
+        if not (np.array_equal(size[place][row], size) and np.array_equal(data[A.spread(start[place][row], size)], data)):
+            place, row = np.arange(len(start)), np.arange(len(start))  # two units of one hash
+        size = size[place]
+        return self.values(symbol[A.spread(start[place], size)], np.repeat(np.arange(len(place)), size)), row
 
     def sentences(self, units: Units) -> np.ndarray:
         """Kernel value of each landmark with the unit of each sentence that is most like it."""
-        m = len(self.names)
-        u, l, k = self.values(units.symbol, units.unit)
-        out = np.zeros(len(units.text) * m)
-        np.maximum.at(out, units.sentence[u] * m + l, k)
-        return out.reshape(-1, m)
+        values, row = self.rows(units.symbol, units.unit)
+        out = np.zeros((len(units.text), len(self.names)), np.float32)
+        if len(row):
+            first = np.flatnonzero(np.diff(units.sentence, prepend=-1))
+            out[units.sentence[first]] = np.maximum.reduceat(values[row], first, axis=0)
+        return out
 
 
 @dataclass
@@ -255,26 +271,35 @@ def choose_landmarks(toxic: list[str], other: list[str]) -> Landmarks | None:
     known = set(beyond)
     weak = [x for x in counts[0] or counts[1] if x not in known]
     weak = sorted([x for x in weak if told(x) > 0] or (weak if not beyond else []), key=order)
-    chosen: list[bytes] = []
-    telling = 0
-    for ranked in (beyond, weak):
-        for x in ranked[: 10 * TOXIC_LANDMARKS]:
-            if len(chosen) == TOXIC_LANDMARKS:
-                break
-            if not chosen or max(kernel(chosen, [x]).max(), kernel([x], chosen).max()) < ALIKE:
-                chosen.append(x)
-        telling = telling or len(chosen)  # weak ones tell only where no strong one is
+    chosen = unlike(beyond, TOXIC_LANDMARKS)
+    telling = len(chosen)
+    chosen += unlike(weak, TOXIC_LANDMARKS - len(chosen), chosen)
     if not chosen:
         return None
-    from_toxic = len(chosen)
+    telling = telling or len(chosen)  # weak ones tell only where no strong one is
     harmless = [x for x in counts[1] if counts[1][x] >= 3 and x not in counts[0] or counts[1][x] * a_total > 2 * counts[0][x] * b_total]
     near = kernel(chosen, harmless).max(0) if harmless else np.zeros(0)
-    for i in sorted(range(len(harmless)), key=lambda i: (-near[i], harmless[i]))[: 20 * HARMLESS_LANDMARKS]:
-        if len(chosen) == from_toxic + HARMLESS_LANDMARKS:
+    ranked = [harmless[i] for i in sorted(range(len(harmless)), key=lambda i: (-near[i], harmless[i]))]
+    return Landmarks(chosen + unlike(ranked, HARMLESS_LANDMARKS, both=False), telling)
+
+
+def unlike(ranked: list[bytes], most: int, others: list[bytes] | None = None, both: bool = True) -> list[bytes]:
+    """The first ``most`` of some units that are like none of ``others`` and none before them: as a
+    landmark to them and, if ``both``, the other way round."""
+    chosen: list[bytes] = []
+    for lo in range(0, len(ranked), BLOCK):
+        if len(chosen) >= most:
             break
-        if kernel([harmless[i]], chosen[from_toxic:]).max(initial=0) < ALIKE:
-            chosen.append(harmless[i])
-    return Landmarks(chosen, telling)
+        block = ranked[lo : lo + BLOCK]
+        before = [*(others or []), *chosen]
+        near, between = kernel(block, before).max(1, initial=0), kernel(block, block)
+        if both:
+            near, between = np.maximum(near, kernel(before, block).max(0, initial=0)), np.maximum(between, between.T)
+        for i, x in enumerate(block):
+            if len(chosen) < most and near[i] < ALIKE:
+                chosen.append(x)
+                near = np.maximum(near, between[:, i])
+    return chosen
 
 
 def kernel(rows: list[bytes], columns: list[bytes]) -> np.ndarray:
@@ -285,8 +310,7 @@ def kernel(rows: list[bytes], columns: list[bytes]) -> np.ndarray:
     marks = Landmarks(rows)
     for lo in range(0, len(columns), 5_000):
         part = columns[lo : lo + 5_000]
-        u, l, k = marks.values(*_named(part))
-        out[l, lo + u] = k
+        out[:, lo : lo + len(part)] = marks.values(*_named(part)).T
     return out
 
 
@@ -319,7 +343,7 @@ def fit(rows: list[tuple], counts: dict, rounds: int = 3) -> Model | None:
     done = 0
     for t in _chunks(toxic + other):
         units = units_of(t)
-        raw.append(marks.sentences(units))
+        raw.append(marks.sentences(units).astype(np.float64))
         text.append(units.text + done)
         done += len(t)
     raw, text = np.concatenate(raw), np.concatenate(text)
@@ -362,10 +386,12 @@ def _score(model: Model | None):
 
 def score_toxicity(
     docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id: str, label: str,
-    learn: Column | None = None, per_class: int = PER_CLASS,
+    learn: Column | None = None, per_class: int = PER_CLASS, max_chars: int = SAMPLE_CHARS,
 ) -> DataFrame:
-    """doc_id, score and predicted of every text; ``learn`` (over doc_id) selects the rows learned from."""
+    """doc_id, score and predicted of every text; ``learn`` (over doc_id) selects the rows learned from.
+
+    At most ``per_class`` rows of each label, of at most ``max_chars`` characters, are learned from."""
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     labels = labels.select(F.col(label_id).alias("doc_id"), F.col(label).alias("label"))
-    model = fit(*labelled_sample(docs, labels, per_class, where=learn))
+    model = fit(*labelled_sample(docs, labels, per_class, max_chars, learn))
     return docs.mapInArrow(_score(model), SCHEMA).withColumnRenamed("doc_id", doc_id)

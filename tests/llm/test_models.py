@@ -50,6 +50,48 @@ def test_toxicity_learns_and_tolerates_gaps(spark, make, odd_rows):
     assert none.filter("score <> 0").count() == 0
 
 
+def test_kernel_equals_its_definition():
+    """Values of random units with random landmarks, from all triples of places."""
+    rng = random.Random(5)
+    names = [bytes(rng.choices(b"abcdet13", k=rng.randrange(3, 9))) + rng.choice([b"", toxicity.WHOLE]) for _ in range(14)]
+    units = [bytes(rng.choices(b"abcdet13-", k=rng.randrange(1, 14))) for _ in range(200)]
+
+    def weights(symbol, span):
+        found = {}
+        for i in range(len(symbol)):
+            for j in range(i + 1, len(symbol)):
+                for k in range(j + 1, min(i + span, len(symbol))):
+                    if symbol[i] and symbol[j] and symbol[k]:
+                        code = (symbol[i], symbol[j], symbol[k])
+                        found[code] = found.get(code, 0) + toxicity.DECAY ** (k - i - 2)
+        return found
+
+    def symbols(raw, whole):
+        return [63, 63, *toxicity._SYMBOL[np.frombuffer(raw, np.uint8)].tolist(), *([62] if whole else [])]
+
+    marks = toxicity.Landmarks(names)
+    found = marks.values(*toxicity._named([x + toxicity.WHOLE for x in units]))
+    assert (found == toxicity.kernel(names, [x + toxicity.WHOLE for x in units]).T).all()
+    for l, name in enumerate(names):
+        own = weights(symbols(name.removesuffix(toxicity.WHOLE), name.endswith(toxicity.WHOLE)), toxicity.OWN_SPAN)
+        square = max(sum(w * w for w in own.values()), 1e-9)
+        for u, unit in enumerate(units):
+            met = weights(symbols(unit, True), toxicity.SPAN)
+            share = min(sum(w * met.get(code, 0) for code, w in own.items()) / square, 1)
+            assert found[u, l] == pytest.approx(share**toxicity.POWER, rel=1e-4, abs=1e-6)
+    many = marks.rows(*toxicity._named([units[i % 7] for i in range(50)]))
+    assert len(many[0]) == len(set(units[:7]))
+    assert np.allclose(many[0][many[1]], marks.values(*toxicity._named([units[i % 7] for i in range(50)])), atol=1e-6)
+
+
+def test_landmarks_are_looked_for_among_all_candidates(monkeypatch):
+    ranked = [b"abcdefg"[:5] + bytes([97 + i % 3]) for i in range(50)] + [b"zyxwvu\0", b"klmnop\0"]
+    want = toxicity.unlike(ranked, 9)
+    monkeypatch.setattr(toxicity, "BLOCK", 4)
+    assert toxicity.unlike(ranked, 9) == want and want[-2:] == ranked[-2:]
+    assert toxicity.unlike(ranked, 9, [b"zyxwvu\0"])[-1] == b"klmnop\0" and b"zyxwvu\0" not in toxicity.unlike(ranked, 9, [b"zyxwvu\0"])
+
+
 def test_toxicity_with_few_toxic_labels():
     rng = random.Random(13)
     rows = [(y, t) for _, t, y in toxic_rows(rng, 20)] + [(0, calm(rng, 60)) for _ in range(40)]
@@ -294,6 +336,30 @@ def test_language_on_held_out_texts(spark, odd_rows):
     assert language.identify(docs.limit(0), "doc_id", "text", "lang").count() == 0
 
 
+def test_language_of_many_short_texts_in_bounded_memory(monkeypatch):
+    import tracemalloc
+
+    rows = [("en" if i % 2 else "de", ["the house and the river", "das haus und der fluss"][1 - i % 2]) for i in range(40)]
+    model = language.fit(rows, np.ones(1 << language.BITS))
+    batch = pa.record_batch({"doc_id": pa.array(range(10_000)), "text": pa.array(["the river", "und der"] * 5_000)})
+    tracemalloc.start()
+    out = list(language._label(model)(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 200 << 20 and sum(x.num_rows for x in out) == 10_000
+    assert pa.Table.from_batches(out)["lang_pred"].to_pylist() == ["en", "de"] * 5_000
+
+
+def test_labelled_sample_is_the_same_in_every_order(spark):
+    from corpusloom.llm.learning import labelled_sample
+
+    docs = [(i % 5, f"text {i}") for i in range(60)]
+    labels = spark.createDataFrame([(i % 5, i % 2) for i in range(40)], "doc_id BIGINT, label INT")
+    one = labelled_sample(spark.createDataFrame(docs, "doc_id BIGINT, text STRING"), labels, 12)
+    other = labelled_sample(spark.createDataFrame(docs[::-1], "doc_id BIGINT, text STRING").repartition(7), labels.repartition(3), 12)
+    assert one == other and len(one[0]) == 48
+
+
 def test_word_arrays_end_with_their_text():
     batch = pa.record_batch({"text": pa.array(["a b", None, "", "b c", " d"])})
     (t,) = A.text_chunks(iter([batch]), "text")
