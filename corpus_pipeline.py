@@ -4,7 +4,8 @@ Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor ke
 return the columns of ``documents``. ``run`` writes each stage's rows to the shared folder and reads
 them for the next one, so a lost executor never costs more than a stage's own tasks.
 
-Rows with null or clashing extra columns pass through; each operator's module states its own cases.
+Columns beyond those of ``documents`` are left out by the first stage, so none can clash; each
+operator's module states its own cases.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.llm.decontamination import contamination
 from corpusloom.llm.near_dedup import near_duplicates
-from corpusloom.llm.pieces import decode, default_model, encode
+from corpusloom.llm.pieces import default_model, encode_checked
 from corpusloom.llm.private_data import sanitise
 from corpusloom.llm.quality import keep_good
 from corpusloom.session import cut_lineage
@@ -23,9 +24,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 NEAR_PERCENT = 80  # shared part of two documents' five-word shingles from which they are near duplicates
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    gone = cut_lineage(ids.select("doc_id").filter("doc_id IS NOT NULL").distinct(), "dropped")
-    return docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(COLUMNS)
+def _with_key(docs: DataFrame) -> DataFrame:
+    filled = F.coalesce(F.col("text"), F.lit(""))
+    return docs.withColumn("_text_key", F.concat_ws("-", F.xxhash64(filled), F.octet_length(filled)))
+
+
+def _without(docs: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    gone = cut_lineage(gone.select(keys).distinct(), "dropped")
+    return docs.join(broadcast_if_small(gone), keys, "left_anti").select(COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,17 +41,25 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates."""
-    return _without(docs, near_duplicates(docs, "doc_id", "text", percent=NEAR_PERCENT).filter("NOT kept"))
+    """One document, that of the smallest id, of each group of near duplicates; null ids come last.
+
+    Rows are told apart by a number of their own, so null and shared ids neither save nor drop a row.
+    """
+    rows = cut_lineage(docs.select(COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    parts = near_duplicates(rows, "_row", "text", percent=NEAR_PERCENT).select("_row", "component_id")
+    parts = cut_lineage(parts.join(rows.select("_row", "doc_id"), "_row"), "parts")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    stays = parts.groupBy("component_id").agg(first.alias("x"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    gone = parts.join(stays.select("component_id", F.col("x._row").alias("_stays")), "component_id").filter("_row <> _stays")
+    return _without(rows, gone, ["_row"])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by a benchmark item; known by their text, so ids may be null or shared."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    filled = F.coalesce(F.col("text"), F.lit(""))
-    docs = docs.withColumn("_text_key", F.concat_ws("-", F.xxhash64(filled), F.octet_length(filled)))
-    gone = contamination(docs, "_text_key", "text", items, "item_id", "text").filter("contaminated").select("_text_key").distinct()
-    return docs.join(broadcast_if_small(cut_lineage(gone, "dropped")), "_text_key", "left_anti").select(COLUMNS)
+    docs = _with_key(docs)
+    gone = contamination(docs, "_text_key", "text", items, "item_id", "text").filter("contaminated")
+    return _without(docs, gone, ["_text_key"])
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,12 +72,8 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document, and the checksum of the text they decode to."""
-    model = default_model()
-    coded = decode(encode(docs.select("doc_id", "lang", "source", "text"), "text", model).drop("text"), "ids", model)
-    n = F.when(F.col("ids").isNull(), 0).otherwise(F.size("ids")).cast("bigint")
-    return coded.select(
-        "doc_id", "lang", "source", n.alias("n_tokens"), "ids", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
-    )
+    coded = encode_checked(docs.select("doc_id", "lang", "source", "text"), "text", default_model())
+    return coded.select("doc_id", "lang", "source", "n_tokens", "ids", "text_sha256")
 
 
 STAGES = [
@@ -74,7 +84,7 @@ STAGES = [
     ("sentencepiece", encode_pieces),
 ]
 
-# A fitted model's verdict and the pieces' best path are no SQL; tests hold the stages against brute force.
+# A fitted model's verdict and the pieces' best path are no SQL; tests compare the stages with plain code.
 ORACLE_SQL = None
 
 
