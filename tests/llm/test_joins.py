@@ -262,3 +262,16 @@ def test_contaminated_rows_go_by_their_text(spark, tmp_path):
     kept = cp.decontaminate(spark, docs, str(tmp_path))
     assert sorted(str(r["text"]) for r in kept.collect()) == ["None", "clean of the same id", "clean without an id"]
     assert kept.columns == cp.COLUMNS
+
+
+def test_pipeline_stage_keeps_one_of_each_group_whatever_the_ids(spark):
+    import corpus_pipeline as cp
+
+    fresh = lambda k: " ".join(f"x{k}y{i}" for i in range(40))
+    rows = [(1, fresh(0)), (1, fresh(1)), (2, fresh(0) + " more"), (None, fresh(0)), (None, fresh(2)), (None, fresh(2)), (3, fresh(3)), (3, fresh(3)), (4, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT")
+    clash = docs.withColumns({c: F.lit("x") for c in ("_row", "_text_key", "component_id", "kept")})
+    left = cp.near_dedup(spark, clash, "")
+    assert left.columns == docs.columns
+    want = [(1, fresh(0)), (1, fresh(1)), (None, fresh(2)), (3, fresh(3)), (4, None), (5, "")]
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in left.collect()))) == sorted(map(repr, want))

@@ -353,8 +353,8 @@ def test_language_of_many_short_texts_in_bounded_memory(monkeypatch):
 def test_labelled_sample_is_the_same_in_every_order(spark):
     from corpusloom.llm.learning import labelled_sample
 
-    docs = [(i % 5, f"text {i}") for i in range(60)]
-    labels = spark.createDataFrame([(i % 5, i % 2) for i in range(40)], "doc_id BIGINT, label INT")
+    docs = [(i % 20, f"text {i}") for i in range(200)]
+    labels = spark.createDataFrame([(i % 20, i // 20 % 2) for i in range(80)], "doc_id BIGINT, label INT")
     one = labelled_sample(spark.createDataFrame(docs, "doc_id BIGINT, text STRING"), labels, 12)
     other = labelled_sample(spark.createDataFrame(docs[::-1], "doc_id BIGINT, text STRING").repartition(7), labels.repartition(3), 12)
     assert one == other and len(one[0]) == 48
