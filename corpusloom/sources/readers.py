@@ -5,23 +5,32 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.functions import udtf
 
 from .. import schemas
 from ..functions.fixed_texts import MISSING_WORDS
 from ..functions.text import strip_tags
+from ..session import cut_lineage
 
 
-def read_reviews(spark: SparkSession, path, schema: str = schemas.DATASET) -> DataFrame:
+def read_reviews(spark: SparkSession, path, schema: str = schemas.DATASET, whole_files: bool = False) -> DataFrame:
     """A1: CSV with header, quotes and line breaks inside quotes; missing-value words are NULL.
 
-    Quoted line breaks keep one CSV file in one task, so land many files; parquet is the form
-    to work on.
+    Large files are cut anywhere and read by many tasks (``csv_records``). That needs fields with a
+    quote in them to be quoted, as ``write_csv`` and most writers do; ``whole_files`` reads files
+    with bare quotes inside of unquoted fields, one task each.
     """
-    df = spark.read.schema(schema).csv(
-        path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8"
-    )
+    if whole_files:
+        df = spark.read.schema(schema).csv(path, header=True, multiLine=True, **CSV)
+    else:
+        # a line break of its own kind, which the parser would write anew, goes through as it is
+        kept = csv_records(spark, path).select(F.translate("record", "\r\n", _CR + _LF).alias("r"))
+        parsed = kept.select(F.from_csv("r", schema, CSV).alias("c")).select("c.*")
+        df = parsed.withColumns({
+            f.name: F.translate(f.name, _CR + _LF, "\r\n") for f in parsed.schema.fields if f.dataType.simpleString() == "string"
+        })
     texts = {
         f.name: F.when(~F.col(f.name).isin(MISSING_WORDS), F.col(f.name))
         for f in df.schema.fields if f.dataType.simpleString() == "string"
@@ -29,6 +38,79 @@ def read_reviews(spark: SparkSession, path, schema: str = schemas.DATASET) -> Da
     return df.withColumns(texts) if texts else df
 
 
+CSV = {"quote": '"', "escape": '"', "encoding": "UTF-8"}
+_CR, _LF = "\U0010fffe", "\U0010ffff"  # no characters, so in no text
+
+
+def csv_records(spark: SparkSession, path) -> DataFrame:
+    """(record) of quoted CSV files, one row per record without the header, files cut at any byte.
+
+    Every part of a file counts its quotes. Summed over the parts before, they tell whether a part
+    begins inside of a quoted field, and from there each line whether it begins a record. Records
+    inside a part are put together there; only what reaches over a part's ends, two pieces of a
+    part at most, is shuffled and joined.
+    """
+    lines = spark.read.text(path, lineSep="\n").select(
+        "value", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part")
+    )
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    parts = lines.groupBy("file", "part").agg(F.sum(quotes).alias("quotes"))
+    before = F.sum("quotes").over(Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    begins = cut_lineage(parts.select("file", "part", (F.coalesce(before, F.lit(0)) % 2 == 1).alias("inside")), "csv-parts")
+    # One row of three figures for each part of the input; lines must keep their order, so no shuffle will do.
+    cut = lines.join(F.broadcast(begins), ["file", "part"]).select("file", "part", "inside", "value")
+    pieces = cut_lineage(cut.mapInArrow(_records, "file BIGINT, part BIGINT, kind INT, header BOOLEAN, text STRING"), "csv-pieces")
+    # A piece that begins a record and does not end it opens a new group of its file.
+    order = Window.partitionBy("file").orderBy("part", "kind")
+    broken = pieces.filter(F.col("kind") != WHOLE).withColumn("open", F.sum((F.col("kind") == OPEN).cast("int")).over(order))
+    joined = broken.groupBy("file", "open").agg(
+        F.sort_array(F.collect_list(F.struct("part", "kind", "text"))).alias("p"), F.bool_or("header").alias("header")
+    ).select("header", F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"))
+    found = pieces.filter(F.col("kind") == WHOLE).select("header", "text").unionByName(joined).filter("NOT header")
+    # Where records end in CR LF, so do the lines inside of fields, which are read as LF.
+    plain = F.when(F.endswith("text", F.lit("\r")), F.replace(F.regexp_replace("text", "\r$", ""), F.lit("\r\n"), F.lit("\n"))).otherwise(F.col("text"))
+    return found.select(plain.alias("record")).filter("record <> ''")
+
+
+HEAD, OPEN, WHOLE = 0, 1, 2  # ends a record begun before; begins one that goes on; a whole one
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, part, kind, header, text) of the records, and pieces of them, of consecutive lines."""
+    place, inside, begun, held, out = None, False, False, [], []
+
+    def close(kind: int) -> None:
+        nonlocal header
+        out.append((*place, kind if begun else HEAD, header and begun, "\n".join(held)))
+        header = False
+        held.clear()
+
+    header = False  # of the record that is held, or of the next one to begin
+    for batch in batches:
+        for file, part, start, value in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if (file, part) != place:
+                if held:
+                    close(OPEN if inside else WHOLE)
+                place, inside, begun, header = (file, part), start, False, part == 0
+            if not inside:
+                if held:
+                    close(WHOLE)
+                begun = True
+            held.append(value)
+            inside ^= value.count('"') % 2 == 1
+        yield _piece_batch(out)
+        out.clear()
+    if held:
+        close(OPEN if inside else WHOLE)
+    yield _piece_batch(out)
+
+
+def _piece_batch(out: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.string()]
+    columns = list(zip(*out)) if out else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["file", "part", "kind", "header", "text"])
+
+
 def csv_columns(spark: SparkSession, path: str) -> list[str]:
     """Column names from the header line."""
     return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"').columns

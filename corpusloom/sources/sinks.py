@@ -40,8 +40,13 @@ def write_prompt_batches(prompts: DataFrame, path: str, task: str, mode: str = "
 
 
 def append_summary(df: DataFrame, path: str, run: str) -> None:
-    """A summary under its run name, added to what is there."""
-    df.withColumn("run", F.lit(run)).write.mode("append").parquet(path)
+    """A summary under its run name, next to those of other runs.
+
+    Every run has a folder of its own, which the write replaces as a whole: a run that is tried again
+    after a failure, or twice, leaves one copy. A summary without rows leaves what is there.
+    """
+    rows = df.withColumn("run", F.lit(run))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
 
 
 def write_metrics(table: DataFrame, path: str) -> None:

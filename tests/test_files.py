@@ -128,12 +128,50 @@ def test_prompt_files(spark, tmp_path):
     assert len(list((tmp_path / "o" / "method=engineered").glob("part-*"))) == 1
 
 
+def _csv_text(rng, n, end):
+    """Quoted fields with line breaks, doubled quotes, separators; plain, empty and missing ones."""
+    parts = ["line one", "\n", '""', ",", "é ✓", "\n\n", "word", ' ""quoted"" ', "end\n"]
+    rows = ["id,title,text"]
+    for i in range(n):
+        text = "".join(rng.choices(parts, k=rng.randrange(0, 9)))
+        field = rng.choice([f'"{text}"', f'"{text}"', "plain", "", '""', "NA", '"' + "long\n" * rng.choice([1, 40]) + '"'])
+        rows.append(f'{i},"t{i}",{field}' if rng.random() < 0.9 else f"{i},t{i},{field}")
+        if rng.random() < 0.05:
+            rows.append("")
+    return end.join(r.replace("\n", end) for r in rows) + rng.choice(["", end])
+
+
+@pytest.mark.parametrize("size", ["61", "400", "128m"])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_quoted_csv_is_cut_anywhere(spark, tmp_path, size, end):
+    import random
+
+    for k in range(3):
+        (tmp_path / f"{k}.csv").write_bytes(_csv_text(random.Random(k), 60, end).encode())
+    (tmp_path / "3.csv").write_bytes(('id,"ti' + end * 30 + 'tle",text' + end + '1,"a"' + ',"b"').encode())  # a header of many lines
+    (tmp_path / "4.csv").write_bytes(b"")
+    schema = "id INT, title STRING, text STRING"
+    want = sorted(map(repr, readers.read_reviews(spark, str(tmp_path), schema, whole_files=True).collect()))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        tasks = spark.read.text(str(tmp_path), lineSep="\n").rdd.getNumPartitions()
+        found = sorted(map(repr, readers.read_reviews(spark, str(tmp_path), schema).collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found == want and len(want) == 181
+    assert tasks > {"61": 50, "400": 10, "128m": 0}[size]
+
+
 def test_summary_append(spark, tmp_path):
     path = str(tmp_path / "report")
     df = spark.createDataFrame([("naive", 1)], "method STRING, n INT")
     sinks.append_summary(df, path, "one")
     sinks.append_summary(df, path, "two")
-    assert {r["run"] for r in spark.read.parquet(path).collect()} == {"one", "two"}
+    sinks.append_summary(spark.createDataFrame([("naive", 2), ("finetuned", 3)], "method STRING, n INT"), path, "two")
+    sinks.append_summary(df.limit(0), path, "one")
+    got = sorted((r["run"], r["method"], r["n"]) for r in spark.read.parquet(path).collect())
+    assert got == [("one", "naive", 1), ("two", "finetuned", 3), ("two", "naive", 2)]
 
 
 def test_merge_outputs(spark, tmp_path):
@@ -165,3 +203,33 @@ def test_run_incremental_reads_new_files_once(spark, tmp_path):
             run_incremental(spark, src, "id BIGINT", out, state, lambda df: df, files_per_batch=1)
         want = list(range(0, 2)) + ([10, 11] if start else [])
         assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == want
+
+
+def test_run_incremental_by_id(spark, tmp_path):
+    """A file under two names, a row in two files, a run cut between write and commit: no id twice, none left out."""
+    src, out, state = (str(tmp_path / x) for x in ("src", "out", "state"))
+    row = lambda ids: spark.createDataFrame([(i, f"t{i}") for i in ids], "id BIGINT, text STRING").coalesce(1)
+    run = lambda step=lambda df: df: run_incremental(spark, src, "id BIGINT, text STRING", out, state, step, files_per_batch=1, id_col="id")
+    done = lambda: sorted((r["id"] is None, r["id"] or 0) for r in spark.read.parquet(out).collect())
+    row([1, 2, 2, None]).write.mode("append").parquet(src)
+    run()
+    row([1, 2, 2, None]).write.mode("append").parquet(src)
+    row([2, 3]).write.mode("append").parquet(src)
+    run()
+    want = [(False, 1), (False, 2), (False, 3), (True, 0), (True, 0)]
+    assert done() == want
+    commits = sorted((tmp_path / "state" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    for path in (commits[-1], commits[-1].with_name(f".{commits[-1].name}.crc")):
+        path.unlink(missing_ok=True)  # as if the run had been cut before the commit
+    run()
+    assert done() == want
+
+    def fails(df):
+        return df.withColumn("text", F.when(F.col("id") == 5, F.raise_error(F.lit("cut"))).otherwise(F.col("text")))
+
+    row([4]).write.mode("append").parquet(src)
+    row([5]).write.mode("append").parquet(src)
+    with pytest.raises(Exception, match="cut"):
+        run(fails)
+    run()
+    assert done() == sorted(want + [(False, 4), (False, 5)])
