@@ -26,17 +26,12 @@ def _joined(position: str, line: str, glue: str):
     return F.array_join(F.transform(lines, lambda s: s[line]), glue)
 
 
-def _keys(known: DataFrame, by: Sequence[str], id_col: str) -> DataFrame:
-    """Group and id of the rows that have a text: the texts are read for this once."""
-    return cut_lineage(known.select(*by, id_col))
-
-
 def numbered_block(
     df: DataFrame, by: Sequence[str], text_col: str, id_col: str, n: int = 50, seed: int = SEED
 ) -> DataFrame:
     """Per group a sample of n texts as ``[ID: i] "text"`` lines, and their number."""
     known = df.filter(F.col(text_col).isNotNull())
-    picked = sample_per_group(known, by, n, id_col, seed, _keys(known, by, id_col))
+    picked = sample_per_group(known, by, n, id_col, seed)
     numbered = picked.withColumn("_i", F.row_number().over(sample_order(by, id_col, seed)))
     lines = numbered.withColumn(
         "_line",
@@ -91,8 +86,7 @@ def judge_sample(
 ) -> DataFrame:
     """N rows per method, numbered from 0 as ``temp_id``."""
     known = df.filter(F.col(text_col).isNotNull())
-    keys = _keys(known, ["method"], id_col)
-    return stratified(known, "method", n, id_col, methods, seed, keys)
+    return stratified(known, "method", n, id_col, methods, seed)
 
 
 def judge_block(sample: DataFrame, text_col: str = "generated_text") -> DataFrame:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.prompts import game_description
+from ..functions.text import strip
 from ..functions.vectors import cosine
+from ..session import cut_lineage
 from ..sizing import broadcast_if_small
+from .sampling import dense_id
 
 
 def attach_titles(reviews: DataFrame, titles: DataFrame, key: str = "app_id") -> DataFrame:
@@ -37,6 +41,50 @@ def attach_description(
     return df.withColumn("description", text)
 
 
+KEYWORDS_AT_ONCE = 50_000  # of one automaton
+
+
+def attach_keyword_description(
+    df: DataFrame, keywords: DataFrame, title: str = "title", out: str = "description", default: str | None = None
+) -> DataFrame:
+    """D3 for a keyword table (priority, keyword, description): the description of the first listed
+    keyword that the lowered title contains, else ``default``.
+
+    The keywords are matched all at once by an automaton that every Python process makes once, so a
+    title is read once however many there are. A table above ``KEYWORDS_AT_ONCE`` rows goes in
+    several automata by priority, each of bounded size; the first with a match decides. Equal
+    keywords count with their least priority, blank and null ones not at all.
+    """
+    known = keywords.filter("priority IS NOT NULL AND trim(keyword) <> ''")
+    known = known.groupBy(F.lower("keyword").alias("_keyword")).agg(F.min_by(F.struct("priority", "description"), "priority").alias("_d"))
+    known = cut_lineage(dense_id(known.select("_keyword", "_d.*"), ["priority", "_keyword"], name="_place"), "keywords")
+    best = F.lit(None).cast("bigint")
+    for lo in range(0, known.count(), KEYWORDS_AT_ONCE):
+        part = known.filter(F.col("_place").between(lo, lo + KEYWORDS_AT_ONCE - 1)).select("_place", "_keyword").collect()
+        best = F.coalesce(best, _first_place({r["_keyword"]: r["_place"] for r in part})(F.lower(strip(F.coalesce(F.col(title), F.lit(""))))))
+    found = df.withColumn("_place", best)
+    table = broadcast_if_small(known.select("_place", F.col("description").alias("_found")))
+    return found.join(table, "_place", "left").withColumn(out, F.coalesce("_found", F.lit(default))).drop("_place", "_found")
+
+
+def _first_place(places: dict[str, int]):
+    """Column function: the least place of the keywords in a text."""
+
+    @F.pandas_udf("bigint")
+    def match(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for keyword, place in places.items():
+            automaton.add_word(keyword, place)
+        automaton.make_automaton()
+        for texts in batches:
+            known = {t: min((place for _, place in automaton.iter(t)), default=None) for t in texts.unique()}
+            yield texts.map(known).astype("Int64")
+
+    return match
+
+
 def keep_known(df: DataFrame, meta: DataFrame, key: str = "app_id") -> DataFrame:
     """Semi join with the apps that have metadata."""
     return df.join(broadcast_if_small(meta.select(key)), key, "left_semi")

@@ -1,10 +1,11 @@
 """Seeded samples, splits, quotas and dense ids.
 
 A sample takes the rows with the smallest ``md5(seed|id)``: exact in size, repeatable on any
-partitioning. It is found by thresholds, not by sorting rows: counts per hash prefix give the
-prefix where the quota fills up, the rows of that one prefix give the exact last hash, and the
-wide rows are then filtered in place. Only ids, groups and hashes are ever shuffled, however
-many rows one group holds.
+partitioning. Small quotas per group are filled in one pass: every task keeps its best rows of each
+group, and only those move. Larger samples are found by thresholds, not by sorting rows: counts per
+hash prefix give the prefix where the quota fills up, the rows of that one prefix give the exact last
+hash, and the wide rows are then filtered in place. Only ids, groups and hashes are ever shuffled
+then, however many rows one group holds.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from ..sizing import broadcast_if_small, local_if_small
 
 SEED = 42
 PREFIX_DIGITS = 4
+SMALL_QUOTA = 10_000  # rows per group up to which a sample is taken in one pass
 
 
 def seeded_hash(id_col: str | Column, seed: int = SEED) -> Column:
@@ -80,9 +82,9 @@ def _cut_points(df: DataFrame, by: Sequence[str], id_col: str, seed: int, quota)
 
 def _take_lowest(
     df: DataFrame, by: Sequence[str], id_col: str, seed: int, quota: Callable[[Column], Column],
-    inside: str | None = None, keys: DataFrame | None = None,
+    inside: str | None = None,
 ) -> DataFrame:
-    cuts = _cut_points(df if keys is None else keys, by, id_col, seed, quota)
+    cuts = _cut_points(df, by, id_col, seed, quota)
     h = seeded_hash(id_col, seed)
     if by:
         joined = df.join(cuts, _same_group(df, cuts, by), "inner" if inside is None else "left")
@@ -97,16 +99,27 @@ def _take_lowest(
     return joined.withColumn(inside, F.coalesce(fits, F.lit(False))).drop(*extra)
 
 
-def sample_per_group(
-    df: DataFrame, by: Sequence[str], n: int, id_col: str, seed: int = SEED,
-    keys: DataFrame | None = None,
-) -> DataFrame:
-    """min(n, size) rows of every group; a NULL key is a group.
+def sample_per_group(df: DataFrame, by: Sequence[str], n: int, id_col: str, seed: int = SEED) -> DataFrame:
+    """min(n, size) rows of every group; a NULL key is a group."""
+    if n > SMALL_QUOTA:
+        return _take_lowest(df, list(by), id_col, seed, lambda total: F.lit(n))
+    return _best_rows(df, list(by), n, id_col, seed)
+
+
+def _best_rows(df: DataFrame, by: list[str], n: int, id_col: str, seed: int) -> DataFrame:
+    """The n first rows of every group in sample order, by one scan.
 
-    ``keys`` may hold the group and id columns of exactly the rows of ``df``, written before,
-    where finding them again would read wide columns.
+    A rank limit goes ahead of each exchange, so a task sends at most n rows of a group. Tasks are
+    merged in bands first, so the last merge of a group gets n rows from each band and not from each
+    task, whatever share of the rows the group has.
     """
-    return _take_lowest(df, list(by), id_col, seed, lambda total: F.lit(n), keys=keys)
+    bands = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1024)
+    order = [F.col("_sample_h"), F.col(id_col)]
+    ranked = df.withColumns({"_sample_h": seeded_hash(id_col, seed), "_sample_band": F.spark_partition_id() % bands})
+    for keys in ([*by, "_sample_band"], by):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        ranked = ranked.withColumn("_sample_rank", place).filter(F.col("_sample_rank") <= n)
+    return ranked.drop("_sample_h", "_sample_band", "_sample_rank")
 
 
 def sample_n(df: DataFrame, n: int, id_col: str, seed: int = SEED) -> DataFrame:
@@ -119,18 +132,14 @@ def sample_order(by: Sequence[str], id_col: str, seed: int = SEED):
     return Window.partitionBy(*by).orderBy(seeded_hash(id_col, seed), F.col(id_col))
 
 
-def stratified(
-    df: DataFrame, by: str, n: int, id_col: str, strata: Sequence[str], seed: int = SEED,
-    keys: DataFrame | None = None,
-) -> DataFrame:
+def stratified(df: DataFrame, by: str, n: int, id_col: str, strata: Sequence[str], seed: int = SEED) -> DataFrame:
     """up to n rows per stratum, stacked in the given order, with ``temp_id`` from 0."""
-    wanted = F.col(by).isin(list(strata))
-    keys = None if keys is None else keys.filter(wanted)
-    picked = sample_per_group(df.filter(wanted), [by], n, id_col, seed, keys)
+    picked = sample_per_group(df.filter(F.col(by).isin(list(strata))), [by], n, id_col, seed)
     place = F.array_position(F.array(*[F.lit(s) for s in strata]), F.col(by))
-    return dense_id(
-        picked, [place, seeded_hash(id_col, seed), F.col(id_col)], name="temp_id"
-    )
+    order = [place, seeded_hash(id_col, seed), F.col(id_col)]
+    if n <= SMALL_QUOTA:  # at most n rows of each stratum that is named here: one task numbers them
+        return picked.withColumn("temp_id", (F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint"))
+    return dense_id(picked, order, name="temp_id")
 
 
 def split_flag(id_col: str, test: float = 0.1, seed: int = SEED) -> Column:

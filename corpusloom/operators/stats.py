@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as tx
 from ..functions.flags import range_flag
@@ -75,27 +76,116 @@ def proportions(df: DataFrame, by: str, label: str) -> DataFrame:
     )
 
 
+BRACKET_ROWS = 20_000  # rows left around a rank that are counted by value
+ACCURACY = 2_000  # of the sketch that narrows a bracket, about 4 / ACCURACY of whose rows stay in it
+QUARTILES = (0.25, 0.5, 0.75)
+
+
 def describe(df: DataFrame, c: str, approximate: bool = False, accuracy: int = 100_000) -> DataFrame:
-    """Count, mean, sample deviation, minimum, quartiles, maximum.
+    """Count, mean, sample deviation, minimum, quartiles, maximum, as one row.
 
-    The exact quartiles keep the distinct values of ``c`` in one buffer, as many as text lengths
-    can take; for columns of unbounded cardinality use ``approximate``.
+    Exact quartiles come from ``quantiles`` and run its jobs when called; ``approximate`` is one lazy
+    aggregate.
     """
-    points = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    quartiles = (
-        F.percentile_approx(c, points, accuracy) if approximate else F.percentile(c, points)
-    )
-    return df.agg(
-        F.count(c).alias("count"),
-        F.avg(c).alias("mean"),
-        F.stddev_samp(c).alias("std"),
-        F.min(c).alias("min"),
-        quartiles.alias("_q"),
-        F.max(c).alias("max"),
-    ).select(
-        "count", "mean", "std", "min", F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"),
-        F.col("_q")[2].alias("p75"), "max",
-    )
+    figures = [
+        F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"),
+    ]
+    names = ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]
+    if approximate:
+        found = df.agg(*figures, F.percentile_approx(c, list(QUARTILES), accuracy).alias("_q"))
+        return found.select(*[F.col("_q")[i].alias(n) for i, n in enumerate(names[4:7])], *names[:4], "max").select(names)
+    found = quantiles(df, c, QUARTILES)
+    return df.agg(*figures).select(*names[:4], *[F.lit(v).cast("double").alias(n) for v, n in zip(found, names[4:7])], "max")
+
+
+def quantiles(df: DataFrame, c: str, shares: Sequence[float]) -> list[float | None]:
+    """Exact interpolated quantiles of a numeric column, NULL left out; None without values.
+
+    A rank is enclosed ever closer: one pass counts the rows below and inside every rank's bracket
+    and sketches the inside, whose quantiles around the rank are the next bracket. The counts are
+    exact, so a bracket that misses its rank is noticed and its other side taken. When few rows are
+    left in a bracket they are counted by value. No buffer or task holds more than a sketch or
+    ``BRACKET_ROWS`` values, however many distinct values there are, and a value with any share of
+    the rows is a bracket of its own.
+    """
+    values = df.filter(F.col(c).isNotNull()).select(F.col(c).cast("double").alias("v"))
+    whole = values.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    n = whole["n"]
+    if not n:
+        return [None] * len(shares)
+    places = [share * (n - 1) for share in shares]
+    known: dict[int, float] = {}
+    open_ranks = {r: (whole["lo"], whole["hi"], 0, n) for p in places for r in {math.floor(p), math.ceil(p)}}
+    while open_ranks:
+        known |= {r: lo for r, (lo, hi, _, _) in open_ranks.items() if lo == hi or math.isnan(lo)}
+        open_ranks = {r: x for r, x in open_ranks.items() if r not in known}
+        few = {r: x for r, x in open_ranks.items() if x[3] <= BRACKET_ROWS}
+        if few:
+            known |= _by_value(values, few)
+            open_ranks = {r: x for r, x in open_ranks.items() if r not in few}
+        if open_ranks:
+            open_ranks = _narrowed(values, open_ranks)
+    out = []
+    for p in places:
+        lo, hi = math.floor(p), math.ceil(p)
+        out.append(known[lo] if lo == hi else (hi - p) * known[lo] + (p - lo) * known[hi])
+    return out
+
+
+def _inside(lo: float, hi: float) -> Column:
+    return (F.col("v") >= F.lit(lo)) & (F.col("v") <= F.lit(hi))
+
+
+def _narrowed(values: DataFrame, ranks: dict) -> dict:
+    """Brackets (lowest, highest, rows below, rows inside) around ranks, each closer than before or split at one value."""
+    listed = sorted(ranks)
+    sketch = []
+    for r in listed:
+        lo, hi, below, n = ranks[r]
+        at = (r - below) / n
+        share = [max(0.0, at - 2 / ACCURACY), min(1.0, at + 2 / ACCURACY)]
+        sketch.append(F.percentile_approx(F.when(_inside(lo, hi), F.col("v")), share, ACCURACY))
+    cuts = values.agg(*[s.alias(f"s{i}") for i, s in enumerate(sketch)]).first()
+    pieces = {}
+    for i, r in enumerate(listed):
+        lo, hi, _, _ = ranks[r]
+        a, b = cuts[f"s{i}"]
+        # below a, a itself, between, b itself, above b: one of them holds the rank
+        pieces[r] = [
+            (lo, a, (F.col("v") >= F.lit(lo)) & (F.col("v") < F.lit(a))), (a, a, F.col("v") == F.lit(a)),
+            (a, b, (F.col("v") > F.lit(a)) & (F.col("v") < F.lit(b))), (b, b, (F.col("v") == F.lit(b)) & (F.lit(b) > F.lit(a))),
+            (b, hi, (F.col("v") > F.lit(b)) & (F.col("v") <= F.lit(hi))),
+        ]
+    figures = []
+    for i, r in enumerate(listed):
+        for j, (_, _, held) in enumerate(pieces[r]):
+            v = F.when(held, F.col("v"))
+            figures += [F.count(v).alias(f"n{i}_{j}"), F.min(v).alias(f"lo{i}_{j}"), F.max(v).alias(f"hi{i}_{j}")]
+    row = values.agg(*figures).first()
+    out = {}
+    for i, r in enumerate(listed):
+        below = ranks[r][2]
+        for j in range(5):
+            n = row[f"n{i}_{j}"]
+            if below <= r < below + n:
+                out[r] = (row[f"lo{i}_{j}"], row[f"hi{i}_{j}"], below, n)
+                break
+            below += n
+    return out
+
+
+def _by_value(values: DataFrame, ranks: dict) -> dict[int, float]:
+    """The values at ranks whose brackets hold few rows."""
+    frames = [
+        values.filter(_inside(lo, hi)).groupBy("v").agg(F.count(F.lit(1)).alias("n")).select(F.lit(r).alias("rank"), F.lit(below).alias("below"), "v", "n")
+        for r, (lo, hi, below, _) in sorted(ranks.items())
+    ]
+    both = frames[0]
+    for f in frames[1:]:
+        both = both.unionByName(f)
+    upto = F.col("below") + F.sum("n").over(Window.partitionBy("rank").orderBy("v"))
+    rows = both.withColumn("upto", upto).filter(F.col("upto") > F.col("rank")).groupBy("rank").agg(F.min("v").alias("v")).collect()
+    return {r["rank"]: r["v"] for r in rows}
 
 
 def mean_of(df: DataFrame, **columns: Column) -> DataFrame:

@@ -111,3 +111,12 @@ def test_dedup_limits_groups_before_the_shuffle(spark, capsys):
     dedup.dedup_first(df, ["app_id"], "id").explain()
     plan = capsys.readouterr().out
     assert plan.index("Final") < plan.index("Exchange") < plan.index("Partial")
+
+
+def test_small_quotas_take_the_same_rows_in_one_scan(rows):
+    df, _ = rows
+    want = sampling._take_lowest(df, ["g"], "id", sampling.SEED, lambda total: F.lit(7))
+    got = sampling.sample_per_group(df.repartition(9), ["g"], 7, "id")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.select(got.columns).collect()), key=repr)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("InMemoryRelation") == 1 and plan.count("WindowGroupLimit") == 2

@@ -287,3 +287,38 @@ def test_judge_block(spark):
     lines = got["block"].split(",\n")
     assert lines[0] == '{ "id": 0, "text": "' + "n" * 300 + '..." }' and lines[2] == '{ "id": 2, "text": "e..." }'
     assert "list of 3 video game reviews" in got["prompt"]
+
+
+def test_quantiles_are_exact_at_every_bound(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(6)
+    columns = {
+        "distinct": [rng.gauss(0, 1e6) for _ in range(3000)], "hot": [7.0] * 2500 + [rng.random() for _ in range(500)],
+        "steps": [float(rng.randrange(5)) for _ in range(999)], "wide": [10.0 ** rng.randrange(-300, 300) * rng.choice([1, -1]) for _ in range(2000)],
+        "two": [1.0, 2.0], "one": [5.0],
+    }
+    monkeypatch.setattr(stats, "BRACKET_ROWS", 20)
+    monkeypatch.setattr(stats, "ACCURACY", 50)
+    for name, values in columns.items():
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v DOUBLE").repartition(3)
+        plain = df.agg(F.percentile("v", F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 0.9, 1.0)]))).first()[0]
+        assert stats.quantiles(df, "v", (0.0, 0.25, 0.5, 0.75, 0.9, 1.0)) == plain, name
+        assert np.allclose(plain, np.quantile(values, (0.0, 0.25, 0.5, 0.75, 0.9, 1.0)))
+    assert stats.describe(spark.createDataFrame([(None,)], "v INT"), "v").first()["p50"] is None
+
+
+def test_keyword_table(spark, monkeypatch):
+    words = [(3, "ring", "late"), (1, "Elden", "first"), (2, "ring of", "second"), (4, "elden", "again"), (5, " ", "blank"), (6, None, "null"), (None, "x", "none")]
+    words += [(100 + i, f"kw{i}q", f"d{i}") for i in range(10_000)]
+    table = spark.createDataFrame(words, "priority INT, keyword STRING, description STRING")
+    titles = spark.createDataFrame([(0, "ELDEN Ring"), (1, "a ring of x"), (2, "a ring"), (3, None), (4, "zkw77qz kw9999q"), (5, "nothing"), (6, "a ring")], "id INT, title STRING")
+    want = ["first", "second", "late", "?", "d77", "?", "late"]
+    for at_once in (50_000, 999):
+        monkeypatch.setattr(joins, "KEYWORDS_AT_ONCE", at_once)
+        got = joins.attach_keyword_description(titles, table, default="?").orderBy("id").collect()
+        assert [r["description"] for r in got] == want and got[0].asDict().keys() == {"id", "title", "description"}
+    none = joins.attach_keyword_description(titles, table.limit(0))
+    assert {r["description"] for r in none.collect()} == {None}

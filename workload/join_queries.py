@@ -51,6 +51,21 @@ def d3(spark, sf):
     return joins.attach_description(titled, {1: "First app.", 2: "Second app."}).select("id", "description")
 
 
+@query("d3_keyword_table", """
+    WITH hosts AS (SELECT page_id, regexp_extract(url, '//([^/]*)[.]example', 1) AS keyword FROM pages),
+    k AS (SELECT lower(keyword) AS keyword, min(page_id) AS place FROM hosts WHERE trim(keyword) <> '' GROUP BY 1),
+    hit AS (SELECT d.doc_id, min(place) AS place FROM documents d JOIN k ON contains(lower(trim(coalesce(d.text, ''))), k.keyword) GROUP BY d.doc_id)
+    SELECT d.doc_id, coalesce('page ' || place, 'none') AS description FROM documents d LEFT JOIN hit ON d.doc_id = hit.doc_id""")
+def d3_keywords(spark, sf):
+    """Hosts of pages as a keyword table of the documents' texts; the page listed first wins."""
+    pages = t.table(spark, sf, "pages").select(
+        F.col("page_id").alias("priority"), F.regexp_extract("url", r"//([^/]*)[.]example", 1).alias("keyword"),
+        F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("description"),
+    )
+    docs = t.table(spark, sf, "documents").select("doc_id", "text")
+    return joins.attach_keyword_description(docs, pages, "text", default="none").select("doc_id", "description")
+
+
 @query("d4_keep_known", with_("reviews", "titles") + """
     SELECT id, app_id FROM reviews WHERE app_id IN (SELECT app_id FROM titles)""")
 def d4(spark, sf):
