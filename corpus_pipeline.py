@@ -21,9 +21,14 @@ from corpusloom.session import cut_lineage
 from corpusloom.sizing import broadcast_if_small
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+BATCH_ROWS = 1_000  # rows of an Arrow batch; texts are wide, and a batch stands in memory on both sides
 NEAR_PERCENT = 80  # shared part of two documents' five-word shingles from which they are near duplicates
 
 
+def _narrow_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def _with_key(docs: DataFrame) -> DataFrame:
     filled = F.coalesce(F.col("text"), F.lit(""))
     return docs.withColumn("_text_key", F.concat_ws("-", F.xxhash64(filled), F.octet_length(filled)))
@@ -36,6 +41,7 @@ def _without(docs: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the quality model."""
+    _narrow_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return keep_good(docs.select(COLUMNS), "text", labels, "doc_id", "quality", "doc_id")
 
@@ -45,6 +51,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows are told apart by a number of their own, so null and shared ids neither save nor drop a row.
     """
+    _narrow_batches(spark)
     rows = cut_lineage(docs.select(COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "rows")
     parts = near_duplicates(rows, "_row", "text", percent=NEAR_PERCENT).select("_row", "component_id")
     parts = cut_lineage(parts.join(rows.select("_row", "doc_id"), "_row"), "parts")
@@ -64,6 +71,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with personal data and terms that disclose it replaced or taken out."""
+    _narrow_batches(spark)
     clean = sanitise(docs, "text", ["doc_id", "lang", "source"])
     return clean.select(
         "doc_id", F.col("redacted").alias("text"), "lang", "source", F.length("redacted").cast("bigint").alias("n_chars")
@@ -72,6 +80,7 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document, and the checksum of the text they decode to."""
+    _narrow_batches(spark)
     coded = encode_checked(docs.select("doc_id", "lang", "source", "text"), "text", default_model())
     return coded.select("doc_id", "lang", "source", "n_tokens", "ids", "text_sha256")
 
