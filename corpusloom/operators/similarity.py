@@ -6,17 +6,21 @@ Two plans, chosen by the measured size of the target side:
 where they are and are scored batch by batch.
 
 *Cells.* Equal vectors are first reduced to one row with a copy count, so a hot group of copies
-is a single row. Every distinct target joins the cell of its nearest pivot; cells are cut into
-blocks of at most about ``BLOCK`` rows. A query visits its own cell first; the k-th similarity
+is a single row. Distinct targets form a tree of two levels whose size follows from their number:
+each joins the cell of its nearest pivot, and inside of it the leaf of its nearest sub-pivot, of which
+a cell has one for every ``block`` / 4 of its rows. Pivots are few and known everywhere; the
+sub-pivots of a cell are one row of a table. A query visits its own leaf first; the k-th similarity
 found there bounds how far a better neighbour can lie, and by the triangle inequality on angles
-only cells reaching into that distance are visited next. Cells that cannot help are never
-touched and nothing is dropped, so results equal the all-pairs answer. A block pair gives at most
-k figures per query, never its pairs.
+only cells, and inside of these only leaves, that reach into that distance are visited next. Leaves
+that cannot help are never touched and nothing is dropped, so results equal the all-pairs answer.
+Visits are counted per leaf and packed into blocks by that count, and a crowded leaf is cut into
+blocks. A block pair gives at most k figures per query, never its pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +28,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.flags import overlap_flag
 from ..session import cut_lineage
-from ..sizing import MAX_BROADCAST_BYTES
+from ..sizing import MAX_BROADCAST_BYTES, broadcast_if_small
 from .sampling import sample_n
 
 BLOCK = 2048
-PIVOTS = 256
+MOST_PIVOTS = 1024  # of the first level
+MOST_SUB_PIVOTS = 4096  # of one cell
+PACK = 8192  # rows of a cell that meet its sub-pivots together
 SLACK = 1e-6  # radians; covers rounding in the angle bounds
 
 
@@ -120,32 +126,50 @@ def _distinct(df: DataFrame, id_col: str, vec: str, enough: int | None = None) -
 
 
 class _Cells:
-    """Distinct targets in blocks by nearest pivot, with each cell's angular radius."""
-
-    def __init__(self, targets: DataFrame, pivots: int, block: int):
-        spark = targets.sparkSession
-        self.block = block
-        picked = sample_n(targets, pivots, "_rep").select("_vec").toArrow()
-        self.pivots = _column_matrix(picked["_vec"])
-        self._shared = spark.sparkContext.broadcast(self.pivots)
-        homed = cut_lineage(self.locate(targets))
-        sizes = homed.groupBy("_cell").agg(
-            F.count(F.lit(1)).alias("n"), F.max("_angle").alias("r")
-        ).collect()  # one row per pivot at most
-        self.radius = np.full(len(self.pivots), -np.inf)
-        parts = [1] * len(self.pivots)
+    """Distinct targets as a tree of pivots, sub-pivots and blocks."""
+
+    def __init__(self, targets: DataFrame, pivots: int | None, block: int):
+        targets = cut_lineage(targets, "distinct")
+        self.block, self.leaf = block, max(block // 4, 1)
+        n = targets.count()
+        self.pivots = min(MOST_PIVOTS, max(1, ceil(2 * sqrt(n / self.leaf)))) if pivots is None else pivots
+        picked = sample_n(targets, self.pivots, "_rep").select("_vec").toArrow()
+        matrix = _column_matrix(picked["_vec"])
+        self._shared = targets.sparkSession.sparkContext.broadcast(matrix)
+        homed = cut_lineage(self.locate(targets), "homed")
+        sizes = homed.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_angle").alias("r")).collect()  # one row per pivot at most
+        self.radius = np.full(len(matrix), -np.inf)
+        counts = np.zeros(len(matrix), np.int64)
         for row in sizes:
-            self.radius[row["_cell"]] = row["r"]
-            parts[row["_cell"]] = -(-row["n"] // block)
-        table = F.array(*[F.lit(p) for p in parts])
-        self._parts = F.get(table, F.col("_cell"))
-        part = F.pmod(F.xxhash64("_rep"), self._parts)
-        self.homed = homed
+            self.radius[row["_cell"]], counts[row["_cell"]] = row["r"], row["n"]
+        # A cell's sub-pivots: its pivot, and a share of its rows picked by a hash.
+        self._packs = F.get(F.array(*[F.lit(int(x)) for x in -(-counts // PACK)]), F.col("_cell"))
+        share = F.get(F.array(*[F.lit(min(1.0, m / c) if (m := min(MOST_SUB_PIVOTS, c // self.leaf)) > 1 else 0.0) for c in np.maximum(counts, 1).tolist()]), F.col("_cell"))
+        picked = F.pmod(F.xxhash64("_rep", F.lit("sub-pivot")), F.lit(1 << 30)) < share * (1 << 30)
+        subs = homed.filter(picked).groupBy("_cell").agg(F.sort_array(F.collect_list(F.struct("_rep", "_vec"))).alias("s"))
+        subs = subs.select("_cell", F.flatten(F.transform("s", lambda x: x["_vec"])).alias("s_flat"))
+        cells = targets.sparkSession.createDataFrame(
+            [(c, [float(x) for x in matrix[c]]) for c in np.flatnonzero(counts).tolist()], "_cell INT, p_flat ARRAY<DOUBLE>"
+        )
+        double = lambda c: F.transform(c, lambda x: x.cast("double"))
+        self._subs = cut_lineage(cells.join(subs, "_cell", "left").select(
+            "_cell", F.concat("p_flat", F.coalesce(double("s_flat"), F.array().cast("array<double>"))).alias("s_flat")
+        ), "sub-pivots")
+        self.homed = cut_lineage(self.settle(homed.drop("_angle"), ["_rep", "_copies", "_vec"]), "leaves")
+        leaves = self.homed.groupBy("_cell", "_sub").agg(F.count(F.lit(1)).alias("n"), F.max("_angle").alias("r"))
+        leaves = leaves.withColumn("_parts", F.ceil(F.col("n") / block).cast("int"))
+        self.leaves = cut_lineage(leaves, "leaf-sizes")
+        per_cell = self.leaves.groupBy("_cell").agg(F.collect_list(F.struct("_sub", "r", "_parts")).alias("l"))
+        self._reach = cut_lineage(self._subs.join(per_cell, "_cell").select(
+            "_cell", "s_flat", F.col("l._sub").alias("l_sub"), F.col("l.r").alias("l_r"), F.col("l._parts").alias("l_parts")
+        ), "reach")
+        part = F.pmod(F.xxhash64("_rep"), F.col("_parts"))
         self.blocks = (
-            homed.groupBy("_cell", part.alias("_part"))
+            self.homed.join(broadcast_if_small(self.leaves.select("_cell", "_sub", "_parts")), ["_cell", "_sub"])
+            .groupBy("_cell", "_sub", part.alias("_part"))
             .agg(F.collect_list(F.struct("_rep", "_copies", "_vec")).alias("_rows"))
             .select(
-                "_cell", "_part", F.col("_rows._rep").alias("t_ids"), F.col("_rows._copies").alias("t_copies"),
+                "_cell", "_sub", "_part", F.col("_rows._rep").alias("t_ids"), F.col("_rows._copies").alias("t_copies"),
                 F.flatten("_rows._vec").alias("t_flat"),
             )
         )
@@ -169,9 +193,36 @@ class _Cells:
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
         return df.mapInArrow(nearest, f"{schema}, _cell INT, _angle DOUBLE")
 
+    def _with_table(self, rows: DataFrame, columns: list[str], table: DataFrame) -> DataFrame:
+        """Rows of a cell in packs, as arrays, next to the cell's row of a table."""
+        packs = rows.groupBy("_cell", F.pmod(F.xxhash64("_rep"), self._packs).alias("_pack")).agg(
+            F.collect_list(F.struct(*columns)).alias("_rows")
+        )
+        return packs.select("_cell", *[F.col(f"_rows.{c}").alias(c) for c in columns]).join(table, "_cell")
+
+    def settle(self, rows: DataFrame, columns: list[str]) -> DataFrame:
+        """Rows with ``_cell``: adds the nearest sub-pivot of the cell and the angle to it."""
+
+        def nearest(batches):
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = {name: batch.column(name)[i].values for name in columns}
+                    q = _column_matrix(row["_vec"])
+                    flat = batch.column("s_flat")[i].values.to_numpy(zero_copy_only=False)
+                    cos = q @ _unit_rows(flat, len(flat) // q.shape[1]).T
+                    sub = cos.argmax(axis=1)
+                    yield pa.RecordBatch.from_arrays(
+                        [*row.values(), pa.array(np.full(len(sub), batch.column("_cell")[i].as_py(), np.int32)), pa.array(sub.astype(np.int32)),
+                         pa.array(_angles(cos[np.arange(len(sub)), sub]))],
+                        [*columns, "_cell", "_sub", "_angle"],
+                    )
+
+        schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
+        return self._with_table(rows, columns, self._subs).mapInArrow(nearest, f"{schema}, _cell INT, _sub INT, _angle DOUBLE")
+
     def reachable(self, queries: DataFrame) -> DataFrame:
-        """One row per query and cell that may hold a vector within the query's ``_reach``,
-        other than its ``_cell`` (already visited; -1 for none)."""
+        """One row per query and leaf that may hold a vector within the query's ``_reach``, other than
+        its own (``_cell`` and ``_sub``, already visited; -1 for none)."""
         shared, radius = self._shared, self.radius
 
         def cells(batches):
@@ -180,43 +231,62 @@ class _Cells:
                     continue
                 angle = _angles(_column_matrix(batch.column("_vec")) @ shared.value.T)
                 reach = batch.column("_reach").to_numpy(zero_copy_only=False)
-                near = angle - radius[None, :] <= reach[:, None] + SLACK
-                seen = batch.column("_cell").to_numpy(zero_copy_only=False)
-                rows = np.nonzero(seen >= 0)[0]
-                near[rows, seen[rows]] = False
-                q, c = np.nonzero(near)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("_rep").take(pa.array(q)),
-                        batch.column("_vec").take(pa.array(q)),
-                        pa.array(c.astype(np.int32)),
-                    ],
-                    ["_rep", "_vec", "_cell"],
-                )
-
-        rep = queries.schema["_rep"].dataType.simpleString()
-        vec = queries.schema["_vec"].dataType.simpleString()
-        return queries.select("_rep", "_vec", "_reach", "_cell").mapInArrow(
-            cells, f"_rep {rep}, _vec {vec}, _cell INT"
+                q, c = np.nonzero(angle - radius[None, :] <= reach[:, None] + SLACK)
+                kept = [batch.column(name).take(pa.array(q)) for name in ("_rep", "_vec", "_reach", "_cell", "_sub")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(c.astype(np.int32))], ["_rep", "_vec", "_reach", "_own", "_own_sub", "_cell"])
+
+        columns = ["_rep", "_vec", "_reach", "_own", "_own_sub"]
+        rep, vec = (queries.schema[c].dataType.simpleString() for c in ("_rep", "_vec"))
+        met = queries.select("_rep", "_vec", "_reach", "_cell", "_sub").mapInArrow(
+            cells, f"_rep {rep}, _vec {vec}, _reach DOUBLE, _own INT, _own_sub INT, _cell INT"
         )
 
-    def meet(self, visits: DataFrame, n_queries: int) -> DataFrame:
-        """Query blocks next to the target blocks of the cell they visit.
-
-        A cell is visited by at most all queries, so that many parts bound a query block. Query
-        blocks are copied to every part of their cell and meet it by (cell, part), which spreads a
-        crowded cell over as many keys as it has blocks.
+        def leaves(batches):
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = {name: batch.column(name)[i].values for name in columns}
+                    q = _column_matrix(row["_vec"])
+                    flat = batch.column("s_flat")[i].values.to_numpy(zero_copy_only=False)
+                    sub, r, parts = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("l_sub", "l_r", "l_parts"))
+                    angle = _angles(q @ _unit_rows(flat, len(flat) // q.shape[1])[sub].T)
+                    near = angle - r[None, :] <= row["_reach"].to_numpy(zero_copy_only=False)[:, None] + SLACK
+                    cell = batch.column("_cell")[i].as_py()
+                    home = row["_own"].to_numpy(zero_copy_only=False) == cell
+                    near &= ~(home[:, None] & (row["_own_sub"].to_numpy(zero_copy_only=False)[:, None] == sub[None, :]))
+                    at, leaf = np.nonzero(near)
+                    yield pa.RecordBatch.from_arrays(
+                        [row["_rep"].take(pa.array(at)), row["_vec"].take(pa.array(at)), pa.array(np.full(len(at), cell, np.int32)),
+                         pa.array(sub[leaf].astype(np.int32)), pa.array(parts[leaf].astype(np.int32))],
+                        ["_rep", "_vec", "_cell", "_sub", "_parts"],
+                    )
+
+        return self._with_table(met, columns, self._reach).mapInArrow(leaves, f"_rep {rep}, _vec {vec}, _cell INT, _sub INT, _parts INT")
+
+    def own_visits(self, queries: DataFrame) -> DataFrame:
+        """Each query's visit to its own leaf; a leaf without targets has none."""
+        return queries.select("_rep", "_vec", "_cell", "_sub").join(
+            broadcast_if_small(self.leaves.select("_cell", "_sub", "_parts")), ["_cell", "_sub"]
+        ).select("_rep", "_vec", "_cell", "_sub", "_parts")
+
+    def meet(self, visits: DataFrame) -> DataFrame:
+        """Query blocks next to the target blocks of the leaf they visit.
+
+        Visits are counted per leaf, so query blocks are full whatever a leaf's share of them. They
+        are copied to every part of their leaf and meet it by (leaf, part), which spreads a crowded
+        leaf over as many keys as it has blocks.
         """
-        parts = -(-n_queries // self.block) or 1
+        visits = cut_lineage(visits, "visits")
+        counts = visits.groupBy("_cell", "_sub").agg(F.ceil(F.count(F.lit(1)) / self.block).cast("int").alias("_qparts"))
+        packed = visits.join(broadcast_if_small(cut_lineage(counts, "visit-counts")), ["_cell", "_sub"])
         packs = (
-            visits.groupBy("_cell", F.pmod(F.xxhash64("_rep"), F.lit(parts)).alias("_qpart"))
+            packed.groupBy("_cell", "_sub", "_parts", F.pmod(F.xxhash64("_rep"), F.col("_qparts")).alias("_qpart"))
             .agg(F.collect_list(F.struct("_rep", "_vec")).alias("_rows"))
             .select(
-                "_cell", F.explode(F.sequence(F.lit(0), self._parts - 1).cast("array<bigint>")).alias("_part"),
+                "_cell", "_sub", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1).cast("array<bigint>")).alias("_part"),
                 F.col("_rows._rep").alias("q_ids"), F.flatten("_rows._vec").alias("q_flat"),
             )
         )
-        return packs.join(self.blocks, ["_cell", "_part"]).select("q_ids", "q_flat", "t_ids", "t_copies", "t_flat")
+        return packs.join(self.blocks, ["_cell", "_sub", "_part"]).select("q_ids", "q_flat", "t_ids", "t_copies", "t_flat")
 
 
 def _block_pairs(batches) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -253,22 +323,20 @@ def _merge(lists: DataFrame, k: int) -> DataFrame:
 
 def _knn_cells(
     queries: DataFrame, targets: DataFrame, id_col: str, target_id: str, vec: str, k: int, own: bool,
-    pivots: int, block: int,
+    pivots: int | None, block: int,
 ) -> DataFrame:
     cells = _Cells(_distinct(targets, target_id, vec, k + 1), pivots, block)
     if own:
         asked = cells.homed
     else:
-        asked = cut_lineage(cells.locate(_distinct(queries, id_col, vec, 1)))
-    n = asked.count()
+        located = cells.locate(_distinct(queries, id_col, vec, 1)).drop("_angle")
+        asked = cut_lineage(cells.settle(located, ["_rep", "_vec"]), "asked")
     rep = asked.schema["_rep"].dataType.simpleString()
-    near = cut_lineage(_merge(_best_in_blocks(
-        cells.meet(asked.select("_rep", "_vec", "_cell"), n), k, own, rep
-    ), k))
+    near = cut_lineage(_merge(_best_in_blocks(cells.meet(cells.own_visits(asked)), k, own, rep), k))
     full = F.size("_sims") >= k
     reach = F.when(full, F.acos(F.least(F.greatest(F.get("_sims", F.lit(k - 1)), F.lit(-1.0)), F.lit(1.0))))
     bound = asked.join(near, "_rep", "left").withColumn("_reach", F.coalesce(reach, F.lit(4.0)))
-    far = _best_in_blocks(cells.meet(cells.reachable(bound), n), k, own, rep)
+    far = _best_in_blocks(cells.meet(cells.reachable(bound)), k, own, rep)
     best = _merge(near.unionByName(far), k)
     by_vec = asked.select("_rep", "_vec").join(best, "_rep")
     rows = queries.select(F.col(id_col).alias("_id"), F.col(vec).alias("_vec"))
@@ -302,7 +370,7 @@ def _mean(k: int):
 def knn_realism(
     gen: DataFrame, real: DataFrame, k: int = 5, id_col: str = "id", real_id: str | None = None,
     vec: str = "embedding", threshold: float = 0.9, max_bytes: int = MAX_BROADCAST_BYTES,
-    pivots: int = PIVOTS, block: int = BLOCK,
+    pivots: int | None = None, block: int = BLOCK,
 ) -> DataFrame:
     """Mean cosine of the k nearest real rows, the nearest one, and the overlap flag."""
     found = _nearest(gen, real, id_col, real_id or id_col, vec, k, False, max_bytes, pivots, block)
@@ -315,7 +383,7 @@ def knn_realism(
 
 def knn_self_similarity(
     df: DataFrame, k: int = 5, id_col: str = "id", vec: str = "embedding",
-    max_bytes: int = MAX_BROADCAST_BYTES, pivots: int = PIVOTS, block: int = BLOCK,
+    max_bytes: int = MAX_BROADCAST_BYTES, pivots: int | None = None, block: int = BLOCK,
 ) -> DataFrame:
     """Mean cosine of the k nearest other rows, over all groups together."""
     found = _nearest(df, df, id_col, id_col, vec, k, True, max_bytes, pivots, block)
@@ -324,7 +392,7 @@ def knn_self_similarity(
 
 def overlap_pairs(
     gen: DataFrame, real: DataFrame, threshold: float = 0.9, id_col: str = "id",
-    real_id: str | None = None, vec: str = "embedding", pivots: int = PIVOTS, block: int = BLOCK,
+    real_id: str | None = None, vec: str = "embedding", pivots: int | None = None, block: int = BLOCK,
 ) -> DataFrame:
     """Distinct vectors of both sides with cosine >= threshold, exact.
 
@@ -335,9 +403,9 @@ def overlap_pairs(
     asked = cut_lineage(
         _distinct(gen, id_col, vec)
         .withColumn("_reach", F.lit(float(np.arccos(threshold))))
-        .withColumn("_cell", F.lit(-1))
+        .withColumns({"_cell": F.lit(-1), "_sub": F.lit(-1)})
     )
-    pairs = cells.meet(cells.reachable(asked), asked.count())
+    pairs = cells.meet(cells.reachable(asked))
 
     def match(batches):
         for q_ids, q, t_ids, copies, t in _block_pairs(batches):

@@ -27,7 +27,7 @@ def frame(spark, m, start=0):
     ).repartition(4)
 
 
-PLANS = [{}, {"max_bytes": 0, "pivots": 5, "block": 16}]
+PLANS = [{}, {"max_bytes": 0, "pivots": 5, "block": 16}, {"max_bytes": 0, "block": 8}]
 
 
 @pytest.mark.parametrize("plan", PLANS)
@@ -85,6 +85,39 @@ def test_far_cells_are_not_visited(spark):
         assert (r["_rep"] < 30) == (r["_cell"] in left)
 
 
+def many_clusters(seed, n, size=40, dim=16):
+    """Tight clusters of about ``size`` vectors each, so more vectors are more clusters."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(n // size, dim))
+    return (centres[rng.integers(0, n // size, n)] + 0.02 * rng.normal(size=(n, dim))).astype(np.float32)
+
+
+def leaf_pairs(spark, m, k=3, block=64):
+    """Query-leaf visits behind a self join, per query, and the largest leaf."""
+    df = frame(spark, m)
+    cells = similarity._Cells(similarity._distinct(df, "id", "embedding", k + 1), None, block)
+    near = similarity._merge(similarity._best_in_blocks(cells.meet(cells.own_visits(cells.homed)), k, True, "bigint"), k)
+    reach = F.when(F.size("_sims") >= k, F.acos(F.least(F.get("_sims", F.lit(k - 1)), F.lit(1.0)))).otherwise(4.0)
+    visits = cells.reachable(cells.homed.join(near, "_rep").withColumn("_reach", reach)).count()
+    return visits / len(m), cells.leaves.agg(F.max("n")).first()[0]
+
+
+def test_visits_do_not_grow_with_clustered_data(spark):
+    small, big = leaf_pairs(spark, many_clusters(1, 1_000)), leaf_pairs(spark, many_clusters(2, 4_000))
+    assert big[0] < 1.5 * small[0] + 1 and big[0] < 12  # of 4,000 / 16 = 250 leaves
+    assert max(small[1], big[1]) < 64 * 4
+
+
+@pytest.mark.parametrize("kind", ["clustered", "uniform"])
+def test_tree_equals_broadcast(spark, kind):
+    m = many_clusters(3, 900) if kind == "clustered" else np.random.default_rng(4).normal(size=(600, 6)).astype(np.float32)
+    m[50:90] = m[50]
+    df = frame(spark, m)
+    plain = {r["id"]: r["inter_review_sim_topk"] for r in similarity.knn_self_similarity(df, 4).collect()}
+    tree = {r["id"]: r["inter_review_sim_topk"] for r in similarity.knn_self_similarity(df, 4, max_bytes=0, block=64).collect()}
+    assert tree == pytest.approx(plain, abs=1e-9) and len(tree) == len(m)
+
+
 def test_overlap_pairs(spark):
     gen = clustered(7, 50, hot=15)
     real = np.vstack([clustered(8, 60, hot=20), gen[:3], gen[20:25]])
