@@ -2,14 +2,18 @@
 
 Edges are token k-mers. Of the 24 12-word k-mers in a window of 35 words the smallest by hash is the
 window's edge; only edges that are smallest in some window enter the graph, about one word in twelve.
-One count over the corpus gives each edge its number of places and tells whether the tokens around
-it, as far as a window with it reaches, are the same at all of them (a nonbranching stretch).
-
-A window whose edge stands once is unique. A window whose edge is repeated and nonbranching lies on
-one compacted path and is repeated wherever the edge is: that decides it without looking at its own
-words. Windows at branching places are verified one by one over their source coordinates, by a count
-of the hash of all their words. Either way the decision rests on the window's own words and
-corpus-wide facts, so all its occurrences are decided alike.
+An arc leads from an edge to the next one of its text and is known by all words of both and between.
+One count over the corpus keeps the edges that stand more than once and tells which of them have one
+arc in, or one arc out, at all of their places.
+
+Where an edge's only arc out is the next edge's only arc in, the two are on one nonbranching path.
+Paths are compacted by joins that double what each edge knows of the way before it, so every edge
+learns its path, its distance from the path's start and the path's length in words. A path stands as
+a whole wherever one of its edges does, with the same words: its source coordinates in a text follow
+from the place of any of its edges, and every window inside of a long one is repeated. Windows whose
+edge is repeated and that reach over a path's ends, or lie on a path shorter than they are, are
+verified one by one over their source coordinates, by a count of the hash of all their words. A window
+inside of a path is so at all its occurrences, as its edge is; so all occurrences are decided alike.
 
 Equal texts are one text with a copy count. A text's identity is a 64-bit hash and its byte length, a
 k-mer's a 64-bit hash, a window's two 64-bit hashes.
@@ -59,40 +63,43 @@ def window_edges(kmers: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def _stretches(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """A hash of the words lo[i]:hi[i] of each stretch, none of them empty."""
+    """A hash of the words lo[i]:hi[i] of each stretch, none of them empty; never 0."""
     size = hi - lo
     at = np.cumsum(size) - size
     place = A.spread(np.zeros(len(size), np.int64), size)
     factors = A.constants(int(size.max()))
-    return A.mix(np.add.reduceat(h[A.spread(lo, size)] * factors[place], at) + size.astype(A.U64))
+    return A.mix(np.add.reduceat(h[A.spread(lo, size)] * factors[place], at) + size.astype(A.U64)) | A.U64(1)
 
 
-SCAN = "tid BIGINT, size INT, edges ARRAY<BIGINT>, around ARRAY<BIGINT>"
+SCAN = "tid BIGINT, size INT, edges ARRAY<BIGINT>, arcs ARRAY<BIGINT>, gaps ARRAY<INT>"
 
 
 def _scan(span: int, k: int):
-    reach = span - k
+    """Every text's edges, the arc in to each (0 at the text's start) and its length in words."""
+    width = span - k + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in A.text_chunks(batches, "text"):
             w = A.split_words(t)
             h = A.word_hashes(t, w)
-            edges, around = [], []
+            edges, arcs, gaps = [], [np.zeros(0, A.U64)], [np.zeros(0, np.int64)]
             for i in range(len(t)):
                 own = h[w.first[i] : w.first[i + 1]]
                 kmers = A.run_hashes(own, k)
-                _, at = window_edges(kmers, reach + 1)
+                _, at = window_edges(kmers, width)
                 edges.append(kmers[at])
                 if len(at):
-                    around.append(_stretches(own, np.maximum(at - reach, 0), np.minimum(at + span, len(own))))
+                    arcs += [np.zeros(1, A.U64), *([_stretches(own, at[:-1], at[1:] + k)] if len(at) > 1 else [])]
+                    gaps += [np.zeros(1, np.int64), np.diff(at)]
             sizes = np.array([len(e) for e in edges])
             yield pa.RecordBatch.from_arrays(
                 [
                     t.rows.column("tid"), t.rows.column("size"),
                     A.list_array(A.as_long(np.concatenate(edges)), sizes, pa.int64()),
-                    A.list_array(A.as_long(np.concatenate([np.zeros(0, A.U64), *around])), sizes, pa.int64()),
+                    A.list_array(A.as_long(np.concatenate(arcs)), sizes, pa.int64()),
+                    A.list_array(np.concatenate(gaps).astype(np.int32), sizes, pa.int32()),
                 ],
-                ["tid", "size", "edges", "around"],
+                ["tid", "size", "edges", "arcs", "gaps"],
             )
 
     return run
@@ -101,24 +108,31 @@ def _scan(span: int, k: int):
 DECIDED = "tid BIGINT, size INT, spans ARRAY<INT>, at ARRAY<INT>, h1 ARRAY<BIGINT>, h2 ARRAY<BIGINT>"
 
 
-def _flagged(values: np.ndarray, flags: list | None) -> np.ndarray:
-    return np.isin(values, np.array(flags or [], np.int64).view(A.U64))
-
-
 def _decide(span: int, k: int):
-    """Per text: spans of windows on repeated nonbranching paths, and the places and hashes of
-    windows at branching places."""
+    """Per text: spans of windows inside of paths, and the places and hashes of other windows with repeated edges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in A.text_chunks(batches, "text"):
             w = A.split_words(t)
             h = A.word_hashes(t, w)
-            compact, branching = (t.rows.column(c).to_pylist() for c in ("compact", "branching"))
+            known = t.rows.column("known")
             spans, places = [], []
             for i in range(len(t)):
-                least, _ = window_edges(A.run_hashes(h[w.first[i] : w.first[i + 1]], k), span - k + 1)
-                spans.append(merge(np.flatnonzero(_flagged(least, compact[i])), span))
-                places.append(np.flatnonzero(_flagged(least, branching[i])))
+                fields = known[i].values
+                edge, before, after = (fields.field(j).to_numpy(zero_copy_only=False) for j in range(3))
+                order = np.argsort(edge.view(A.U64))
+                edge, before, after = edge.view(A.U64)[order], before[order].astype(np.int64), after[order].astype(np.int64)
+                kmers = A.run_hashes(h[w.first[i] : w.first[i + 1]], k)
+                least, at = window_edges(kmers, span - k + 1)
+                inside = np.zeros(len(least), bool)
+                which = np.minimum(np.searchsorted(edge, kmers[at]), len(edge) - 1)
+                met = edge[which] == kmers[at]
+                at, which = at[met], which[met]
+                for lo, hi in set(zip((at - before[which]).tolist(), (at + after[which] - span + 1).tolist())):
+                    if hi > lo:
+                        inside[lo:hi] = True
+                spans.append(merge(np.flatnonzero(inside), span))
+                places.append(np.flatnonzero(np.isin(least, edge) & ~inside))
             sizes = np.array([len(p) for p in places])
             at = np.concatenate(places)
             flat = at + np.repeat(w.first[:-1], sizes)
@@ -198,26 +212,53 @@ def _cut(span: int):
 KEY = ["tid", "size"]
 
 
+def compacted(graph: DataFrame, k: int) -> DataFrame:
+    """(edge, before, after) of repeated edges (edge, arc_in, arc_out, gap): the words of its path before the
+    edge's start and from there on. Arcs are null where there are several; ``gap`` is that of ``arc_in``.
+
+    Every round joins an edge with the edge it knows to be before it and so doubles the way known. A
+    path cannot close on itself, as the last place of its edges in a text has no arc out.
+    """
+    start = graph.filter("arc_in <> 0").select("edge", "gap", F.col("arc_in").alias("arc"))
+    end = graph.filter("arc_out <> 0").select(F.col("edge").alias("back"), F.col("arc_out").alias("arc"))
+    now = cut_lineage(start.join(end, "arc").select("edge", "back", F.col("gap").alias("far")), "path-arcs")
+    while True:
+        further = now.select(F.col("edge").alias("back"), F.col("back").alias("_back"), F.col("far").alias("_far"))
+        now = cut_lineage(now.join(further, "back", "left").select(
+            "edge", F.coalesce("_back", "back").alias("back"), (F.col("far") + F.coalesce("_far", F.lit(0))).alias("far"),
+            F.col("_back").isNotNull().alias("moved"),
+        ), "paths")
+        if now.filter("moved").isEmpty():
+            break
+    sizes = now.groupBy("back").agg((F.max("far") + k).alias("whole"))
+    on_path = graph.select("edge").join(now.select("edge", "back", "far"), "edge", "left").select(
+        "edge", F.coalesce("back", "edge").alias("back"), F.coalesce("far", F.lit(0)).alias("before")
+    )
+    return on_path.join(sizes, "back", "left").select(
+        "edge", F.col("before").cast("int").alias("before"), (F.coalesce("whole", F.lit(k)) - F.col("before")).cast("int").alias("after")
+    )
+
+
 def repeated_windows(docs: DataFrame, span: int, k: int) -> DataFrame:
     """(tid, size, spans) of each text with repeated windows; ``docs`` has one row per text."""
     scan = cut_lineage(docs.mapInArrow(_scan(span, k), SCAN), "edges")
-    places = scan.filter(F.size("edges") > 0).select(*KEY, F.explode(F.arrays_zip("edges", "around")).alias("x"))
-    places = places.select(*KEY, F.col("x.edges").alias("edge"), F.col("x.around").alias("around"))
-    graph = cut_lineage(
-        places.groupBy("edge").agg(F.count(F.lit(1)).alias("n"), (F.min("around") == F.max("around")).alias("compact"))
-        .filter("n > 1").select("edge", "compact"),
-        "graph",
-    )
-    on_path = places.select(*KEY, "edge").join(broadcast_if_small(graph, MAX_EDGES), "edge").distinct()
-    known = on_path.groupBy(*KEY).agg(
-        F.collect_list(F.when(F.col("compact"), F.col("edge"))).alias("compact"),
-        F.collect_list(F.when(~F.col("compact"), F.col("edge"))).alias("branching"),
-    )
+    out = F.concat(F.slice("arcs", F.lit(2), F.greatest(F.size("arcs") - 1, F.lit(0))), F.array(F.lit(0).cast("bigint")))
+    places = scan.filter(F.size("edges") > 0).withColumn("outs", out)
+    places = places.select(*KEY, F.explode(F.arrays_zip("edges", "arcs", "outs", "gaps")).alias("x"))
+    places = places.select(*KEY, *[F.col(f"x.{c}").alias(c) for c in ("edges", "arcs", "outs", "gaps")])
+    single = lambda c, of: F.when(F.min(c) == F.max(c), F.min(of))
+    graph = places.groupBy(F.col("edges").alias("edge")).agg(
+        F.count(F.lit(1)).alias("n"), single("arcs", "arcs").alias("arc_in"), single("outs", "outs").alias("arc_out"), single("arcs", "gaps").alias("gap")
+    ).filter("n > 1").drop("n")
+    graph = cut_lineage(compacted(cut_lineage(graph, "graph"), k), "edges-on-paths")
+    on_path = places.select(*KEY, F.col("edges").alias("edge")).join(broadcast_if_small(graph, MAX_EDGES), "edge").distinct()
+    known = on_path.groupBy(*KEY).agg(F.collect_list(F.struct("edge", "before", "after")).alias("known"))
     decided = docs.join(broadcast_if_small(cut_lineage(known, "known")), KEY).mapInArrow(_decide(span, k), DECIDED)
     decided = cut_lineage(decided, "decided")
     windows = decided.filter(F.size("at") > 0).select(*KEY, F.explode(F.arrays_zip("at", "h1", "h2")).alias("x"))
     windows = windows.select(*KEY, F.col("x.at").alias("at"), F.col("x.h1").alias("h1"), F.col("x.h2").alias("h2"))
     again = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
+    again = broadcast_if_small(cut_lineage(again, "again"), MAX_EDGES)
     verified = windows.join(again, ["h1", "h2"]).groupBy(*KEY).agg(F.collect_set("at").alias("places"))
     spans = decided.select(*KEY, "spans").dropDuplicates(KEY)
     found = spans.join(verified, KEY, "left").filter((F.size("spans") > 0) | F.col("places").isNotNull())

@@ -12,7 +12,7 @@ from corpusloom.llm.decontamination import contamination
 from corpusloom.llm.licenses import Template, scan_licenses
 from corpusloom.llm.near_dedup import SKETCH, least_hits, near_duplicates, no_run_chance, run_widths
 from corpusloom.llm.sharding import assign_shards
-from corpusloom.llm.substring_dedup import remove_repeats
+from corpusloom.llm.substring_dedup import compacted, remove_repeats
 
 WORDS = [f"w{i}" for i in range(60)]
 SPACES = r"[^\x20\x09-\x0D]+"
@@ -275,3 +275,27 @@ def test_pipeline_stage_keeps_one_of_each_group_whatever_the_ids(spark):
     assert left.columns == docs.columns
     want = [(1, fresh(0)), (1, fresh(1)), (None, fresh(2)), (3, fresh(3)), (4, None), (5, "")]
     assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in left.collect()))) == sorted(map(repr, want))
+
+
+def test_paths_are_compacted(spark):
+    """Edges 1-2-3-4 on one path, 5 alone between branching arcs, 6-7 behind it."""
+    rows = [(1, None, 11, None), (2, 11, 12, 3), (3, 12, 13, 2), (4, 13, None, 5), (5, None, None, None), (6, 0, 16, 0), (7, 16, 0, 9), (8, None, 18, None), (9, 19, 0, 4)]
+    graph = spark.createDataFrame(rows, "edge BIGINT, arc_in BIGINT, arc_out BIGINT, gap INT")
+    found = {r["edge"]: (r["before"], r["after"]) for r in compacted(graph, 12).collect()}
+    assert found == {1: (0, 22), 2: (3, 19), 3: (5, 17), 4: (10, 12), 5: (0, 12), 6: (0, 21), 7: (9, 12), 8: (0, 12), 9: (0, 12)}
+    assert compacted(graph.limit(0), 12).count() == 0
+
+
+def test_repeats_around_long_paths_equal_brute_force(make):
+    """Long passages that are shared whole, in parts, overlapping and periodically, between texts of their own."""
+    rng = random.Random(8)
+    fresh = lambda n: [f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(n)]
+    long, other = fresh(400), fresh(300)
+    rows = [fresh(50) + long + fresh(40), fresh(9) + long[100:320] + fresh(20) + other[:200], other[150:] + long[:60] + other[:90], long[200:] + other[100:]]
+    rows += [fresh(10) + (fresh(7) * 20) + fresh(5) for _ in range(2)] + [rows[0][:200] + fresh(30), long[:34] + fresh(3), long[:35] + fresh(3), rows[0], rows[0]]
+    texts = [(i, " ".join(x)) for i, x in enumerate(rows)]
+    count = Counter(tuple(x[s : s + 35]) for x in rows for s in range(len(x) - 34))
+    for r in remove_repeats(make(texts), "doc_id", "text").collect():
+        x = rows[r["doc_id"]]
+        gone = {j for s in range(len(x) - 34) if count[tuple(x[s : s + 35])] > 1 for j in range(s, s + 35)}
+        assert r["n_removed"] == len(gone) and r["kept_text"] == " ".join(w for j, w in enumerate(x) if j not in gone)
