@@ -34,6 +34,7 @@ from .sampling import sample_n
 BLOCK = 2048
 MOST_PIVOTS = 1024  # of the first level
 MOST_SUB_PIVOTS = 4096  # of one cell
+FAR = 2.0  # times the middle angle of a cell's rows to their sub-pivots
 PACK = 8192  # rows of a cell that meet its sub-pivots together
 SLACK = 1e-6  # radians; covers rounding in the angle bounds
 
@@ -142,26 +143,32 @@ class _Cells:
         counts = np.zeros(len(matrix), np.int64)
         for row in sizes:
             self.radius[row["_cell"]], counts[row["_cell"]] = row["r"], row["n"]
+        self._packs = F.get(F.array(*[F.lit(max(int(x), 1)) for x in -(-counts // PACK)]), F.col("_cell"))
         # A cell's sub-pivots: its pivot, and a share of its rows picked by a hash.
-        self._packs = F.get(F.array(*[F.lit(int(x)) for x in -(-counts // PACK)]), F.col("_cell"))
-        share = F.get(F.array(*[F.lit(min(1.0, m / c) if (m := min(MOST_SUB_PIVOTS, c // self.leaf)) > 1 else 0.0) for c in np.maximum(counts, 1).tolist()]), F.col("_cell"))
-        picked = F.pmod(F.xxhash64("_rep", F.lit("sub-pivot")), F.lit(1 << 30)) < share * (1 << 30)
-        subs = homed.filter(picked).groupBy("_cell").agg(F.sort_array(F.collect_list(F.struct("_rep", "_vec"))).alias("s"))
-        subs = subs.select("_cell", F.flatten(F.transform("s", lambda x: x["_vec"])).alias("s_flat"))
+        many = np.minimum(MOST_SUB_PIVOTS, counts // self.leaf)
+        share = np.where(many > 1, np.minimum(1.0, many / np.maximum(counts, 1)), 0.0)
         cells = targets.sparkSession.createDataFrame(
-            [(c, [float(x) for x in matrix[c]]) for c in np.flatnonzero(counts).tolist()], "_cell INT, p_flat ARRAY<DOUBLE>"
+            [(c, [float(x) for x in matrix[c]], float(share[c]), int(many[c])) for c in np.flatnonzero(counts).tolist()],
+            "_cell INT, s_flat ARRAY<DOUBLE>, _share DOUBLE, _many INT",
         )
-        double = lambda c: F.transform(c, lambda x: x.cast("double"))
-        self._subs = cut_lineage(cells.join(subs, "_cell", "left").select(
-            "_cell", F.concat("p_flat", F.coalesce(double("s_flat"), F.array().cast("array<double>"))).alias("s_flat")
-        ), "sub-pivots")
+        self._subs = cut_lineage(self._more(cells, homed), "sub-pivots")
+        # Rows far from all of these belong to groups that the share passed over; they get sub-pivots too,
+        # else a few of them would widen a leaf until no bound excludes it.
+        near = cut_lineage(self.settle(homed, ["_rep", "_vec"]), "settled")
+        middle = near.groupBy("_cell").agg(F.percentile_approx("_angle", 0.5).alias("_mid"))
+        far = cut_lineage(near.join(F.broadcast(middle), "_cell").filter(F.col("_angle") > FAR * F.col("_mid") + SLACK).select("_cell", "_rep", "_vec"), "far")
+        among = far.groupBy("_cell").agg(F.count(F.lit(1)).alias("_far"))
+        again = self._subs.join(F.broadcast(among), "_cell", "left").withColumn(
+            "_share", F.coalesce(F.least(F.lit(1.0), F.col("_many") / F.col("_far")), F.lit(0.0))
+        ).drop("_far")
+        self._subs = cut_lineage(self._more(again, far).select("_cell", "s_flat"), "sub-pivots")
         self.homed = cut_lineage(self.settle(homed.drop("_angle"), ["_rep", "_copies", "_vec"]), "leaves")
         leaves = self.homed.groupBy("_cell", "_sub").agg(F.count(F.lit(1)).alias("n"), F.max("_angle").alias("r"))
         leaves = leaves.withColumn("_parts", F.ceil(F.col("n") / block).cast("int"))
         self.leaves = cut_lineage(leaves, "leaf-sizes")
-        per_cell = self.leaves.groupBy("_cell").agg(F.collect_list(F.struct("_sub", "r", "_parts")).alias("l"))
+        per_cell = self.leaves.groupBy("_cell").agg(F.collect_list(F.struct("_sub", "r", "_parts", "n")).alias("l"))
         self._reach = cut_lineage(self._subs.join(per_cell, "_cell").select(
-            "_cell", "s_flat", F.col("l._sub").alias("l_sub"), F.col("l.r").alias("l_r"), F.col("l._parts").alias("l_parts")
+            "_cell", "s_flat", F.col("l._sub").alias("l_sub"), F.col("l.r").alias("l_r"), F.col("l._parts").alias("l_parts"), F.col("l.n").alias("l_n")
         ), "reach")
         part = F.pmod(F.xxhash64("_rep"), F.col("_parts"))
         self.blocks = (
@@ -174,6 +181,17 @@ class _Cells:
             )
         )
 
+    @staticmethod
+    def _more(cells: DataFrame, rows: DataFrame) -> DataFrame:
+        """Cells (one row per pivot at most) with a share of some of their rows added to their sub-pivots."""
+        picked = F.pmod(F.xxhash64("_rep", F.lit("sub-pivot")), F.lit(1 << 30)) < F.col("_share") * (1 << 30)
+        found = rows.select("_cell", "_rep", "_vec").join(F.broadcast(cells.select("_cell", "_share")), "_cell").filter(picked)
+        lists = found.groupBy("_cell").agg(F.sort_array(F.collect_list(F.struct("_rep", "_vec"))).alias("s"))
+        flat = F.flatten(F.transform("s", lambda x: F.transform(x["_vec"], lambda y: y.cast("double"))))
+        return cells.join(lists.select("_cell", flat.alias("_s")), "_cell", "left").withColumn(
+            "s_flat", F.concat("s_flat", F.coalesce("_s", F.array().cast("array<double>")))
+        ).drop("_s")
+
     def locate(self, df: DataFrame) -> DataFrame:
         """Adds the nearest pivot and the angle to it."""
         shared = self._shared
@@ -262,6 +280,27 @@ class _Cells:
 
         return self._with_table(met, columns, self._reach).mapInArrow(leaves, f"_rep {rep}, _vec {vec}, _cell INT, _sub INT, _parts INT")
 
+    def bounds(self, queries: DataFrame, k: int) -> DataFrame:
+        """(_rep, _bound): an angle within which each query's cell surely holds k vectors, from its leaves' sizes and
+        radii alone; 4.0, more than any angle, where it does not hold so many."""
+
+        def bound(batches):
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    q = _column_matrix(batch.column("_vec")[i].values)
+                    flat = batch.column("s_flat")[i].values.to_numpy(zero_copy_only=False)
+                    sub, r, n = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("l_sub", "l_r", "l_n"))
+                    far = _angles(q @ _unit_rows(flat, len(flat) // q.shape[1])[sub].T) + r[None, :]
+                    order = np.argsort(far, axis=1)
+                    enough = np.cumsum(n[order], axis=1) >= k
+                    at = enough.argmax(axis=1)
+                    rows = np.arange(len(q))
+                    found = np.where(enough[rows, at], far[rows, order[rows, at]], 4.0)
+                    yield pa.RecordBatch.from_arrays([batch.column("_rep")[i].values, pa.array(found)], ["_rep", "_bound"])
+
+        rep = queries.schema["_rep"].dataType.simpleString()
+        return self._with_table(queries, ["_rep", "_vec"], self._reach).mapInArrow(bound, f"_rep {rep}, _bound DOUBLE")
+
     def own_visits(self, queries: DataFrame) -> DataFrame:
         """Each query's visit to its own leaf; a leaf without targets has none."""
         return queries.select("_rep", "_vec", "_cell", "_sub").join(
@@ -321,6 +360,19 @@ def _merge(lists: DataFrame, k: int) -> DataFrame:
     )
 
 
+def _reaching(cells: _Cells, asked: DataFrame, near: DataFrame, k: int) -> DataFrame:
+    """Queries with the angle ``_reach`` beyond which no neighbour is needed.
+
+    It is that of the k-th similarity found in the query's own leaf; where the leaf holds fewer, the
+    one within which its cell holds k others.
+    """
+    found = F.acos(F.least(F.greatest(F.get("_sims", F.lit(k - 1)), F.lit(-1.0)), F.lit(1.0)))
+    met = asked.join(near, "_rep", "left").withColumn("_met", F.when(F.size("_sims") >= k, found)).drop("_sims")
+    met = cut_lineage(met, "met")
+    bounds = cells.bounds(met.filter("_met IS NULL"), k + 1)
+    return met.join(bounds, "_rep", "left").withColumn("_reach", F.coalesce("_met", "_bound", F.lit(4.0))).drop("_met", "_bound")
+
+
 def _knn_cells(
     queries: DataFrame, targets: DataFrame, id_col: str, target_id: str, vec: str, k: int, own: bool,
     pivots: int | None, block: int,
@@ -333,9 +385,7 @@ def _knn_cells(
         asked = cut_lineage(cells.settle(located, ["_rep", "_vec"]), "asked")
     rep = asked.schema["_rep"].dataType.simpleString()
     near = cut_lineage(_merge(_best_in_blocks(cells.meet(cells.own_visits(asked)), k, own, rep), k))
-    full = F.size("_sims") >= k
-    reach = F.when(full, F.acos(F.least(F.greatest(F.get("_sims", F.lit(k - 1)), F.lit(-1.0)), F.lit(1.0))))
-    bound = asked.join(near, "_rep", "left").withColumn("_reach", F.coalesce(reach, F.lit(4.0)))
+    bound = _reaching(cells, asked, near, k)
     far = _best_in_blocks(cells.meet(cells.reachable(bound)), k, own, rep)
     best = _merge(near.unionByName(far), k)
     by_vec = asked.select("_rep", "_vec").join(best, "_rep")

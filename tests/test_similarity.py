@@ -97,8 +97,7 @@ def leaf_pairs(spark, m, k=3, block=64):
     df = frame(spark, m)
     cells = similarity._Cells(similarity._distinct(df, "id", "embedding", k + 1), None, block)
     near = similarity._merge(similarity._best_in_blocks(cells.meet(cells.own_visits(cells.homed)), k, True, "bigint"), k)
-    reach = F.when(F.size("_sims") >= k, F.acos(F.least(F.get("_sims", F.lit(k - 1)), F.lit(1.0)))).otherwise(4.0)
-    visits = cells.reachable(cells.homed.join(near, "_rep").withColumn("_reach", reach)).count()
+    visits = cells.reachable(similarity._reaching(cells, cells.homed, near, k)).count()
     return visits / len(m), cells.leaves.agg(F.max("n")).first()[0]
 
 
