@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from corpusloom.functions import flags, text as tx
 from corpusloom.operators import audit, guards, metrics, sampling, stats
@@ -119,6 +119,14 @@ def e1(spark, sf):
     )
 
 
+@query("f14_summary_order", with_("reviews", "filled") + "," + JUDGED_SQL + """
+    SELECT CAST(row_number() OVER (ORDER BY count(*) DESC, rating) AS BIGINT) AS place, rating, count(*) AS n FROM judged GROUP BY rating""")
+def f14(spark, sf):
+    """Groups numbered as the summary's rows come, so their order is seen."""
+    rows = stats.judge_summary(judged(spark, sf), "rating").select("rating", "n").withColumn("at", F.monotonically_increasing_id())
+    return rows.select(F.row_number().over(Window.orderBy("at")).cast("bigint").alias("place"), "rating", "n")
+
+
 DIVERSITY_SQL = """div AS (
     SELECT id, method, lang, len(t) AS word_count,
            CASE WHEN len(t) > 0 THEN len(list_distinct(t)) / len(t) ELSE 0 END AS d1,
