@@ -35,7 +35,8 @@ def run_incremental(
     id came before, under whatever file name, adds nothing, and of rows that share an id the first
     one met stays. Rows without an id are no repeats of each other and go by file. State grows with
     the ids; ``build_session`` keeps it outside of the heap. ``files_per_batch`` is the flush
-    interval; ``name_filter`` picks files of the folder by a glob.
+    interval; ``name_filter`` picks files by a glob of their own names. ``source`` may be a glob itself,
+    of files or of folders of files.
     """
     reader = spark.readStream.schema(schema).format(fmt)
     if files_per_batch:

@@ -233,3 +233,18 @@ def test_run_incremental_by_id(spark, tmp_path):
         run(fails)
     run()
     assert done() == sorted(want + [(False, 4), (False, 5)])
+
+
+def test_incremental_query_reads_a_table_kept_as_a_folder(spark, tmp_path):
+    """The documents as one file and as a folder of part files: the same rows, once each."""
+    from workload import QUERIES
+
+    docs = spark.createDataFrame([(i, "a b " * i, "en", "src1", 4 * i) for i in range(6)], "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT")
+    docs.repartition(3).write.parquet(str(tmp_path / "folder" / "documents.parquet"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "parts"))
+    (tmp_path / "file").mkdir()
+    part = next((tmp_path / "parts").glob("part-*"))
+    (tmp_path / "file" / "documents.parquet").write_bytes(part.read_bytes())
+    for kind in ("folder", "file"):
+        got = sorted(tuple(r) for r in QUERIES["i3_run_incremental"](spark, str(tmp_path / kind)).collect())
+        assert got == [(i, 2 * i) for i in range(6)]

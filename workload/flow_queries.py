@@ -222,10 +222,9 @@ def stream_steps(spark, sf):
     step = lambda df: df.select(
         "doc_id", tx.ws_word_count(F.col("text")).cast("bigint").alias("words")
     )
+    source = f"{sf}/{{documents.parquet}}"  # a pattern, so the table may be one file or a folder of files
     for _ in range(2):
-        run_incremental(
-            spark, sf, t.DOCUMENTS, out, checkpoint, step, name_filter="documents.parquet"
-        )
+        run_incremental(spark, source, t.DOCUMENTS, out, checkpoint, step)
     return spark.read.parquet(out)
 
 
