@@ -15,6 +15,11 @@ only cells, and inside of these only leaves, that reach into that distance are v
 that cannot help are never touched and nothing is dropped, so results equal the all-pairs answer.
 Visits are counted per leaf and packed into blocks by that count, and a crowded leaf is cut into
 blocks. A block pair gives at most k figures per query, never its pairs.
+
+*Grid.* Vectors without structure leave nothing to skip. Where a probe of some queries reaches more than
+``DENSE`` of the targets, large packs of queries meet large packs of targets instead, each pair of packs
+once, so a vector moves once for tens of thousands of others. What a query found in its own leaf is the
+floor below which nothing is kept. The work is that of all pairs; the answer is the same.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.flags import overlap_flag
 from ..session import cut_lineage
-from ..sizing import MAX_BROADCAST_BYTES, broadcast_if_small
+from ..sizing import broadcast_if_small
 from .sampling import sample_n
 
 BLOCK = 2048
@@ -37,6 +42,12 @@ MOST_SUB_PIVOTS = 4096  # of one cell
 FAR = 2.0  # times the middle angle of a cell's rows to their sub-pivots
 PACK = 8192  # rows of a cell that meet its sub-pivots together
 SLACK = 1e-6  # radians; covers rounding in the angle bounds
+KNN_BROADCAST_BYTES = 8 << 20  # every Python worker holds a copy of a broadcast matrix
+TILE = 1 << 20  # similarities a task holds at a time
+OUT_ROWS = 1 << 16  # visits in one Arrow batch
+PROBES = 128  # queries that tell how much of the targets can be skipped
+DENSE = 1 / 32  # share of the targets above which the grid takes over
+GRID_BYTES = 8 << 20  # vectors of one pack of the grid
 
 
 # ---- arrays inside tasks -------------------------------------------------------------------
@@ -73,8 +84,8 @@ def _best(sims: np.ndarray, copies: np.ndarray, own: np.ndarray | None, k: int)
     return [np.repeat(t, c)[:k] for t, c in zip(top, times)]
 
 
-def _chunks(n: int, width: int) -> Iterator[slice]:
-    step = max(1, (1 << 23) // max(width, 1))
+def _chunks(n: int, width: int, most: int = TILE) -> Iterator[slice]:
+    step = max(1, most // max(width, 1))
     for i in range(0, n, step):
         yield slice(i, min(i + step, n))
 
@@ -132,7 +143,7 @@ class _Cells:
     def __init__(self, targets: DataFrame, pivots: int | None, block: int):
         targets = cut_lineage(targets, "distinct")
         self.block, self.leaf = block, max(block // 4, 1)
-        n = targets.count()
+        n = self.n = targets.count()
         self.pivots = min(MOST_PIVOTS, max(1, ceil(2 * sqrt(n / self.leaf)))) if pivots is None else pivots
         picked = sample_n(targets, self.pivots, "_rep").select("_vec").toArrow()
         matrix = _column_matrix(picked["_vec"])
@@ -227,11 +238,13 @@ class _Cells:
                     row = {name: batch.column(name)[i].values for name in columns}
                     q = _column_matrix(row["_vec"])
                     flat = batch.column("s_flat")[i].values.to_numpy(zero_copy_only=False)
-                    cos = q @ _unit_rows(flat, len(flat) // q.shape[1]).T
-                    sub = cos.argmax(axis=1)
+                    pivots = _unit_rows(flat, len(flat) // q.shape[1])
+                    sub, top = np.zeros(len(q), np.int32), np.zeros(len(q))
+                    for part in _chunks(len(q), len(pivots)):
+                        cos = q[part] @ pivots.T
+                        sub[part], top[part] = cos.argmax(axis=1), cos.max(axis=1)
                     yield pa.RecordBatch.from_arrays(
-                        [*row.values(), pa.array(np.full(len(sub), batch.column("_cell")[i].as_py(), np.int32)), pa.array(sub.astype(np.int32)),
-                         pa.array(_angles(cos[np.arange(len(sub)), sub]))],
+                        [*row.values(), pa.array(np.full(len(sub), batch.column("_cell")[i].as_py(), np.int32)), pa.array(sub), pa.array(_angles(top))],
                         [*columns, "_cell", "_sub", "_angle"],
                     )
 
@@ -247,11 +260,13 @@ class _Cells:
             for batch in batches:
                 if batch.num_rows == 0:
                     continue
-                angle = _angles(_column_matrix(batch.column("_vec")) @ shared.value.T)
-                reach = batch.column("_reach").to_numpy(zero_copy_only=False)
-                q, c = np.nonzero(angle - radius[None, :] <= reach[:, None] + SLACK)
-                kept = [batch.column(name).take(pa.array(q)) for name in ("_rep", "_vec", "_reach", "_cell", "_sub")]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(c.astype(np.int32))], ["_rep", "_vec", "_reach", "_own", "_own_sub", "_cell"])
+                for part in _chunks(batch.num_rows, len(radius), OUT_ROWS):
+                    some = batch.slice(part.start, part.stop - part.start)
+                    angle = _angles(_column_matrix(some.column("_vec")) @ shared.value.T)
+                    reach = some.column("_reach").to_numpy(zero_copy_only=False)
+                    q, c = np.nonzero(angle - radius[None, :] <= reach[:, None] + SLACK)
+                    kept = [some.column(name).take(pa.array(q)) for name in ("_rep", "_vec", "_reach", "_cell", "_sub")]
+                    yield pa.RecordBatch.from_arrays([*kept, pa.array(c.astype(np.int32))], ["_rep", "_vec", "_reach", "_own", "_own_sub", "_cell"])
 
         columns = ["_rep", "_vec", "_reach", "_own", "_own_sub"]
         rep, vec = (queries.schema[c].dataType.simpleString() for c in ("_rep", "_vec"))
@@ -266,17 +281,20 @@ class _Cells:
                     q = _column_matrix(row["_vec"])
                     flat = batch.column("s_flat")[i].values.to_numpy(zero_copy_only=False)
                     sub, r, parts = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("l_sub", "l_r", "l_parts"))
-                    angle = _angles(q @ _unit_rows(flat, len(flat) // q.shape[1])[sub].T)
-                    near = angle - r[None, :] <= row["_reach"].to_numpy(zero_copy_only=False)[:, None] + SLACK
+                    pivots = _unit_rows(flat, len(flat) // q.shape[1])[sub]
+                    reach, own_sub = (row[name].to_numpy(zero_copy_only=False)[:, None] for name in ("_reach", "_own_sub"))
                     cell = batch.column("_cell")[i].as_py()
-                    home = row["_own"].to_numpy(zero_copy_only=False) == cell
-                    near &= ~(home[:, None] & (row["_own_sub"].to_numpy(zero_copy_only=False)[:, None] == sub[None, :]))
-                    at, leaf = np.nonzero(near)
-                    yield pa.RecordBatch.from_arrays(
-                        [row["_rep"].take(pa.array(at)), row["_vec"].take(pa.array(at)), pa.array(np.full(len(at), cell, np.int32)),
-                         pa.array(sub[leaf].astype(np.int32)), pa.array(parts[leaf].astype(np.int32))],
-                        ["_rep", "_vec", "_cell", "_sub", "_parts"],
-                    )
+                    home = row["_own"].to_numpy(zero_copy_only=False)[:, None] == cell
+                    for part in _chunks(len(q), len(sub), OUT_ROWS):
+                        near = _angles(q[part] @ pivots.T) - r[None, :] <= reach[part] + SLACK
+                        near &= ~(home[part] & (own_sub[part] == sub[None, :]))
+                        at, leaf = np.nonzero(near)
+                        at += part.start
+                        yield pa.RecordBatch.from_arrays(
+                            [row["_rep"].take(pa.array(at)), row["_vec"].take(pa.array(at)), pa.array(np.full(len(at), cell, np.int32)),
+                             pa.array(sub[leaf].astype(np.int32)), pa.array(parts[leaf].astype(np.int32))],
+                            ["_rep", "_vec", "_cell", "_sub", "_parts"],
+                        )
 
         return self._with_table(met, columns, self._reach).mapInArrow(leaves, f"_rep {rep}, _vec {vec}, _cell INT, _sub INT, _parts INT")
 
@@ -290,12 +308,15 @@ class _Cells:
                     q = _column_matrix(batch.column("_vec")[i].values)
                     flat = batch.column("s_flat")[i].values.to_numpy(zero_copy_only=False)
                     sub, r, n = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("l_sub", "l_r", "l_n"))
-                    far = _angles(q @ _unit_rows(flat, len(flat) // q.shape[1])[sub].T) + r[None, :]
-                    order = np.argsort(far, axis=1)
-                    enough = np.cumsum(n[order], axis=1) >= k
-                    at = enough.argmax(axis=1)
-                    rows = np.arange(len(q))
-                    found = np.where(enough[rows, at], far[rows, order[rows, at]], 4.0)
+                    pivots = _unit_rows(flat, len(flat) // q.shape[1])[sub]
+                    found = np.zeros(len(q))
+                    for part in _chunks(len(q), len(sub)):
+                        far = _angles(q[part] @ pivots.T) + r[None, :]
+                        order = np.argsort(far, axis=1)
+                        enough = np.cumsum(n[order], axis=1) >= k
+                        at = enough.argmax(axis=1)
+                        rows = np.arange(len(far))
+                        found[part] = np.where(enough[rows, at], far[rows, order[rows, at]], 4.0)
                     yield pa.RecordBatch.from_arrays([batch.column("_rep")[i].values, pa.array(found)], ["_rep", "_bound"])
 
         rep = queries.schema["_rep"].dataType.simpleString()
@@ -327,6 +348,28 @@ class _Cells:
         )
         return packs.join(self.blocks, ["_cell", "_sub", "_part"]).select("q_ids", "q_flat", "t_ids", "t_copies", "t_flat")
 
+    def dense(self, queries: DataFrame) -> bool:
+        """Whether a probe of the queries reaches more than ``DENSE`` of the targets: a choice of plan, not of rows."""
+        probes = cut_lineage(sample_n(queries, PROBES, "_rep"), "probes")
+        reached = self.reachable(probes).select("_cell", "_sub").join(self.leaves, ["_cell", "_sub"]).agg(F.sum("n").alias("n")).first()["n"]
+        return (reached or 0) > DENSE * probes.count() * self.n
+
+    def grid(self, queries: DataFrame, columns: list[str]) -> DataFrame:
+        """Every pack of queries next to every pack of targets, each pair in one row; ``columns`` of the queries go along."""
+        width = int(self._shared.value.shape[1])
+        most = max(1, GRID_BYTES // (8 * max(width, 1)))
+        queries = cut_lineage(queries.select("_rep", "_vec", *columns), "asked")
+        rows = lambda n: min(most, max(self.block, ceil(n / 16)))
+        q_packs, t_packs = (max(1, ceil(n / rows(n))) for n in (queries.count(), self.n))
+
+        def packed(df, key, n, fields):
+            parts = df.groupBy(F.pmod(F.xxhash64("_vec"), F.lit(n)).alias(key)).agg(F.collect_list(F.struct(*fields, "_vec")).alias("_rows"))
+            return parts.select(key, *[F.col(f"_rows.{c}").alias(f"{key}{c}") for c in fields], F.flatten("_rows._vec").alias(f"{key}_flat"))
+
+        q = packed(queries, "q", q_packs, ["_rep", *columns]).withColumn("t", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(t_packs - 1).cast("bigint"))))
+        t = packed(self.homed, "t", t_packs, ["_rep", "_copies"]).withColumn("q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(q_packs - 1).cast("bigint"))))
+        return q.join(t, ["q", "t"]).drop("q", "t")
+
 
 def _block_pairs(batches) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     for batch in batches:
@@ -350,6 +393,57 @@ def _best_in_blocks(pairs: DataFrame, k: int, own: bool, rep_type: str) -> DataF
     return pairs.mapInArrow(best, f"_rep {rep_type}, _sims ARRAY<DOUBLE>")
 
 
+def _tiles(q: np.ndarray, t: np.ndarray) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    for a in _chunks(len(q), 1, 1024):
+        for b in _chunks(len(t), 1, TILE // 1024):
+            yield a, b, q[a] @ t[b].T
+
+
+def _grid_rows(batches, columns: list[str]) -> Iterator[tuple]:
+    """Per pair of packs the queries' ids, columns and unit vectors, the targets' ids, copies and unit vectors."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            x = {name: batch.column(name)[i].values.to_numpy(zero_copy_only=False) for name in batch.schema.names}
+            q_ids, t_ids = x["q_rep"], x["t_rep"]
+            yield (q_ids, *(x[f"q{c}"] for c in columns), _unit_rows(x["q_flat"], len(q_ids)), t_ids, x["t_copies"].astype(np.int64), _unit_rows(x["t_flat"], len(t_ids)))
+
+
+def _raised(best: np.ndarray, i: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """``best`` (descending figures per row) with the figures s of rows i merged in."""
+    k = best.shape[1]
+    order = np.lexsort((-s, i))
+    i, s = i[order], s[order]
+    rank = np.arange(len(i)) - np.searchsorted(i, i)
+    kept = rank < k
+    more = np.full(best.shape, -np.inf)
+    more[i[kept], rank[kept]] = s[kept]
+    return -np.sort(-np.hstack((best, more)), axis=1)[:, :k]
+
+
+def _best_in_grid(pairs: DataFrame, k: int, own: bool, rep_type: str) -> DataFrame:
+    """The k largest similarities of each query in each pack of targets, none below those that its ``_reach`` allows."""
+
+    def best(batches):
+        for q_ids, reach, q, t_ids, copies, t in _grid_rows(batches, ["_reach"]):
+            floor = np.where(reach + SLACK < np.pi, np.cos(np.minimum(reach + SLACK, np.pi)), -2.0)
+            top = np.full((len(q_ids), k), -np.inf)
+            for a, b, sims in _tiles(q, t):
+                i, j = np.nonzero(sims >= np.maximum(floor[a], top[a, -1])[:, None])
+                if not len(i):
+                    continue
+                times = copies[b][j]
+                if own:
+                    times = times - (q_ids[a][i] == t_ids[b][j])
+                top[a] = _raised(top[a], np.repeat(i, times), np.repeat(sims[i, j], times))
+            known = top > -np.inf
+            some = known.any(axis=1)
+            ends = np.concatenate(([0], np.cumsum(known[some].sum(axis=1)))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(top[some][known[some]]))
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[some]), lists], ["_rep", "_sims"])
+
+    return pairs.mapInArrow(best, f"_rep {rep_type}, _sims ARRAY<DOUBLE>")
+
+
 def _merge(lists: DataFrame, k: int) -> DataFrame:
     """k largest over all lists of a query, in two steps so that no buffer sees them all."""
     best = F.slice(F.sort_array(F.flatten(F.collect_list("_sims")), asc=False), 1, k)
@@ -386,8 +480,12 @@ def _knn_cells(
     rep = asked.schema["_rep"].dataType.simpleString()
     near = cut_lineage(_merge(_best_in_blocks(cells.meet(cells.own_visits(asked)), k, own, rep), k))
     bound = _reaching(cells, asked, near, k)
-    far = _best_in_blocks(cells.meet(cells.reachable(bound)), k, own, rep)
-    best = _merge(near.unionByName(far), k)
+    bound = cut_lineage(bound, "bound")
+    if cells.dense(bound):
+        best = _merge(_best_in_grid(cells.grid(bound, ["_reach"]), k, own, rep), k)
+    else:
+        far = _best_in_blocks(cells.meet(cells.reachable(bound)), k, own, rep)
+        best = _merge(near.unionByName(far), k)
     by_vec = asked.select("_rep", "_vec").join(best, "_rep")
     rows = queries.select(F.col(id_col).alias("_id"), F.col(vec).alias("_vec"))
     return rows.join(by_vec, "_vec").select("_id", "_sims")
@@ -419,7 +517,7 @@ def _mean(k: int):
 
 def knn_realism(
     gen: DataFrame, real: DataFrame, k: int = 5, id_col: str = "id", real_id: str | None = None,
-    vec: str = "embedding", threshold: float = 0.9, max_bytes: int = MAX_BROADCAST_BYTES,
+    vec: str = "embedding", threshold: float = 0.9, max_bytes: int = KNN_BROADCAST_BYTES,
     pivots: int | None = None, block: int = BLOCK,
 ) -> DataFrame:
     """Mean cosine of the k nearest real rows, the nearest one, and the overlap flag."""
@@ -433,7 +531,7 @@ def knn_realism(
 
 def knn_self_similarity(
     df: DataFrame, k: int = 5, id_col: str = "id", vec: str = "embedding",
-    max_bytes: int = MAX_BROADCAST_BYTES, pivots: int | None = None, block: int = BLOCK,
+    max_bytes: int = KNN_BROADCAST_BYTES, pivots: int | None = None, block: int = BLOCK,
 ) -> DataFrame:
     """Mean cosine of the k nearest other rows, over all groups together."""
     found = _nearest(df, df, id_col, id_col, vec, k, True, max_bytes, pivots, block)
@@ -455,6 +553,23 @@ def overlap_pairs(
         .withColumn("_reach", F.lit(float(np.arccos(threshold))))
         .withColumns({"_cell": F.lit(-1), "_sub": F.lit(-1)})
     )
+    asked = asked.withColumn("_copies", F.col("_copies").cast("bigint"))
+    rep = asked.schema["_rep"].dataType.simpleString()
+    t_rep = cells.homed.schema["_rep"].dataType.simpleString()
+    if cells.dense(asked):
+        def met(batches):
+            for q_ids, q_copies, q, t_ids, copies, t in _grid_rows(batches, ["_copies"]):
+                for a, b, sims in _tiles(q, t):
+                    i, j = np.nonzero(sims >= threshold)
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(q_ids[a][i]), pa.array(t_ids[b][j]), pa.array(sims[i, j]), pa.array(q_copies[a][i]), pa.array(copies[b][j])],
+                            ["gen_id", "real_id", "similarity", "gen_copies", "real_copies"],
+                        )
+
+        return cells.grid(asked, ["_copies"]).mapInArrow(
+            met, f"gen_id {rep}, real_id {t_rep}, similarity DOUBLE, gen_copies BIGINT, real_copies BIGINT"
+        )
     pairs = cells.meet(cells.reachable(asked))
 
     def match(batches):
@@ -466,8 +581,6 @@ def overlap_pairs(
                 ["gen_id", "real_id", "similarity", "real_copies"],
             )
 
-    rep = asked.schema["_rep"].dataType.simpleString()
-    t_rep = cells.homed.schema["_rep"].dataType.simpleString()
     hits = pairs.mapInArrow(
         match, f"gen_id {rep}, real_id {t_rep}, similarity DOUBLE, real_copies BIGINT"
     )

@@ -153,3 +153,39 @@ def test_embed_with_own_encoder(spark):
     make = lambda: lambda texts: np.array([[len(t), 0.0] for t in texts])
     rows = embed.embed(df, "t", make, batch_size=2).collect()
     assert all(r["embedding"] == [1.0, 0.0] for r in rows)
+
+
+def unstructured(seed, n, dim=24):
+    m = np.random.default_rng(seed).normal(size=(n, dim)).astype(np.float32)
+    m[n // 2 : n // 2 + 20] = m[n // 2]
+    return m
+
+
+def test_unstructured_vectors_meet_in_a_grid(spark):
+    """Where nothing can be skipped a query moves once per pack of targets and not once per leaf."""
+    m = unstructured(11, 1_200)
+    cells = similarity._Cells(similarity._distinct(frame(spark, m), "id", "embedding", 6), 8, 64)
+    asked = cells.homed.withColumn("_reach", F.lit(1.4))
+    assert cells.dense(asked)
+    moved = cells.grid(asked, ["_reach"]).agg(F.sum(F.size("q_rep"))).first()[0]
+    assert moved <= 16 * len(m) and moved < cells.reachable(asked).count()
+    tight = similarity._Cells(similarity._distinct(frame(spark, many_clusters(12, 2_000)), "id", "embedding", 6), None, 64)
+    assert not tight.dense(tight.homed.withColumn("_reach", F.lit(0.1)))
+
+
+def test_grid_equals_all_pairs(spark):
+    m, other = unstructured(13, 700), unstructured(14, 500)
+    other[:5] = m[:5]
+    plan = {"max_bytes": 0, "pivots": 8, "block": 64}
+    sims = unit(m) @ unit(m).T
+    np.fill_diagonal(sims, -np.inf)
+    want = np.sort(sims, axis=1)[:, ::-1][:, :5].mean(axis=1)
+    rows = similarity.knn_self_similarity(frame(spark, m), 5, **plan).collect()
+    assert {r["id"]: r["inter_review_sim_topk"] for r in rows} == pytest.approx(dict(enumerate(want)), abs=1e-9)
+    sims = unit(other) @ unit(m).T
+    want = np.sort(sims, axis=1)[:, ::-1][:, :5].mean(axis=1)
+    rows = similarity.knn_realism(frame(spark, other), frame(spark, m, 5_000), 5, **plan).collect()
+    assert {r["id"]: r["realism_sbert_topk"] for r in rows} == pytest.approx(dict(enumerate(want)), abs=1e-9)
+    pairs = similarity.overlap_pairs(frame(spark, other), frame(spark, m, 5_000), 0.3, pivots=8, block=64).collect()
+    assert sum(r["gen_copies"] * r["real_copies"] for r in pairs) == int((sims >= 0.3).sum())
+    assert all(r["similarity"] == pytest.approx(sims[r["gen_id"], r["real_id"] - 5_000], abs=1e-9) for r in pairs)
