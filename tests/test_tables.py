@@ -322,3 +322,35 @@ def test_keyword_table(spark, monkeypatch):
         assert [r["description"] for r in got] == want and got[0].asDict().keys() == {"id", "title", "description"}
     none = joins.attach_keyword_description(titles, table.limit(0))
     assert {r["description"] for r in none.collect()} == {None}
+
+
+def test_tfidf_counts_whole_texts_and_adds_up_repeated_ids(spark):
+    """Weights are ready where a text is read; rows of one id, or of none, are one document, and no term list is shuffled."""
+    from collections import Counter
+    from math import log, sqrt
+
+    from corpusloom.operators import tfidf
+
+    texts = [(1, "Bee ant bee ant cow"), (2, "ant cow"), (2, "cow ant cow"), (None, "bee"), (None, "cow bee"), (3, None), (4, ""), (5, "élan ant é")]
+    texts += [(i, f"ant bee w{i % 3} x{i}") for i in range(10, 40)]
+    df = spark.createDataFrame(texts, "id INT, text STRING").repartition(3)
+    words = lambda x: [w for w in "".join(c if c.isalnum() or c == "_" else " " for c in (x or "").lower()).split() if len(w) > 1]
+    grams = lambda w: w + [" ".join(x) for x in zip(w, w[1:])] + [" ".join(x) for x in zip(w, w[1:], w[2:])]
+    held, total, docs = Counter(), Counter(), {}
+    for i, x in texts:
+        held.update(set(grams(words(x))))
+        total.update(grams(words(x)))
+        docs.setdefault(i, Counter()).update(grams(words(x)))
+    got = {r["term"]: (r["df"], r["total"]) for r in tfidf.term_totals(df, "text", 3).collect()}
+    assert got == {g: (held[g], total[g]) for g in total}
+    idf = {g: log((1 + len(texts)) / (1 + n)) + 1 for g, n in held.items() if n >= 2}
+    want = {}
+    for i, counts in docs.items():
+        raw = {g: n * idf[g] for g, n in counts.items() if g in idf}
+        want |= {(i, g): w / sqrt(sum(x * x for x in raw.values())) for g, w in raw.items()}
+    got = {(r["id"], r["term"]): r["weight"] for r in tfidf.tfidf(df, "id", "text", 3).collect()}
+    assert got == pytest.approx(want)
+    unique = df.filter("id > 2")
+    vocab = spark.createDataFrame(list(idf.items()), "term STRING, idf DOUBLE")
+    plan = tfidf.weigh_texts(unique, vocab, "id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
