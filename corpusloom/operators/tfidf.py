@@ -73,6 +73,43 @@ def _counted(tokens: pa.ListArray, n_max: int) -> Iterator[tuple[pa.Array, np.nd
         yield grams, pairs // len(grams), pairs % len(grams), counts
 
 
+def _distinct_by_row(tokens: pa.ListArray, n_max: int) -> np.ndarray:
+    """Number of distinct grams per row and length: a gram is one number with its row in front, sorted and counted."""
+    sizes = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = tokens.flatten().dictionary_encode()
+    codes, width = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(len(words.dictionary), 1)
+    rows, place = np.repeat(np.arange(len(sizes)), sizes), np.arange(len(codes))
+    left = np.repeat(np.cumsum(sizes), sizes) - place  # tokens from here to the row's end
+    held = np.zeros((len(sizes), n_max), np.int32)
+    key, most = rows, len(sizes)  # keys are below ``most``
+    for n in range(1, n_max + 1):
+        kept = left[place] >= n
+        place, key = place[kept], key[kept]
+        if most * width >= 1 << 62:
+            found, key = np.unique(key, return_inverse=True)
+            most = len(found)
+        key, most = key * width + codes[place + n - 1], most * width
+        if most == len(sizes) * width**n:
+            found = np.sort(key)
+            row = found[np.diff(found, prepend=-1) > 0] // width**n
+        else:
+            row = rows[place[np.unique(key, return_index=True)[1]]]
+        held[:, n - 1] = np.bincount(row, minlength=len(sizes))
+    return held
+
+
+def distinct_grams(tokens: Column, n_max: int) -> Column:
+    """Number of distinct grams of each length from 1 to n_max of an array of tokens without spaces."""
+
+    @F.arrow_udf("array<int>")
+    def distinct(column: pa.Array) -> pa.Array:
+        chunks = _text_chunks([pa.RecordBatch.from_arrays([column], ["_t"])])
+        held = np.concatenate([np.zeros((0, n_max), np.int32), *(_distinct_by_row(c.column(0), n_max) for c in chunks)])
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, held.size + 1, n_max, dtype=np.int32)), pa.array(held.ravel()))
+
+    return distinct(tokens)
+
+
 def term_totals(df: DataFrame, text_col: str, n_max: int = 2) -> DataFrame:
     """(term, df, total): documents holding the term and its occurrences.
 

@@ -6,7 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import flags, text as tx
-from ..operators import guards, judge, metrics, sampling, similarity, stats
+from ..operators import guards, judge, metrics, sampling, similarity, stats, tfidf
 from ..operators.joins import scatter_back
 from ..session import cut_lineage
 from ..sizing import spread
@@ -42,16 +42,17 @@ def diversity_rows(
     if min_words >= 1:
         # Any word at all: found without making the tokens, so the rest can be spread first.
         used = used.filter(F.col(text_col).rlike("[A-Za-z0-9]"))
-    tokens = F.col("_tokens")
+    words, held = F.col("word_count"), F.col("_held")
+    grams = lambda n: F.greatest(words - (n - 1), F.lit(0))
     rows = (
         spread(used).withColumn("_tokens", tx.word_tokens(F.col(text_col), lower))
+        .withColumns({"word_count": F.size("_tokens"), "_held": tfidf.distinct_grams(F.col("_tokens"), 3)})
         .withColumns({
-            "word_count": F.size(tokens),
-            "distinct_1": tx.distinct_n(tokens, 1),
-            "distinct_2": tx.distinct_n(tokens, 2),
-            "trigram_repeat_rate": tx.repeat_rate(tokens, 3),
+            "distinct_1": tx.safe_ratio(held[0], words),
+            "distinct_2": tx.safe_ratio(held[1], grams(2)),
+            "trigram_repeat_rate": tx.safe_ratio(grams(3) - held[2], grams(3)),
         })
-        .drop("_tokens")
+        .drop("_tokens", "_held")
     )
     return rows.filter(F.col("word_count") >= min_words) if min_words > 1 else rows
 

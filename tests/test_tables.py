@@ -354,3 +354,17 @@ def test_tfidf_counts_whole_texts_and_adds_up_repeated_ids(spark):
     vocab = spark.createDataFrame(list(idf.items()), "term STRING, idf DOUBLE")
     plan = tfidf.weigh_texts(unique, vocab, "id", "text")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan
+
+
+def test_distinct_grams_by_row(spark):
+    """Counts of sorted numbers equal sets of grams, also where the numbers are renumbered because they grow too large."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    rows = [[], ["a"], ["a", "a"], None, *([f"w{i}" for i in rng.integers(0, 4 + 900 * (j % 2), 400)] for j in range(30))]
+    want = lambda n: [[len({tuple(w[i : i + k]) for i in range(len(w) - k + 1)}) for k in range(1, n + 1)] for w in (x or [] for x in rows)]
+    for n in (3, 8):
+        assert tfidf._distinct_by_row(pa.array(rows, pa.list_(pa.string())), n).tolist() == want(n)
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(rows)], "id INT, t ARRAY<STRING>").repartition(3)
+    assert [r["n"] for r in df.select("id", tfidf.distinct_grams(F.col("t"), 3).alias("n")).orderBy("id").collect()] == want(3)
