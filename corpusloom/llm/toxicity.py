@@ -48,8 +48,9 @@ PURE = 10  # if it is so many times as often in them as in others
 OFTEN = 3  # and in so many of them
 EMPTY = 0.5  # weight of a sentence without any match beside all sentences of a class
 ALIKE = 0.5  # kernel value from which two landmarks are too alike
-CHUNK = 1 << 19
+CHUNK = 1 << 21
 UNITS = 512  # whose subsequences are weighed together
+KNOWN_UNITS = 1 << 18  # a task remembers the kernel values of
 BLOCK = 400  # candidates for landmarks that are compared at a time
 
 _LETTERS = 64
@@ -129,13 +130,16 @@ def _named(names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return symbol[keep], unit[keep]
 
 
-def triples(symbol: np.ndarray, unit: np.ndarray, span: int = SPAN) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-    """(code, unit, weight) of all three-letter subsequences of units, one batch per pair of gaps."""
+_ANY = np.outer(np.arange(_LETTERS) > 0, np.arange(_LETTERS) > 0).ravel()  # no end is a gap
+
+
+def triples(symbol: np.ndarray, unit: np.ndarray, span: int = SPAN, known: np.ndarray = _ANY) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+    """(code, unit, weight) of the three-letter subsequences of units whose ends are ``known``, one batch per pair of gaps."""
     for wide in range(2, span):
         n = len(symbol) - wide
         if n <= 0:
             return
-        ends = np.flatnonzero((unit[wide:] == unit[:n]) & (symbol[:n] > 0) & (symbol[wide:] > 0))
+        ends = np.flatnonzero(known[symbol[:n] * _LETTERS + symbol[wide:]] & (unit[wide:] == unit[:n]))
         outer = symbol[ends] * (_LETTERS * _LETTERS) + symbol[ends + wide]
         for mid in range(1, wide):
             middle = symbol[ends + mid]
@@ -157,6 +161,8 @@ class Landmarks:
         codes = sorted({c for c, _ in found})
         self.row = np.full(_LETTERS**3, -1, np.int32)
         self.row[codes] = np.arange(len(codes))
+        self.ends = np.zeros(_LETTERS * _LETTERS, bool)  # the first and last letters of these codes
+        self.ends[[c // _LETTERS**2 * _LETTERS + c % _LETTERS for c in codes]] = True
         self.own = np.zeros((len(codes), len(names)), np.float32)  # weight of each code in each landmark
         for (c, o), weight in found.items():
             self.own[self.row[c], o] = weight
@@ -169,7 +175,7 @@ class Landmarks:
         ends = np.searchsorted(unit, np.arange(0, n + UNITS, UNITS))
         for lo, a, b in zip(range(0, n, UNITS), ends, ends[1:]):
             cells, parts = [np.zeros(0, np.int64)], [np.zeros(0)]
-            for code, owner, weight in triples(symbol[a:b], unit[a:b] - lo):
+            for code, owner, weight in triples(symbol[a:b], unit[a:b] - lo, SPAN, self.ends):
                 row = self.row[code]
                 hit = np.flatnonzero(row >= 0)
                 cells.append(owner[hit] * many + row[hit])
@@ -179,7 +185,7 @@ class Landmarks:
             total[lo : lo + size] = met.reshape(size, many).astype(np.float32) @ self.own
         return np.minimum(total / self.square, 1) ** POWER
 
-    def rows(self, symbol: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def rows(self, symbol: np.ndarray, unit: np.ndarray, known: Known | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The kernel values of the distinct units, a row each, and every unit's row.
 
         Equal units are found by a hash, and their symbols are compared.
@@ -190,22 +196,66 @@ class Landmarks:
         size = np.diff(np.append(start, len(unit)))
         spans = A.Words(start, start + size, np.array([0, len(start)]))
         data = symbol.astype(np.uint8)
-        _, place, row = np.unique(A.word_hashes(A.Texts(None, data, np.array([0, len(data)])), spans), return_index=True, return_inverse=True)
+        hashes, place, row = np.unique(A.word_hashes(A.Texts(None, data, np.array([0, len(data)])), spans), return_index=True, return_inverse=True)
         if not (np.array_equal(size[place][row], size) and np.array_equal(data[A.spread(start[place][row], size)], data)):
-            place, row = np.arange(len(start)), np.arange(len(start))  # two units of one hash
-        size = size[place]
-        return self.values(symbol[A.spread(start[place], size)], np.repeat(np.arange(len(place)), size)), row
-
-    def sentences(self, units: Units) -> np.ndarray:
+            place, row, known = np.arange(len(start)), np.arange(len(start)), None  # two units of one hash
+        start, size = start[place], size[place]
+        found = known.find(hashes, size, data[A.spread(start, size)]) if known else np.full(len(place), -1)
+        new = np.flatnonzero(found < 0)
+        at = A.spread(start[new], size[new])
+        values = np.empty((len(place), len(self.names)), np.float32)
+        values[new] = self.values(symbol[at], np.repeat(np.arange(len(new)), size[new]))
+        if known:
+            old = np.flatnonzero(found >= 0)
+            values[old] = known.values[found[old]]
+            known.add(hashes[new], size[new], data[at], values[new])
+        return values, row
+
+    def sentences(self, units: Units, known: Known | None = None) -> np.ndarray:
         """Kernel value of each landmark with the unit of each sentence that is most like it."""
-        values, row = self.rows(units.symbol, units.unit)
+        values, row = self.rows(units.symbol, units.unit, known)
         out = np.zeros((len(units.text), len(self.names)), np.float32)
         if len(row):
             first = np.flatnonzero(np.diff(units.sentence, prepend=-1))
-            out[units.sentence[first]] = np.maximum.reduceat(values[row], first, axis=0)
+            sentence = units.sentence[first]
+            for i, column in enumerate(np.ascontiguousarray(values.T)):  # a landmark's values stay in the cache
+                out[sentence, i] = np.maximum.reduceat(column[row], first)
         return out
 
 
+class Known:
+    """Distinct units met before and their kernel values, in the order they came; at most ``KNOWN_UNITS`` and one chunk's."""
+
+    def __init__(self, wide: int):
+        self.wide = wide
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes, self.size, self.data = np.zeros(0, A.U64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        self.values, self.order = np.zeros((0, self.wide), np.float32), np.zeros(0, np.int64)
+
+    def find(self, hashes: np.ndarray, size: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """The place of every unit, -1 for new ones. Hashes find a unit, and its symbols are compared."""
+        place = np.full(len(hashes), -1)
+        if not len(self.hashes):
+            return place
+        at = self.order[np.minimum(np.searchsorted(self.hashes, hashes, sorter=self.order), len(self.order) - 1)]
+        met = np.flatnonzero((self.hashes[at] == hashes) & (self.size[at] == size))
+        at = at[met]
+        ours = self.data[A.spread((np.cumsum(self.size) - self.size)[at], size[met])]
+        theirs = data[A.spread((np.cumsum(size) - size)[met], size[met])]
+        if np.array_equal(ours, theirs):  # else two units have one hash: none is taken from here
+            place[met] = at
+        return place
+
+    def add(self, hashes: np.ndarray, size: np.ndarray, data: np.ndarray, values: np.ndarray) -> None:
+        if len(self.hashes) + len(hashes) > KNOWN_UNITS:
+            self.forget()
+        self.hashes, self.size = np.concatenate((self.hashes, hashes)), np.concatenate((self.size, size))
+        self.data, self.values = np.concatenate((self.data, data)), np.concatenate((self.values, values))
+        self.order = np.argsort(self.hashes, kind="stable")
+
+
 @dataclass
 class Model:
     landmarks: Landmarks
@@ -214,14 +264,14 @@ class Model:
     a: float
     b: float
 
-    def margins(self, units: Units, n_texts: int) -> np.ndarray:
-        z = self.landmarks.sentences(units) @ self.weights + self.intercept
+    def margins(self, units: Units, n_texts: int, known: Known | None = None) -> np.ndarray:
+        z = self.landmarks.sentences(units, known) @ self.weights + self.intercept
         best = np.full(n_texts, -np.inf)
         np.maximum.at(best, units.text, z)
         return best
 
-    def score(self, t: A.Texts) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.a * self.margins(units_of(t), len(t)) + self.b, -40, 40)))
+    def score(self, t: A.Texts, known: Known | None = None) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.a * self.margins(units_of(t), len(t), known) + self.b, -40, 40)))
 
 
 def _chunks(texts: list[str]) -> Iterator[A.Texts]:
@@ -375,8 +425,9 @@ SCHEMA = "doc_id BIGINT, score DOUBLE, predicted INT"
 
 def _score(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(len(model.landmarks.names)) if model else None
         for t in A.text_chunks(batches, "text", CHUNK):
-            score = model.score(t) if model else np.zeros(len(t))
+            score = model.score(t, known) if model else np.zeros(len(t))
             yield pa.RecordBatch.from_arrays(
                 [t.rows.column("doc_id"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"]
             )

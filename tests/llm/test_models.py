@@ -84,6 +84,21 @@ def test_kernel_equals_its_definition():
     assert np.allclose(many[0][many[1]], marks.values(*toxicity._named([units[i % 7] for i in range(50)])), atol=1e-6)
 
 
+def test_equal_units_of_a_task_are_compared_once(monkeypatch):
+    """Values remembered from chunks before equal new ones; a shared hash takes nothing from them."""
+    marks = toxicity.Landmarks([b"moron", b"idio", b"clown\0"])
+    counted, values = [], toxicity.Landmarks.values
+    monkeypatch.setattr(toxicity.Landmarks, "values", lambda self, s, u: (counted.append(len(set(u.tolist()))), values(self, s, u))[1])
+    known = toxicity.Known(3)
+    for units, new in (([b"morons", b"idiots", b"a"], 3), ([b"idiots", b"clowns", b"idiots"], 1), ([b"a", b"clowns"], 0)):
+        symbols = toxicity._named([x + toxicity.WHOLE for x in units])
+        found, row = marks.rows(*symbols, known)
+        assert np.allclose(found[row], values(marks, *symbols), atol=1e-6) and counted[-1] == new
+    monkeypatch.setattr(toxicity, "KNOWN_UNITS", 2)
+    assert len(marks.rows(*toxicity._named([b"xy\0", b"zz\0"]), known)[0]) == 2 and len(known.hashes) == 2
+    assert known.find(known.hashes[:1], known.size[:1], known.data[: known.size[0]] + np.uint8(1)).tolist() == [-1]
+
+
 def test_landmarks_are_looked_for_among_all_candidates(monkeypatch):
     ranked = [b"abcdefg"[:5] + bytes([97 + i % 3]) for i in range(50)] + [b"zyxwvu\0", b"klmnop\0"]
     want = toxicity.unlike(ranked, 9)
