@@ -7,12 +7,16 @@ do. The length of runs follows from the threshold: the greatest at which two lar
 with a chance of at most ``MISS`` (three from 0.80 to 0.85). Sets that a sketch holds whole are safe
 by counting: where differing values can cut a union into shorter pieces, shorter runs are listed too.
 
-Candidates are met in two rounds, so that a group of n near copies costs about n pairs. First every
+Candidates are met in rounds, so that a group of n near copies costs about n pairs. First every
 document meets the one list leader it shares most lists with. What is left are documents that stand
-in a list spanning more than one component. Their pairs come from their full sets: shingles
-that no other of them has bound every overlap, and pairs of different components meet in a prefix of
-their rarest shared shingles, so neither a passage in many documents nor a large group of distant
-copies multiplies out. Every pair passes the sketch of its union (at least as many common values as a linked pair
+in a list spanning more than one component. They are listed again from their full sets, under a
+prefix of their rarest shared shingles; shingles that no other of them has bound every overlap. While
+the pairs of different components in these lists outnumber the rows of the lists, all rows of a list
+meet its leader only: the document with the smallest share of shingles of its own, so the most central
+one of a group of copies, outside of the components that led the list before. Documents that lack the same
+shingle of a leader are a list too, as such copies lie closer to each other than to the leader. Rounds
+end when two in a row leave most of the pairs; those of different components that are left in the prefix
+lists then meet one by one, so no link rests on the choice of leaders. Every pair passes the sketch of its union (at least as many common values as a linked pair
 has but for a chance of ``MISS``) and is then confirmed on the full shingle sets of both texts. Equal
 sets are one node from the start. So a link of two sets right at the threshold, of more shingles than
 a sketch holds, is lost with a chance of at most twice ``MISS``; above the threshold with a smaller one.
@@ -39,6 +43,8 @@ from .components import connected_components
 
 SHINGLE = 5
 SKETCH = 64
+SHRINK = 0.75  # a round of leaders that leaves a greater share of the pairs is idle
+IDLE = 2  # idle rounds in a row that end the rounds of leaders
 MISS = 1e-9  # chance that two large sets at the threshold share no list, or fail the sketch filter
 
 
@@ -139,17 +145,25 @@ def _run_keys(percent: int, k: int):
     return run
 
 
-def _confirm(percent: int):
+def _compare(percent: int, with_gaps: bool):
+    """(a, b, linked) and the shingles of a that b lacks, where a set linked with a may lack so many."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             one = shingle_lists(batch, "text_a")
             two = shingle_lists(batch, "text_b")
-            keep = []
+            linked, gaps = [], []
             for a, b in zip(one, two):
                 both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(a) + len(b) - both))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(keep)
+                linked.append(both > 0 and 100 * both >= percent * (len(a) + len(b) - both))
+                few = with_gaps and 100 * (len(a) - both) <= (100 - percent) * len(a)
+                gaps.append(np.setdiff1d(a, b, assume_unique=True) if few else a[:0])
+            flat = np.concatenate(gaps) if gaps else np.zeros(0, A.U64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(linked, pa.bool_()),
+                 A.list_array(A.as_long(flat), np.array([len(g) for g in gaps]), pa.int64())],
+                ["a", "b", "linked", "gaps"],
+            )
 
     return run
 
@@ -159,15 +173,20 @@ def shingle_lists(batch: pa.RecordBatch, column: str) -> Iterator[np.ndarray]:
         yield from shingle_sets(t)
 
 
-def confirm_links(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of ids whose full shingle sets reach the threshold. Texts meet by pair."""
+def compare_sets(docs: DataFrame, pairs: DataFrame, percent: int, with_gaps: bool = False) -> DataFrame:
+    """(a, b, linked, gaps) of pairs of ids, from their full shingle sets. Texts meet by pair."""
     sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("doc_id"))
     texts = docs.join(broadcast_if_small(sides), "doc_id")
     met = texts.groupBy("a", "b").agg(
         F.max(F.when(F.col("doc_id") == F.col("a"), F.col("text"))).alias("text_a"),
         F.max(F.when(F.col("doc_id") == F.col("b"), F.col("text"))).alias("text_b"),
     )
-    return met.mapInArrow(_confirm(percent), "a BIGINT, b BIGINT")
+    return met.mapInArrow(_compare(percent, with_gaps), "a BIGINT, b BIGINT, linked BOOLEAN, gaps ARRAY<BIGINT>")
+
+
+def confirm_links(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of ids whose full shingle sets reach the threshold."""
+    return compare_sets(docs, pairs, percent).filter("linked").select("a", "b")
 
 
 def sketch_filter(pairs: DataFrame, reps: DataFrame, percent: int, k: int) -> DataFrame:
@@ -223,18 +242,98 @@ def _parts(docs: DataFrame, reps: DataFrame, percent: int, k: int) -> DataFrame:
     parts = cut_lineage(connected_components(links, "a", "b"), "parts")
 
     # Documents that stand in a list spanning several components: a link that is left has both ends there.
-    placed = entries.select("key", "doc").join(parts, F.col("doc") == F.col("id"), "left").select(
-        "key", "doc", F.coalesce("component", "doc").alias("part")
-    )
-    spanning = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
-    met = placed.join(spanning, "key").select("doc", "part").distinct()
+    crossing = spanning(entries.select(F.col("key").alias("s"), "doc"), parts)
     sizes = reps.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"))
-    still_open = cut_lineage(met.join(sizes, "doc").select("doc", "part", "n"), "open")
+    still_open = cut_lineage(crossing.select("doc").distinct().join(sizes, "doc"), "open")
+    lists = prefix_lists(docs, still_open, percent)
+
+    gaps = lists.limit(0)
+    led = lists.select("s", "doc").limit(0)
+    held = cut_lineage(spanning(lists, parts), "lists")
+    rows, left = _crowd(held, percent)
+    idle = 0
+    while left > rows and idle < IDLE:
+        near = held.unionByName(spanning(gaps, parts))
+        leaders = cut_lineage(list_leaders(near, led, parts), "leaders")
+        met = cut_lineage(_untested(leader_pairs(near, leaders, percent), tested), "pairs")
+        found = cut_lineage(compare_sets(docs, sketch_filter(met, reps, percent, k), percent, with_gaps=True), "compared")
+        tested = tested.unionByName(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        fresh = found.filter("linked").select("a", "b")
+        stars = parts.select(F.col("component").alias("a"), F.col("id").alias("b"))
+        parts = cut_lineage(connected_components(stars.unionByName(fresh), "a", "b"), "parts")
+        led = led.unionByName(leaders.select("s", F.col("leader").alias("doc")))
+        gaps = gaps.unionByName(gap_lists(found, lists))
+        held = cut_lineage(spanning(lists, parts), "lists")
+        before = left
+        rows, left = _crowd(held, percent)
+        idle = 0 if left <= SHRINK * before else idle + 1
+
+    pairs = cut_lineage(_untested(list_pairs(held, percent), tested), "pairs")
+    more = confirm_links(docs, cut_lineage(sketch_filter(pairs, reps, percent, k), "pairs"), percent)
+    stars = parts.select(F.col("component").alias("a"), F.col("id").alias("b"))
+    return cut_lineage(connected_components(stars.unionByName(more), "a", "b"), "parts")
+
+
+def spanning(lists: DataFrame, parts: DataFrame) -> DataFrame:
+    """The rows, with their component as ``part``, of lists (s, doc, ...) that hold more than one."""
+    placed = lists.join(parts, F.col("doc") == F.col("id"), "left").withColumn("part", F.coalesce("component", "doc")).drop("id", "component")
+    ends = placed.groupBy("s").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
+    return placed.join(ends.filter("lo < hi").select("s"), "s")
+
+
+def _bounded(n, most, n_b, most_b, percent: int):
+    """Whether sets of n and n_b shingles can be linked that have at most ``most`` and ``most_b`` in common."""
+    most = F.least(most, most_b)
+    return 100 * most >= percent * (F.col(n) + F.col(n_b) - most)
+
+
+def class_pairs(lists: DataFrame, keys: list[str], percent: int, *more) -> DataFrame:
+    """Pairs of classes (n, most) of rows with equal keys that the bounds do not rule out, each once.
+
+    The bounds know no more of a row, so they are tested on classes, whose number does not follow that of the rows.
+    """
+    classes = lists.groupBy(*keys, "n", "most").agg(F.count(F.lit(1)).cast("double").alias("m"), *more)
+    other = classes.select(*keys, *[F.col(c).alias(f"{c}_b") for c in classes.columns if c not in keys])
+    return classes.join(other, keys).filter(
+        (F.struct("n", "most") <= F.struct("n_b", "most_b")) & _bounded("n", "most", "n_b", "most_b", percent)
+    )
+
+
+def _crowd(lists: DataFrame, percent: int) -> tuple[float, float]:
+    """The rows of the lists, and their pairs of different parts that the bounds do not rule out."""
+    same = (F.col("n") == F.col("n_b")) & (F.col("most") == F.col("most_b"))
+    met = F.sum(F.when(same, F.col("m") * (F.col("m") - 1) / 2).otherwise(F.col("m") * F.col("m_b"))).alias("x")
+    every, within = (class_pairs(lists, keys, percent).agg(met).first()["x"] or 0.0 for keys in (["s"], ["s", "part"]))
+    return lists.count(), every - within
+
+
+def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+    """The pairs that are not among the tested ones, whose a is the smaller id."""
+    tested = tested.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
+    return pairs.join(tested, (F.least("a", "b") == F.col("_a")) & (F.greatest("a", "b") == F.col("_b")), "left_anti")
+
+
+def list_leaders(lists: DataFrame, led: DataFrame, parts: DataFrame) -> DataFrame:
+    """The row of the smallest share of lonely shingles of every list, outside of the parts of its former leaders."""
+    former = led.join(parts, F.col("doc") == F.col("id"), "left").select("s", F.coalesce("component", "doc").alias("part")).distinct()
+    first = F.min(F.struct((F.col("lonely") / F.col("n")).alias("share"), "doc", "part", "n", "most"))
+    best = lists.join(former, ["s", "part"], "left_anti").groupBy("s").agg(first.alias("x"))
+    return best.select("s", F.col("x.doc").alias("leader"), F.col("x.part").alias("part_l"), F.col("x.n").alias("nl"), F.col("x.most").alias("most_l"))
+
+
+def leader_pairs(lists: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of leaders and rows of their lists, of different parts, that the bounds do not rule out."""
+    return lists.join(leaders, "s").filter(
+        (F.col("part") != F.col("part_l")) & _bounded("n", "most", "nl", "most_l", percent)
+    ).select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
+
 
-    pairs = cut_lineage(prefix_pairs(docs, still_open, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
-    more = cut_lineage(sketch_filter(pairs, reps, percent, k), "pairs")
-    all_links = links.unionByName(confirm_links(docs, more, percent))
-    return cut_lineage(connected_components(all_links, "a", "b"), "parts")
+def gap_lists(compared: DataFrame, lists: DataFrame) -> DataFrame:
+    """The rows of lists of documents that lack the same shingle of the same leader."""
+    sizes = lists.select("doc", "n", "lonely").distinct()
+    gaps = compared.select("a", F.col("b").alias("doc"), F.explode("gaps").alias("g")).join(sizes, "doc")
+    rows = gaps.select(F.xxhash64("a", "g").alias("s"), "doc", "n", "lonely", (F.col("n") - F.col("lonely")).alias("most"))
+    return cut_lineage(rows, "gaps")
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,12 +343,13 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(A.as_long(np.concatenate(sets)), pa.int64())], ["doc", "s"])
 
 
-def prefix_pairs(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members (doc, part, n) of different parts that full sets do not rule out.
+def prefix_lists(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Rows (s, doc, n, lonely, most): members (doc, n) under the rarest shingles s they share with others.
 
-    Over the members' full sets, shingles are ordered by how many members have them. As linked sets
-    lack at most a small share of each other's shingles, two of them meet in a prefix of their
-    rarest ones, and the places of the first one they share bound what they can have in common.
+    Over the members' full sets, shingles are ordered by how many members have them; those that one
+    has alone are lonely. As linked sets lack at most a small share of each other's shingles, two of
+    them meet in a prefix of their rarest ones, and the places of the first one they share bound what
+    they can have in common: ``most``.
     """
     texts = docs.join(broadcast_if_small(members.select(F.col("doc").alias("doc_id"))), "doc_id").select(
         F.col("doc_id").alias("doc"), "text"
@@ -260,17 +360,21 @@ def prefix_pairs(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame
     lacking = F.col("n") - F.ceil(F.col("n") * percent / 100)  # of its shingles, in a set it is linked with
     lonely = F.col("n") - F.size("shared")
     prefix = held.join(members, "doc").withColumn("lonely", lonely).filter(F.col("lonely") <= lacking).select(
-        "doc", "part", "n", "lonely",
+        "doc", "n", "lonely",
         F.posexplode(F.slice("shared", F.lit(1), (lacking + 1 - F.col("lonely")).cast("int"))).alias("i", "x"),
     )
     # No rarer shingle of the set is in the other one when this is the first they share.
-    prefix = prefix.select("doc", "part", "n", (F.col("n") - F.col("lonely") - F.col("i")).alias("most"), F.col("x.s").alias("s"))
-    prefix = cut_lineage(prefix, "prefixes")
-    spanning = prefix.groupBy("s").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("s")
-    prefix = prefix.join(spanning, "s")
-    other = prefix.select("s", F.col("doc").alias("b"), F.col("part").alias("part_b"), F.col("n").alias("nb"), F.col("most").alias("most_b"))
-    most = F.least("most", "most_b")
-    return prefix.join(other, "s").filter(
-        (F.col("doc") < F.col("b")) & (F.col("part") != F.col("part_b"))
-        & (100 * most >= percent * (F.col("n") + F.col("nb") - most))
-    ).select(F.col("doc").alias("a"), "b").distinct()
+    most = F.col("n") - F.col("lonely") - F.col("i")
+    return cut_lineage(prefix.select(F.col("x.s").alias("s"), "doc", "n", "lonely", most.alias("most")), "prefixes")
+
+
+def list_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different parts in the lists that the bounds do not rule out."""
+    lists = lists.select("s", "n", "most", "part", "doc")
+    met = class_pairs(lists, ["s"], percent, F.min("part").alias("lo"), F.max("part").alias("hi")).filter(
+        F.least("lo", "lo_b") < F.greatest("hi", "hi_b")
+    ).select("s", "n", "most", "n_b", "most_b")
+    other = lists.toDF("s", "n_b", "most_b", "part_b", "doc_b")
+    return lists.join(met, ["s", "n", "most"]).join(other, ["s", "n_b", "most_b"]).filter(
+        (F.col("part") != F.col("part_b")) & (F.struct("n", "most", "doc") < F.struct("n_b", "most_b", "doc_b"))
+    ).select(F.least("doc", "doc_b").alias("a"), F.greatest("doc", "doc_b").alias("b")).distinct()

@@ -5,12 +5,14 @@ import random
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.llm import near_dedup
 from corpusloom.llm.components import connected_components
 from corpusloom.llm.decontamination import contamination
 from corpusloom.llm.licenses import Template, scan_licenses
-from corpusloom.llm.near_dedup import SKETCH, least_hits, near_duplicates, no_run_chance, run_widths
+from corpusloom.llm.near_dedup import SKETCH, least_hits, near_duplicates, no_run_chance, run_widths, sketch_filter
 from corpusloom.llm.sharding import assign_shards
 from corpusloom.llm.substring_dedup import compacted, remove_repeats
 
@@ -252,6 +254,37 @@ def test_one_shared_list_is_enough(make):
     assert found == brute_components(rows)
 
 
+def edited_copies(edits, n=400, with_base=False, seed=11):
+    """Copies of one text with so many words replaced, so that most pairs lie around 0.80."""
+    rng = random.Random(seed)
+    fresh = lambda n: [f"{rng.choice('abcdefgh')}{rng.randrange(10**9)}" for _ in range(n)]
+    base = fresh(150)
+    texts = []
+    for _ in range(n):
+        copy = list(base)
+        for i in rng.sample(range(len(copy)), rng.choice(edits)):
+            copy[i] = fresh(1)[0]
+        texts.append(copy)
+    texts += [base] * with_base
+    return [(i, " ".join(x)) for i, x in enumerate(texts)]
+
+
+@pytest.mark.parametrize("edits,with_base", [((1, 2, 3), True), ((1, 2, 3, 4), False)])
+def test_a_group_of_copies_around_the_threshold_costs_few_pairs(make, monkeypatch, edits, with_base):
+    """The first documents are not near enough to all others, so the leaders of runs leave the group open."""
+    rows = edited_copies(edits, with_base=with_base)
+    pairs = []
+
+    def counted(met, *rest):
+        pairs.append(met.count())
+        return sketch_filter(met, *rest)
+
+    monkeypatch.setattr(near_dedup, "sketch_filter", counted)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(make(rows), "doc_id", "text", percent=80).collect()}
+    assert found == brute_components(rows, 80)
+    assert sum(pairs) < 20 * len(rows)
+
+
 def test_contaminated_rows_go_by_their_text(spark, tmp_path):
     import corpus_pipeline as cp
 
