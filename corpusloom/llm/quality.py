@@ -43,6 +43,12 @@ def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
     return (A.mix(h) >> A.U64(64 - bits)).astype(np.int32)
 
 
+def _runs(feature: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, lo, hi) of n-grams; the last texts may begin behind the last n-gram if they hold none."""
+    lo = np.minimum(first[:-1], len(feature))
+    return feature, lo, np.maximum(first[1:] - n + 1, lo)
+
+
 def features(t: A.Texts, w: A.Words, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(feature, lo, hi) of each n-gram family: text i has the entries lo[i]:hi[i] of feature."""
     data = t.buf.astype(A.U64)
@@ -50,14 +56,14 @@ def features(t: A.Texts, w: A.Words, h: np.ndarray) -> Iterator[tuple[np.ndarray
     for n in (1, 2, 3):
         if n > 1:
             code = code[:-1] * A.U64(259) + data[n - 1 :] if len(code) > 1 else code[:0]
-        yield _bucket(code * A.U64(4) + A.U64(n), BYTE_BITS), t.bounds[:-1], np.maximum(t.bounds[1:] - n + 1, t.bounds[:-1])
+        yield _runs(_bucket(code * A.U64(4) + A.U64(n), BYTE_BITS), t.bounds, n)
     base = 1 << BYTE_BITS
     for n in (1, 2):
-        yield base + _bucket(A.run_hashes(h, n), WORD_BITS), w.first[:-1], np.maximum(w.first[1:] - n + 1, w.first[:-1])
+        yield _runs(base + _bucket(A.run_hashes(h, n), WORD_BITS), w.first, n)
     base += 1 << WORD_BITS
     shape = word_shapes(t, w, h)
     for n in (1, 2, 3):
-        yield base + _bucket(A.run_hashes(shape, n), SHAPE_BITS), w.first[:-1], np.maximum(w.first[1:] - n + 1, w.first[:-1])
+        yield _runs(base + _bucket(A.run_hashes(shape, n), SHAPE_BITS), w.first, n)
 
 
 def word_shapes(t: A.Texts, w: A.Words, h: np.ndarray) -> np.ndarray:
